@@ -55,4 +55,4 @@ def T_(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # ensure the query modules register themselves
-from tabscope.plans import queries_profile, queries_prepare  # noqa: E402,F401
+from tabscope.plans import queries_eval, queries_prepare, queries_profile  # noqa: E402,F401
