@@ -22,7 +22,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.operators.trees import TreeModel, fit_cuts, fit_tree
+from tabscope.operators.trees import TreeModel, bin_rows, fit_cuts, fit_tree
 
 CHECKPOINT_EVERY = 10
 _VEC = "_features_vec"
@@ -221,9 +221,14 @@ def gbt_classifier(train: DataFrame, features: Sequence[str], label: str, n_esti
         init = [math.log(max(prior.get(c, 0), 1e-300) / n) for c in classes]
     model = BoostedModel(name, "classification", features, classes, init, [], learning_rate)
     y = [F.when(F.col(label) == F.lit(c), 1.0).otherwise(0.0) for c in classes]
-    data = train.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    # binned rows + one raw-score column per output, updated every round
+    data = bin_rows(train.select(*features, label), features, cuts)
+    data = data.select("*", *[F.lit(v).alias(f"_F{k}") for k, v in enumerate(init)])
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    prev = None
+    factor = (K - 1) / K if K > 2 else 1.0
     for it in range(n_estimators):
-        raw = model.raw_columns()
+        raw = [F.col(f"_F{k}") for k in range(n_out)]
         if K == 2:
             probs = [1.0 / (1.0 + F.exp(-raw[0]))]
             targets = [y[1]]
@@ -233,23 +238,27 @@ def gbt_classifier(train: DataFrame, features: Sequence[str], label: str, n_esti
             tot = sum(ex[1:], ex[0])
             probs = [e / tot for e in ex]
             targets = y
-        step = data.select(*features, *[(t - p).alias(f"_r{k}") for k, (t, p) in enumerate(zip(targets, probs))])
-        step = _checkpoint(step, it + 1)
+        step = data.select("*", *[(t - p).alias(f"_r{k}") for k, (t, p) in enumerate(zip(targets, probs))])
         trees = []
+        updates = {}
         for k in range(n_out):
             tree = fit_tree(step, features, f"_r{k}", "regression", "friedman_mse", max_depth, 2,
-                            min_samples_leaf, cuts=cuts)
-            leaves = tree.transform(step, prediction="_ignore", leaf="_leaf")
+                            min_samples_leaf, cuts=cuts, prebinned=True)
+            if prev is not None:       # the new round's rows are cached now
+                prev.unpersist()
+                prev = None
             r = F.col(f"_r{k}")
-            agg = leaves.groupBy("_leaf").agg(F.sum(r).alias("num"),
-                                              F.sum(F.abs(r) * (1 - F.abs(r))).alias("den")).collect()
-            factor = (K - 1) / K if K > 2 else 1.0
+            agg = (step.withColumn("_leaf", tree.leaf_column()).groupBy("_leaf")
+                   .agg(F.sum(r).alias("num"), F.sum(F.abs(r) * (1 - F.abs(r))).alias("den")).collect())
             values = {row["_leaf"]: (factor * row["num"] / row["den"] if abs(row["den"]) > 1e-150 else 0.0)
                       for row in agg}
             trees.append((tree, values))
+            updates[f"_F{k}"] = F.col(f"_F{k}") + F.lit(learning_rate) * _leaf_value_column(tree, values)
         model.rounds.append(trees)
-        step.unpersist()
+        prev, data = data, _checkpoint(data.withColumns(updates), it + 1)
     data.unpersist()
+    if prev is not None:
+        prev.unpersist()
     return model
 
 
@@ -313,12 +322,15 @@ def adaboost_classifier(train: DataFrame, features: Sequence[str], label: str, n
     cuts = fit_cuts(train, features, max_bins)
     model = AdaBoostClassifierModel(name, features, classes)
     n = train.count()
-    data = train.select(*features, label).withColumn("_w", F.lit(1.0 / n))
+    data = bin_rows(train.select(*features, label), features, cuts).withColumn("_w", F.lit(1.0 / n))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     prev = None
     for it in range(n_estimators):
         stump = fit_tree(data, features, label, "classification", "gini", 1, 2, 1, weight="_w",
-                         classes=classes, cuts=cuts)
+                         classes=classes, cuts=cuts, prebinned=True)
+        if prev is not None:           # the new weights are cached now
+            prev.unpersist()
+            prev = None
         miss = (stump.prediction_column() != F.col(label)).cast("double")
         row = data.agg(F.sum(F.col("_w") * miss).alias("e"), F.sum("_w").alias("t")).first()
         err = row["e"] / row["t"]
@@ -332,11 +344,10 @@ def adaboost_classifier(train: DataFrame, features: Sequence[str], label: str, n
         alpha = learning_rate * (math.log((1 - err) / err) + math.log(K - 1))
         model.stumps.append((stump, alpha))
         nxt = data.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * miss))
-        nxt = _checkpoint(nxt, it + 1)
-        if prev is not None:
-            prev.unpersist()
-        prev, data = data, nxt
+        prev, data = data, _checkpoint(nxt, it + 1)
     data.unpersist()
+    if prev is not None:
+        prev.unpersist()
     return model
 
 
@@ -373,12 +384,16 @@ def adaboost_regressor(train: DataFrame, features: Sequence[str], label: str, n_
     cuts = fit_cuts(train, features, max_bins)
     model = AdaBoostRegressorModel(name, features)
     n = train.count()
-    data = train.select(*features, F.col(label).cast("double").alias(label)).withColumn("_w", F.lit(1.0 / n))
+    data = bin_rows(train.select(*features, F.col(label).cast("double").alias(label)), features, cuts) \
+        .withColumn("_w", F.lit(1.0 / n))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     prev = None
     for it in range(n_estimators):
         tree = fit_tree(data, features, label, "regression", "squared_error", max_depth, 2, 1,
-                        weight="_w", cuts=cuts)
+                        weight="_w", cuts=cuts, prebinned=True)
+        if prev is not None:
+            prev.unpersist()
+            prev = None
         err_abs = F.abs(tree.prediction_column() - F.col(label))
         mx = data.agg(F.max(err_abs).alias("m")).first()["m"] or 0.0
         if mx <= 0:
@@ -395,11 +410,10 @@ def adaboost_regressor(train: DataFrame, features: Sequence[str], label: str, n_
         beta = avg_loss / (1.0 - avg_loss)
         model.trees.append((tree, learning_rate * math.log(1.0 / beta)))
         nxt = data.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), (1.0 - lo) * learning_rate))
-        nxt = _checkpoint(nxt, it + 1)
-        if prev is not None:
-            prev.unpersist()
-        prev, data = data, nxt
+        prev, data = data, _checkpoint(nxt, it + 1)
     data.unpersist()
+    if prev is not None:
+        prev.unpersist()
     return model
 
 

@@ -211,7 +211,10 @@ def fit_tree(df: DataFrame, features: Sequence[str], label: str, task: str = "cl
              criterion: str | None = None, max_depth: int = 5, min_samples_split: int = 2,
              min_samples_leaf: int = 1, weight: str | None = None, max_bins: int = 256,
              classes: Sequence | None = None, cuts: list[list[float]] | None = None,
-             binned: DataFrame | None = None) -> TreeModel:
+             prebinned: bool = False) -> TreeModel:
+    """Fit one tree. ``prebinned``: ``df`` already holds the ``_b{i}`` bin
+    columns of ``bin_rows`` for ``cuts`` and is cached by the caller (used by
+    the boosting loops, which re-weight the same binned rows every round)."""
     features = list(features)
     criterion = criterion or ("gini" if task == "classification" else "squared_error")
     if criterion == "log_loss":
@@ -223,36 +226,40 @@ def fit_tree(df: DataFrame, features: Sequence[str], label: str, task: str = "cl
                          f"(supported: {', '.join(REGRESSION_CRITERIA)})")
     if not 1 <= max_depth <= 30:
         raise ValueError("max_depth must be in 1..30")
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    if task == "classification":
-        if classes is None:
-            classes = [r[0] for r in df.select(label).distinct().orderBy(label).limit(10_001).collect()]
-            if len(classes) > 10_000:
-                raise ValueError("too many classes")
-        classes = list(classes)
-        y = F.col(label)
-        stat_cols = [F.when(y == F.lit(c), w).otherwise(0.0).alias(f"_s{k}") for k, c in enumerate(classes)]
-    else:
-        y = F.col(label).cast("double")
-        stat_cols = [w.alias("_s0"), (w * y).alias("_s1"), (w * y * y).alias("_s2")]
+    if task == "classification" and classes is None:
+        classes = [r[0] for r in df.select(label).distinct().orderBy(label).limit(10_001).collect()]
+        if len(classes) > 10_000:
+            raise ValueError("too many classes")
+    stat_cols = stat_columns(task, label, classes, weight)
     n_stats = len(stat_cols)
     if cuts is None:
         cuts = fit_cuts(df, features, max_bins)
-    own_cache = binned is None
-    if binned is None:
+    bins = [f"_b{i}" for i in range(len(features))]
+    if prebinned:
+        binned = df.select(*bins, *stat_cols)
+    else:
         rows = df.select(*features, *stat_cols)
-        binned = bin_rows(rows, features, cuts).select(
-            *[f"_b{i}" for i in range(len(features))], *[f"_s{k}" for k in range(n_stats)])
+        binned = bin_rows(rows, features, cuts).select(*bins, *[f"_s{k}" for k in range(n_stats)])
         binned = binned.persist(StorageLevel.MEMORY_AND_DISK)
-    model = TreeModel(features, task, criterion, classes)
+    model = TreeModel(features, task, criterion, list(classes) if classes is not None else None)
     try:
         _grow(model, binned, cuts, n_stats, max_depth, min_samples_split, min_samples_leaf)
     finally:
-        if own_cache:
+        if not prebinned:
             binned.unpersist()
     return model
 
 
+def stat_columns(task: str, label: str, classes: Sequence | None, weight: str | None) -> list[Column]:
+    """Additive statistics per row: class weights, or (w, w y, w y^2)."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    if task == "classification":
+        y = F.col(label)
+        return [F.when(y == F.lit(c), w).otherwise(0.0).alias(f"_s{k}") for k, c in enumerate(classes)]
+    y = F.col(label).cast("double")
+    return [w.alias("_s0"), (w * y).alias("_s1"), (w * y * y).alias("_s2")]
+
+
 def _route(model: TreeModel, node_id: int) -> Column:
     node = model.nodes.get(node_id)
     if node is None or node.is_leaf:
@@ -262,33 +269,56 @@ def _route(model: TreeModel, node_id: int) -> Column:
 
 
 def _grow(model: TreeModel, binned: DataFrame, cuts, n_stats, max_depth, mss, msl) -> None:
-    """One job per level: node totals and best cut of every open node."""
+    """One job per level with splittable nodes: each job returns, per open
+    node, its totals and best cut *with the left-side sums*, so the
+    children's statistics are known without another pass."""
     task, criterion = model.task, model.criterion
     nf = len(model.features)
     s = [f"_s{k}" for k in range(n_stats)]
-    open_nodes = {1: 0}
+    known: dict[int, tuple[int, list[float]]] = {}
+    frontier = [1]
     for depth in range(0, max_depth + 1):
-        if not open_nodes:
+        if not frontier:
             break
-        routed = binned.withColumn("_node", _route(model, 1)).where(F.col("_node").isin(list(open_nodes)))
-        if depth == max_depth:
-            rows = routed.groupBy("_node").agg(F.count(F.lit(1)).alias("_nt"),
-                                               *[F.sum(c).alias(f"t{c}") for c in s]).collect()
-            summary = {r["_node"]: (r["_nt"], [float(r[f"t{c}"]) for c in s], None) for r in rows}
-        else:
-            summary = _level_summary(routed, nf, s, task, criterion, msl)
-        next_open = {}
+        need = [nid for nid in frontier if nid not in known]
+        eligible = []
+        for nid in frontier:
+            if nid in known:
+                n, st = known[nid]
+                wsum = st[0] if task == "regression" else sum(st)
+                imp = _impurity_py(st, wsum, task, criterion)
+                model.nodes[nid] = Node(nid, depth, n, wsum, st, imp)
+                if depth < max_depth and n >= mss and n >= 2 * msl and imp > EPS:
+                    eligible.append(nid)
+        query = need + eligible
+        if depth == max_depth or not query:
+            break
+        routed = binned.withColumn("_node", _route(model, 1)).where(F.col("_node").isin(query))
+        summary = _level_summary(routed, nf, s, task, criterion, msl)
+        nxt = []
         for nid, (n, st, best) in summary.items():
+            if nid in need:
+                wsum = st[0] if task == "regression" else sum(st)
+                imp = _impurity_py(st, wsum, task, criterion)
+                model.nodes[nid] = Node(nid, depth, n, wsum, st, imp)
+                if not (depth < max_depth and n >= mss and n >= 2 * msl and imp > EPS):
+                    continue
+            if best is None:
+                continue
+            f, b, gain, nl, lst = best
+            node = model.nodes[nid]
+            node.feature, node._bin, node.threshold, node.improvement = f, b, cuts[f][b], gain
+            known[2 * nid] = (nl, lst)
+            known[2 * nid + 1] = (n - nl, [t - l for t, l in zip(st, lst)])
+            nxt += [2 * nid, 2 * nid + 1]
+        frontier = nxt
+    # children created at the last level are leaves with known statistics
+    for nid in frontier:
+        if nid not in model.nodes and nid in known:
+            n, st = known[nid]
             wsum = st[0] if task == "regression" else sum(st)
-            imp = _impurity_py(st, wsum, task, criterion)
-            node = Node(nid, depth, n, wsum, st, imp)
-            model.nodes[nid] = node
-            if depth < max_depth and n >= mss and n >= 2 * msl and imp > EPS and best is not None:
-                f, b, gain = best
-                node.feature, node._bin, node.threshold, node.improvement = f, b, cuts[f][b], gain
-                next_open[2 * nid] = depth + 1
-                next_open[2 * nid + 1] = depth + 1
-        open_nodes = next_open
+            model.nodes[nid] = Node(nid, model.nodes[nid // 2].depth + 1, n, wsum, st,
+                                    _impurity_py(st, wsum, task, criterion))
 
 
 def _level_summary(routed: DataFrame, nf: int, s: list[str], task: str, criterion: str, msl: int) -> dict:
@@ -325,17 +355,18 @@ def _level_summary(routed: DataFrame, nf: int, s: list[str], task: str, criterio
             gain = (wl * wr / wt_) * F.pow(L[1] / wl - R[1] / wr, 2) / wt_
             valid_w = (wl > 0) & (wr > 0)
     valid = (valid_w & (F.col("_nl") >= msl) & (F.col("_nt") - F.col("_nl") >= msl)).cast("int")
-    scored = cum.select("_node", "_f", "_bin", "_nt", *[f"t{c}" for c in s], valid.alias("_ok"),
-                        F.when(valid == 1, gain).alias("_gain"))
+    scored = cum.select("_node", "_f", "_bin", "_nt", "_nl", *[f"t{c}" for c in s], *[f"l{c}" for c in s],
+                        valid.alias("_ok"), F.when(valid == 1, gain).alias("_gain"))
     best = scored.groupBy("_node").agg(
-        F.max_by(F.struct("_f", "_bin", "_gain", "_ok"),
+        F.max_by(F.struct("_f", "_bin", "_gain", "_ok", "_nl", *[f"l{c}" for c in s]),
                  F.struct(F.col("_ok"), F.coalesce(F.col("_gain"), F.lit(-1.0)), -F.col("_f"), -F.col("_bin"))
                  ).alias("b"),
         F.first("_nt").alias("_nt"), *[F.first(f"t{c}").alias(f"t{c}") for c in s])
     out = {}
     for r in best.collect():
         b = r["b"]
-        chosen = (b["_f"], b["_bin"], b["_gain"]) if b["_ok"] == 1 else None
+        chosen = ((b["_f"], b["_bin"], b["_gain"], b["_nl"], [float(b[f"l{c}"]) for c in s])
+                  if b["_ok"] == 1 else None)
         out[r["_node"]] = (r["_nt"], [float(r[f"t{c}"]) for c in s], chosen)
     return out
 
