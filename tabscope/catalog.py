@@ -31,16 +31,26 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round_half_up(c, digits: int = DIGITS):
+    """floor(x * 10^d + 0.5) / 10^d with IEEE double operations only, so that
+    Spark and the SQL oracle (``r``) round identical doubles identically
+    (the engines' own ``round`` functions differ at exact midpoints)."""
+    y = c.cast("double") * F.lit(float(10 ** digits)) + F.lit(0.5)
+    fl = F.when(F.abs(y) < F.lit(1e15), y - F.pmod(y, F.lit(1.0))).otherwise(y)
+    return fl / F.lit(float(10 ** digits))
+
+
 def rounded(df: DataFrame, digits: int = DIGITS, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Round every double column (same rule as SQL ``round(x, digits)``)."""
+    """Round every double column (same rule as SQL ``r(x, digits)``)."""
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name)
+        round_half_up(F.col(f.name), digits).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in skip
         else F.col(f.name) for f in df.schema.fields])
 
 
 def r(expr: str, digits: int = DIGITS) -> str:
-    return f"round({expr}, {digits})"
+    y = f"(CAST({expr} AS DOUBLE) * {float(10 ** digits)!r}e0 + 0.5e0)"
+    return f"((CASE WHEN abs({y}) < 1e15 THEN floor({y}) ELSE {y} END) / {float(10 ** digits)!r}e0)"
 
 
 def long_sql(tbl: str, cols: list[str], where: str = "") -> str:

@@ -84,7 +84,7 @@ def align_to_training(new: DataFrame, numeric: Sequence[str], categories: dict[s
 
 
 def feature_domain(df: DataFrame, features: Sequence[str],
-                   max_categories: int = MAX_CATEGORIES) -> DataFrame:
+                   max_categories: int = MAX_CATEGORIES, mean_scale: int | None = None) -> DataFrame:
     """Per predictor: kind, min/max/mean (numeric) or sorted distinct values
     (categorical), one aggregate pass. ``collect_set`` is bounded by the
     category check of ``fit_categories`` (vocabularies above it are refused)."""
@@ -94,7 +94,8 @@ def feature_domain(df: DataFrame, features: Sequence[str],
     for c in num:
         aggs += [F.min(F.col(c).cast("double")).alias(f"mn_{c}"),
                  F.max(F.col(c).cast("double")).alias(f"mx_{c}"),
-                 F.avg(F.col(c).cast("double")).alias(f"av_{c}")]
+                 (F.avg(F.col(c).cast("double")) if mean_scale is None else
+                  F.sum(F.col(c).cast(f"decimal(38,{mean_scale})")).cast("double") / F.count(c)).alias(f"av_{c}")]
     for c in cat:
         aggs += [F.count_distinct(F.col(c)).alias(f"nd_{c}")]
     row = df.agg(*aggs)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.plans.ordering import prefix_sums
@@ -258,11 +258,19 @@ def auc_table(pred: DataFrame, y: str, probability: str, classes: Sequence[str],
 
 # ------------------------------------------------------------------ V11-V14
 
-def regression_metrics(pred: DataFrame, y: str = "y", prediction: str = "prediction", by=None) -> DataFrame:
-    """MSE, RMSE, MAE and R^2 = 1 - SSE/SST (one aggregate)."""
+def _mean(c: Column, scale: int | None) -> Column:
+    if scale is None:
+        return F.avg(c)
+    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double") / F.count(c)
+
+
+def regression_metrics(pred: DataFrame, y: str = "y", prediction: str = "prediction", by=None,
+                       mean_scale: int | None = None) -> DataFrame:
+    """MSE, RMSE, MAE and R^2 = 1 - SSE/SST (one aggregate). ``mean_scale``:
+    averages from exact decimal sums (partitioning-independent)."""
     k = _keys(by)
     e = F.col(prediction).cast("double") - F.col(y).cast("double")
-    m = pred.groupBy(*k).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
+    m = pred.groupBy(*k).agg(_mean(e * e, mean_scale).alias("mse"), _mean(F.abs(e), mean_scale).alias("mae"),
                              F.sum(e * e).alias("_sse"),
                              (F.var_pop(F.col(y).cast("double")) * F.count(F.lit(1))).alias("_sst"))
     r2 = (F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))
@@ -306,8 +314,8 @@ def model_comparison_from_report(rep: DataFrame, by: str = "model") -> DataFrame
 
 
 def model_comparison(pred: DataFrame, y: str = "y", prediction: str = "prediction",
-                     by: str = "model", regression: bool = False) -> DataFrame:
+                     by: str = "model", regression: bool = False, mean_scale: int | None = None) -> DataFrame:
     """One row per model with best (and for classification worst) flags."""
     if regression:
-        return flag_regression(regression_metrics(pred, y, prediction, by), by)
+        return flag_regression(regression_metrics(pred, y, prediction, by, mean_scale), by)
     return model_comparison_from_report(classification_report(pred, y, prediction, by), by)

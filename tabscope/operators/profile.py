@@ -36,14 +36,24 @@ def _const_key(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- U12
 
-def numeric_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def mean_of(c: str, scale: int | None) -> F.Column:
+    """avg, or with ``scale`` an exact DECIMAL(38, scale) sum divided by the
+    count: independent of partitioning and summation order (for data with
+    at most ``scale`` decimals)."""
+    if scale is None:
+        return F.avg(c)
+    return F.sum(F.col(c).cast(f"decimal(38,{scale})")).cast("double") / F.count(c)
+
+
+def numeric_describe(df: DataFrame, cols: Sequence[str] | None = None,
+                     mean_scale: int | None = None) -> DataFrame:
     """pandas ``describe().T``: count, mean, std, min, 25/50/75 %, max per
     numeric column, exact linear quantiles."""
     cols = list(cols or numeric_columns(df))
     long = long_values(df, cols)
     moments = long.groupBy("column_name").agg(
         F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
+        mean_of("value", mean_scale).alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"))
@@ -56,7 +66,7 @@ def numeric_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 # --------------------------------------------------------------------- U1
 
-def descriptive_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def descriptive_stats(df: DataFrame, cols: Sequence[str], mean_scale: int | None = None) -> DataFrame:
     """mean, median, std (ddof 1), min, max, skew (G1), excess kurtosis (G2),
     nulls, as pandas reports them."""
     cols = list(cols)
@@ -65,7 +75,7 @@ def descriptive_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     m = long.groupBy("column_name").agg(
         F.count("value").alias("n"),
         F.count(F.lit(1)).alias("rows"),
-        F.avg("value").alias("mean"),
+        mean_of("value", mean_scale).alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),

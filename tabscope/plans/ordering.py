@@ -20,6 +20,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +46,21 @@ def distinct_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _bucket_index(order: str, edges: str) -> F.Column:
-    # number of edges strictly below the value: equal values share a bucket
-    return F.size(F.filter(F.col(edges), lambda e: e < F.col(order)))
+def with_bucket(df: DataFrame, order: str, edges: str, out: str, max_edges: int) -> DataFrame:
+    """``out`` = number of entries of the sorted array ``edges`` strictly
+    below ``order`` (equal values share a bucket), by binary search: one
+    narrow projection per halving step, all inside whole-stage codegen."""
+    step = 1
+    while step * 2 <= max(max_edges, 1):
+        step *= 2
+    d = df.withColumn(out, F.lit(0))
+    size = F.size(F.col(edges))
+    while step >= 1:
+        nxt = F.col(out) + step
+        d = d.withColumn(out, F.when((nxt <= size) & (F.element_at(F.col(edges), nxt) < F.col(order)), nxt)
+                         .otherwise(F.col(out)))
+        step //= 2
+    return d
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str,
@@ -67,9 +82,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str,
     # one sketch row per key: keys x buckets doubles, bounded by the key count
     edges = base.groupBy(*jkeys).agg(
         F.percentile_approx("_ord", probs, 10000).alias("_edges"))
-    with_b = (base.join(F.broadcast(edges), jkeys)
-              .withColumn("_b", _bucket_index("_ord", "_edges"))
-              .drop("_edges"))
+    with_b = with_bucket(base.join(F.broadcast(edges), jkeys), "_ord", "_edges", "_b", buckets - 1).drop("_edges")
     totals = with_b.groupBy(*jkeys, "_b").agg(
         *[F.sum(m).alias(f"_t_{m}") for m in measures])
     w_off = (Window.partitionBy(*jkeys).orderBy("_b")
@@ -86,44 +99,134 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str,
     return out.drop(*drop)
 
 
-# The exact ``percentile`` aggregate keeps one value->count map per group and
-# merges it in a single task; it is used only for columns whose distinct count
-# is checked to be below this bound, the distributed path handles the rest.
-MAX_IN_TASK_DISTINCT = 1_000_000
+QUANTILE_BUCKETS = 1024
+MAX_BUCKET_ROWS = 2_000_000
+MAX_LEVELS = 4
+
+
+def _path_columns(v: F.Column, lo: float, hi: float, depth: int, buckets: int) -> list[F.Column]:
+    """Nested equal-width bucket indices of ``v`` for levels 1..depth: level
+    L cuts the level L-1 bucket [lo, hi] into ``buckets`` equal parts
+    (clamped, so every value of a bucket gets a sub-bucket)."""
+    ks = []
+    clo, chi = F.lit(float(lo)), F.lit(float(hi))
+    for _ in range(depth):
+        k = F.when(chi > clo, F.least(F.greatest(F.floor((v - clo) * float(buckets) / (chi - clo)), F.lit(0)),
+                                      F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+        ks.append(k)
+        w = (chi - clo) / float(buckets)
+        clo, chi = clo + k * w, clo + (k + 1) * w
+    return ks
+
+
+def _bounds(lo: float, hi: float, path: tuple, buckets: int) -> tuple[float, float]:
+    """Driver-side bounds of a bucket path (same arithmetic as the columns)."""
+    for k in path:
+        w = (hi - lo) / float(buckets)
+        lo, hi = lo + k * w, lo + (k + 1) * w
+    return lo, hi
+
+
+def _exploded_paths(dbl: DataFrame, cols: list[str], bounds: dict, depth: int, buckets: int) -> DataFrame:
+    """``(c, k1..k_depth, value)`` rows: one per non-null cell of ``cols``."""
+    structs = []
+    for i, c in enumerate(cols):
+        if c not in bounds:
+            continue
+        ks = _path_columns(F.col(c), *bounds[c], depth, buckets)
+        structs.append(F.struct(F.lit(i).alias("c"), *[k.alias(f"k{j + 1}") for j, k in enumerate(ks)],
+                                F.col(c).alias("value")))
+    return dbl.select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(F.col("value").isNotNull())
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    buckets: int = DEFAULT_BUCKETS,
-                    max_in_task_distinct: int = MAX_IN_TASK_DISTINCT) -> DataFrame:
+                    buckets: int = QUANTILE_BUCKETS, max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """``(column_name, prob, quantile)``: linear-interpolated exact quantiles
-    (pandas ``quantile``, SQL ``percentile_cont``) of each column.
+    (pandas ``quantile``, SQL ``percentile_cont``) of each numeric column.
 
-    A one-row ``approx_count_distinct`` check splits the columns: bounded ones
-    use Spark's exact ``percentile`` (map bounded by the check), unbounded ones
-    the distributed rank path, where no group ever holds all values."""
+    Narrow passes only, none gathering a column in one task:
+    (1) count / min / max per column;
+    (2) rows per equal-width bucket (columns x buckets counts reach the
+        driver and locate every wanted rank in one bucket); a bucket holding
+        more than ``max_bucket_rows`` rows is cut again the same way, at most
+        ``MAX_LEVELS`` times, scanning only the rows of such buckets;
+    (3) only the rows of the final buckets: distinct values with counts (a
+        hot value collapses to one row), ranked by a window per bucket.
+    The result (columns x probs numbers) is returned as a small DataFrame.
+    """
     cols = list(cols)
     probs = [float(p) for p in probs]
-    if max_in_task_distinct > 0:
-        est = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}")
-                       for i, c in enumerate(cols)]).first()
-        small = [c for i, c in enumerate(cols) if est[f"d{i}"] <= max_in_task_distinct]
-    else:
-        small = []
-    big = [c for c in cols if c not in small]
-    parts = []
-    if small:
-        agg = long_values(df, small).groupBy("column_name").agg(
-            F.percentile("value", probs).alias("_q"))
-        parts.append(agg.select("column_name", F.posexplode("_q").alias("_i", "quantile"))
-                     .select("column_name",
-                             F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"),
-                             "quantile"))
-    if big:
-        parts.append(quantiles_from_counts(distinct_value_counts(df, big), probs, buckets))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = df.sparkSession
+    dbl = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    st = dbl.agg(*[x for i, c in enumerate(cols) for x in
+                   (F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"))]).first()
+    plan, pend = {}, {}
+    for i, c in enumerate(cols):
+        total = st[f"n{i}"]
+        if not total:
+            continue
+        for p in probs:
+            h = (total - 1) * p
+            lo = math.floor(h)
+            hi = min(lo + 1, total - 1)
+            plan[(c, p)] = (lo, hi, h - lo)
+            for pos in (lo, hi):
+                pend[(i, pos)] = [(), pos]          # bucket path so far, rank inside it
+    bounds = {c: (st[f"a{i}"], st[f"b{i}"]) for i, c in enumerate(cols) if st[f"n{i}"]}
+    if not pend:
+        return spark.createDataFrame([], "column_name string, prob double, quantile double")
+    open_ = set(pend)
+    for depth in range(1, MAX_LEVELS + 1):
+        if not open_:
+            break
+        prefixes = sorted({(i, pend[key][0]) for key in open_ for i in [key[0]]})
+        ex = _exploded_paths(dbl, cols, bounds, depth, buckets)
+        kc = [f"k{j}" for j in range(1, depth)]
+        if depth > 1:
+            pdf = spark.createDataFrame([(i, *path) for i, path in prefixes],
+                                        ", ".join(["c int"] + [f"{k} int" for k in kc]))
+            ex = ex.join(F.broadcast(pdf), ["c", *kc])
+        rows = ex.groupBy("c", *kc, f"k{depth}").agg(F.count(F.lit(1)).alias("n")).collect()
+        counts: dict[tuple, dict[int, int]] = {}
+        for r in rows:
+            counts.setdefault((r["c"], tuple(r[k] for k in kc)), {})[r[f"k{depth}"]] = r["n"]
+        still = set()
+        for key in open_:
+            path, local = pend[key]
+            per = counts[(key[0], path)]
+            acc = 0
+            for k in sorted(per):
+                if acc + per[k] > local:
+                    break
+                acc += per[k]
+            pend[key] = [path + (k,), local - acc]
+            lo, hi = _bounds(*bounds[cols[key[0]]], path + (k,), buckets)
+            if per[k] > max_bucket_rows and hi > lo and depth < MAX_LEVELS:
+                still.add(key)
+        open_ = still
+    # pick: distinct values of the final buckets, ranked inside each bucket
+    picked = []
+    for depth in sorted({len(v[0]) for v in pend.values()}):
+        kc = [f"k{j}" for j in range(1, depth + 1)]
+        keys = [(i, pos, path, local) for (i, pos), (path, local) in pend.items() if len(path) == depth]
+        tdf = spark.createDataFrame([(i, *path, int(local), int(pos)) for i, pos, path, local in keys],
+                                    ", ".join(["c int"] + [f"{k} int" for k in kc] + ["local long", "pos long"]))
+        wanted = tdf.select("c", *kc).distinct()
+        sub = (_exploded_paths(dbl, cols, bounds, depth, buckets).join(F.broadcast(wanted), ["c", *kc])
+               .groupBy("c", *kc, "value").agg(F.count(F.lit(1)).alias("n")))
+        w = Window.partitionBy("c", *kc).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hit = (sub.withColumn("cum", F.sum("n").over(w)).join(F.broadcast(tdf), ["c", *kc])
+               .where((F.col("cum") - F.col("n") <= F.col("local")) & (F.col("local") < F.col("cum"))))
+        picked.append(hit.select("c", "pos", "value"))
+    allp = picked[0]
+    for p in picked[1:]:
+        allp = allp.unionByName(p)
+    val = {(cols[r["c"]], r["pos"]): r["value"] for r in allp.collect()}
+    rows = []
+    for (c, p), (lo, hi, frac) in plan.items():
+        xlo, xhi = val[(c, lo)], val[(c, hi)]
+        rows.append((c, p, xlo + (xhi - xlo) * frac))
+    return spark.createDataFrame(rows, "column_name string, prob double, quantile double")
 
 
 def quantiles_from_counts(counts: DataFrame, probs: Sequence[float],

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabscope.catalog import T_, r, register, rounded
+from tabscope.catalog import T_, r, register, round_half_up, rounded
 from tabscope.operators import bivariate as BV
 from tabscope.operators import metrics as V
 from tabscope.operators import profile as P
@@ -93,8 +93,8 @@ _OLS_PAIRS = [("l_quantity", "l_extendedprice"), ("l_extendedprice", "net_price"
     f"regr_count({y}, {x}) AS n FROM {_STRONG_SRC}" for x, y in _OLS_PAIRS))
 def q_ols_trend(spark, sf):
     d = BV.ols_trend(_lineitem_net(spark, sf), _OLS_PAIRS)
-    return d.select("x", "y", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"),
-                    F.round("r2", 9).alias("r2"), F.col("n").cast("long").alias("n"))
+    return d.select("x", "y", round_half_up(F.col("slope"), 6).alias("slope"), round_half_up(F.col("intercept"), 6).alias("intercept"),
+                    round_half_up(F.col("r2"), 9).alias("r2"), F.col("n").cast("long").alias("n"))
 
 
 # ------------------------------------------------------------------ rule predictions
@@ -106,14 +106,14 @@ _S = [f"exp(-abs(value - {c}e0) / 10.0e0)" for c in CENTERS]
 _TOT = "(" + " + ".join(_S) + ")"
 PRED_SQL = f"SELECT event_id, event_type AS y, {RULE} AS prediction FROM events"
 # probabilities rounded to 9 decimals in both engines so that ties agree
-PROB_SQL = (f"SELECT event_id, event_type AS y, " + ", ".join(f"round({s} / {_TOT}, 9) AS p{i}" for i, s in enumerate(_S))
+PROB_SQL = (f"SELECT event_id, event_type AS y, " + ", ".join(f"{r(s + ' / ' + _TOT, 9)} AS p{i}" for i, s in enumerate(_S))
             + " FROM events")
 
 
 def rule_predictions(spark, sf):
     e = T_(spark, sf, "events")
     return e.select("event_id", F.col("event_type").alias("y"), F.expr(RULE).alias("prediction"),
-                    F.array(*[F.expr(f"round({s} / {_TOT}, 9)") for s in _S]).alias("probability"), "value", "user_id")
+                    F.array(*[round_half_up(F.expr(f"{s} / {_TOT}"), 9) for s in _S]).alias("probability"), "value", "user_id")
 
 
 def two_models(spark, sf):
@@ -275,12 +275,14 @@ SELECT class, {r('auc', 9)} AS auc, {_verdict_sql('auc')} AS verdict, {_grade_sq
 def q_auc_table(spark, sf):
     t = V.auc_table(rule_predictions(spark, sf), "y", "probability", CLASSES)
     # verdicts are taken on the rounded value, as in the SQL
-    t = t.withColumn("auc", F.round("auc", 9))
+    t = t.withColumn("auc", round_half_up(F.col("auc"), 9))
     return t.select("class", "auc", F.when(F.col("auc").isNotNull(), V.auc_verdict(F.col("auc"))).alias("verdict"),
                     F.when(F.col("auc").isNotNull(), V.auc_grade(F.col("auc"))).alias("grade"))
 
 
 # ------------------------------------------------------------------ V11-V14
+_EM_SQ = "CAST(sum(CAST((prediction - y) * (prediction - y) AS DECIMAL(38,6))) AS DOUBLE) / count(*)"
+_EM_ABS = "CAST(sum(CAST(abs(prediction - y) AS DECIMAL(38,6))) AS DOUBLE) / count(*)"
 REG_RULE = "CASE WHEN o_orderstatus = 'F' THEN 150000.0e0 ELSE 140000.0e0 END"
 REG_RULE2 = "o_totalprice * 0.9e0 + 10000.0e0"
 
@@ -295,13 +297,13 @@ _REG_SRC = f"SELECT o_totalprice AS y, {REG_RULE} AS prediction FROM orders"
 
 @register("regression_metrics", f"""
 WITH p AS ({_REG_SRC})
-SELECT {r('avg((prediction - y) * (prediction - y))')} AS mse, {r('sqrt(avg((prediction - y) * (prediction - y)))')} AS rmse,
-       {r('avg(abs(prediction - y))')} AS mae,
+SELECT {r(_EM_SQ)} AS mse, {r('sqrt(' + _EM_SQ + ')')} AS rmse,
+       {r(_EM_ABS)} AS mae,
        {r('1 - sum((prediction - y) * (prediction - y)) / (var_pop(y) * count(*))', 9)} AS r2 FROM p
 """)
 def q_regression_metrics(spark, sf):
-    m = V.regression_metrics(reg_predictions(spark, sf))
-    return m.select(*[F.round(c, 6).alias(c) for c in ("mse", "rmse", "mae")], F.round("r2", 9).alias("r2"))
+    m = V.regression_metrics(reg_predictions(spark, sf), mean_scale=6)
+    return m.select(*[round_half_up(F.col(c), 6).alias(c) for c in ("mse", "rmse", "mae")], round_half_up(F.col("r2"), 9).alias("r2"))
 
 
 @register("residual_histogram", f"""
@@ -348,8 +350,8 @@ _TWO_REG = (f"SELECT 'r1' AS model, o_totalprice AS y, {REG_RULE} AS prediction
 
 
 @register("model_comparison_regression", f"""
-WITH m AS (SELECT model, {r('avg((prediction - y) * (prediction - y))')} AS mse,
-                  {r('sqrt(avg((prediction - y) * (prediction - y)))')} AS rmse, {r('avg(abs(prediction - y))')} AS mae,
+WITH m AS (SELECT model, {r(_EM_SQ)} AS mse,
+                  {r('sqrt(' + _EM_SQ + ')')} AS rmse, {r(_EM_ABS)} AS mae,
                   {r('1 - sum((prediction - y) * (prediction - y)) / (var_pop(y) * count(*))', 9)} AS r2
            FROM ({_TWO_REG}) GROUP BY model)
 SELECT model, mse, rmse, mae, r2, mse = min(mse) OVER () AS best_mse, rmse = min(rmse) OVER () AS best_rmse,
@@ -359,6 +361,6 @@ def q_model_comparison_regression(spark, sf):
     o = T_(spark, sf, "orders")
     a = o.select(F.lit("r1").alias("model"), F.col("o_totalprice").alias("y"), F.expr(REG_RULE).alias("prediction"))
     b = o.select(F.lit("r2").alias("model"), F.col("o_totalprice").alias("y"), F.expr(REG_RULE2).alias("prediction"))
-    m = V.regression_metrics(a.unionByName(b), by="model")
-    m = m.select("model", *[F.round(c, 6).alias(c) for c in ("mse", "rmse", "mae")], F.round("r2", 9).alias("r2"))
+    m = V.regression_metrics(a.unionByName(b), by="model", mean_scale=6)
+    m = m.select("model", *[round_half_up(F.col(c), 6).alias(c) for c in ("mse", "rmse", "mae")], round_half_up(F.col("r2"), 9).alias("r2"))
     return V.flag_regression(m, "model")

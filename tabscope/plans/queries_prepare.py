@@ -270,15 +270,16 @@ def q_align_to_training(spark, sf):
 
 @register("feature_domain", f"""
 SELECT 0 AS position, 'c_acctbal' AS feature, 'numeric' AS kind, {r('min(c_acctbal)')} AS min,
-       {r('max(c_acctbal)')} AS max, {r('avg(c_acctbal)')} AS mean, CAST(NULL AS BIGINT) AS n_categories
+       {r('max(c_acctbal)')} AS max, {r('CAST(sum(CAST(c_acctbal AS DECIMAL(38,6))) AS DOUBLE) / count(c_acctbal)')} AS mean, CAST(NULL AS BIGINT) AS n_categories
 FROM customer
 UNION ALL SELECT 1, 'c_nationkey', 'numeric', {r('min(c_nationkey)')}, {r('max(c_nationkey)')},
-       {r('avg(c_nationkey)')}, CAST(NULL AS BIGINT) FROM customer
+       {r('CAST(sum(CAST(c_nationkey AS DECIMAL(38,6))) AS DOUBLE) / count(c_nationkey)')}, CAST(NULL AS BIGINT) FROM customer
 UNION ALL SELECT 2, 'c_mktsegment', 'categorical', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
        CAST(NULL AS DOUBLE), count(DISTINCT c_mktsegment) FROM customer
 """)
 def q_feature_domain(spark, sf):
-    return rounded(E.feature_domain(T_(spark, sf, "customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"]))
+    return rounded(E.feature_domain(T_(spark, sf, "customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"],
+                                    mean_scale=6))
 
 
 @register("feature_categories", """

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabscope.catalog import T_, long_sql, r, register, rounded
+from tabscope.catalog import T_, long_sql, r, register, round_half_up, rounded
 from tabscope.functions.normal import inv_norm_sql
 from tabscope.operators import profile as P
 
+# means from exact decimal sums: identical doubles in both engines
+EXACT_MEAN = "CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / count(value)"
+
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                 "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 _DESCRIBE_SQL = f"""
 WITH long AS ({long_sql('lineitem', LINEITEM_NUM)})
-SELECT column_name, count(value) AS count, {r('avg(value)')} AS mean,
+SELECT column_name, count(value) AS count, {r(EXACT_MEAN)} AS mean,
        {r('stddev_samp(value)')} AS std, {r('min(value)')} AS min,
        {r('quantile_cont(value, 0.25)')} AS p25, {r('quantile_cont(value, 0.5)')} AS p50,
        {r('quantile_cont(value, 0.75)')} AS p75, {r('max(value)')} AS max
@@ -23,7 +26,7 @@ FROM long GROUP BY column_name
 
 @register("numeric_describe", _DESCRIBE_SQL)
 def q_numeric_describe(spark, sf):
-    return rounded(P.numeric_describe(T_(spark, sf, "lineitem"), LINEITEM_NUM))
+    return rounded(P.numeric_describe(T_(spark, sf, "lineitem"), LINEITEM_NUM, mean_scale=6))
 
 
 # ------------------------------------------------------------------ derived inputs
@@ -52,14 +55,14 @@ def _per_column_sql(src: str, schema: list[tuple[str, str]]) -> str:
 WITH e AS ({EVENTS_NULLS_SQL}),
 long AS (SELECT 'value' AS column_name, CAST(value AS DOUBLE) AS value FROM e
          UNION ALL SELECT 'user_id', CAST(user_id AS DOUBLE) FROM e)
-SELECT column_name, {r('avg(value)')} AS mean, {r('quantile_cont(value, 0.5)')} AS median,
+SELECT column_name, {r(EXACT_MEAN)} AS mean, {r('quantile_cont(value, 0.5)')} AS median,
        {r('stddev_samp(value)')} AS std, {r('min(value)')} AS min, {r('max(value)')} AS max,
        {r('skewness(value)')} AS skew, {r('kurtosis(value)')} AS kurtosis,
        count(*) - count(value) AS nulls
 FROM long GROUP BY column_name
 """)
 def q_descriptive_stats(spark, sf):
-    return rounded(P.descriptive_stats(events_with_nulls(spark, sf), ["value", "user_id"]))
+    return rounded(P.descriptive_stats(events_with_nulls(spark, sf), ["value", "user_id"], mean_scale=6))
 
 
 # ------------------------------------------------------------------ U2
@@ -126,7 +129,7 @@ FROM t GROUP BY i, gx, n, bw
 """)
 def q_density_curve(spark, sf):
     d = P.density_curve(T_(spark, sf, "events"), "value")
-    return d.select("point", F.round("x", 6).alias("x"), F.round("density", 10).alias("density"))
+    return d.select("point", round_half_up(F.col("x"), 6).alias("x"), round_half_up(F.col("density"), 10).alias("density"))
 
 
 # ------------------------------------------------------------------ U5
@@ -155,8 +158,8 @@ FROM p
 """)
 def q_qq_fit(spark, sf):
     d = P.qq_fit(T_(spark, sf, "events"), "value")
-    return d.select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"),
-                    F.round("r", 9).alias("r"))
+    return d.select(round_half_up(F.col("slope"), 6).alias("slope"), round_half_up(F.col("intercept"), 6).alias("intercept"),
+                    round_half_up(F.col("r"), 9).alias("r"))
 
 
 # ------------------------------------------------------------------ U7-U10

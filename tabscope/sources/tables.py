@@ -10,4 +10,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; column pruning and filters reach the reader."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer input partitions than task slots.
+
+    A file written as one row group is read by one task however large it
+    is, which serialises every narrow stage before the first shuffle. When
+    the scan has fewer partitions than the default parallelism, a round-robin
+    repartition to that parallelism is added (one shuffle of the pruned
+    columns). Large tables already have many splits and are left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
