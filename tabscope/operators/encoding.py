@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscope.functions.kinds import categorical_columns, is_numeric, numeric_columns
 
@@ -19,17 +20,28 @@ MAX_CATEGORIES = 1000
 
 def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES,
                    stringify: bool = False) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column. The distinct runs as a
-    shuffle; the driver receives at most ``max_categories + 1`` values per
-    column (checked with a limit before collecting)."""
-    out = {}
+    """Sorted distinct non-null values per column, all columns in one job:
+    (column, value) pairs are de-duplicated by a shuffle and at most
+    ``len(cols) * (max_categories + 1)`` pairs reach the driver (checked
+    with a limit before collecting)."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), (F.col(c).cast("string") if stringify else F.col(c).cast("string")).alias("v"))
+        for i, c in enumerate(cols)])).alias("s")).select("s.c", "s.v").where(F.col("v").isNotNull()).distinct()
+    rows = pairs.limit(len(cols) * (max_categories + 1)).collect()
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[cols[r["c"]]].append(r["v"])
     for c in cols:
-        col = F.col(c).cast("string") if stringify else F.col(c)
-        vals = (df.select(col.alias("v")).where(F.col("v").isNotNull()).distinct()
-                .orderBy("v").limit(max_categories + 1).collect())
-        if len(vals) > max_categories:
+        if len(out[c]) > max_categories:
             raise ValueError(f"column {c!r} has more than {max_categories} categories")
-        out[c] = [r["v"] for r in vals]
+        if not stringify and not isinstance(df.schema[c].dataType, T.StringType):
+            # keep the column's own type for non-string categoricals
+            out[c] = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
+        else:
+            out[c] = sorted(out[c])
     return out
 
 

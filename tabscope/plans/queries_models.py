@@ -37,10 +37,13 @@ def prepared(spark, sf, task: str = "classification", binning: dict | None = Non
     target = "demand" if task == "classification" and binning is None else "net_price"
     feats = FEATURES + (["l_extendedprice"] if task == "regression" else [])
     spec = PreparationSpec.fit(frame, target, feats, task=task, binning=binning)
-    data = spec.transform(frame, keep=["row_key"])
+    # the split scans the prepared rows three times and its result feeds
+    # several fits: keep both cached (an executor loss recomputes from lineage)
+    data = spec.transform(frame, keep=["row_key"]).persist(StorageLevel.MEMORY_AND_DISK)
     split, _ = L.split_with_fallback(data, "row_key", LABEL, 0.2, 42, classification=(task == "classification"))
-    # the prepared rows feed several fits: keep them (executor loss recomputes)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    split.count()
+    data.unpersist()
     return spec, split, frame
 
 
@@ -294,3 +297,24 @@ def q_ranked_probabilities(spark, sf):
 def q_point_comparison(spark, sf):
     spec, models, scored = _scored_long(spark, sf)
     return B.point_comparison(scored, "row_key")
+
+
+@register("score_stream")
+def q_score_stream(spark, sf):
+    """Structured Streaming: lineitem read as a file stream, scored by the
+    compiled tree micro-batch by micro-batch into a parquet sink (checkpoint
+    in the shared folder); the sink is read back as the result."""
+    import uuid
+
+    from tabscope.plans.queries_prepare import scratch_dir
+    from tabscope.streaming.scoring import score_stream, start_scoring
+    spec, model, _ = _tree_cls(spark, sf, depth=4)
+    schema = spark.read.parquet(f"{sf.rstrip('/')}/lineitem.parquet").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
+              .parquet(sf.rstrip("/")))
+    frame = stream.select(F.expr(ROW_KEY).alias("row_key"), *FEATURES)
+    out = scratch_dir(spark, "scored-stream")
+    q = start_scoring(score_stream(frame, spec, model, ["row_key"]), out, f"score_{uuid.uuid4().hex[:8]}",
+                      trigger_once=True)
+    q.awaitTermination()
+    return spark.read.parquet(out)

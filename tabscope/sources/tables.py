@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -23,6 +25,6 @@ def balanced(df: DataFrame) -> DataFrame:
     columns). Large tables already have many splits and are left alone.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    if os.environ.get("TABSCOPE_NO_BALANCE") != "1" and df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
