@@ -319,3 +319,66 @@ def model_comparison(pred: DataFrame, y: str = "y", prediction: str = "predictio
     if regression:
         return flag_regression(regression_metrics(pred, y, prediction, by, mean_scale), by)
     return model_comparison_from_report(classification_report(pred, y, prediction, by), by)
+
+
+# ------------------------------------------------------------------ V9 macro curve
+
+def _asof(queries: DataFrame, knots: DataFrame, keys: list[str], buckets: int = 1024) -> DataFrame:
+    """For each query row ``(keys, x)`` the nearest knot at or left of x
+    (``lf``, ``lhi``) and strictly right of x (``rf``, ``rlo``) within the same
+    key. x and knot positions are rates in [0, 1]: rows are bucketed by
+    ``floor(x * buckets)`` so every window partition is one bucket of one key;
+    buckets without a knot inherit the neighbours' knots through a window
+    over the small (key x bucket) table."""
+    b = F.least(F.floor(F.col("x") * buckets), F.lit(buckets - 1)).cast("int")
+    q = queries.select(*keys, "x", F.lit(1).alias("_q"), F.lit(None).cast("double").alias("_lo"),
+                       F.lit(None).cast("double").alias("_hi"))
+    k = knots.select(*keys, "x", F.lit(0).alias("_q"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    u = q.unionByName(k).withColumn("_b", b)
+    part = [*keys, "_b"]
+    wl = Window.partitionBy(*part).orderBy("x", "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wr = Window.partitionBy(*part).orderBy("x", "_q").rowsBetween(1, Window.unboundedFollowing)
+    knot_x = F.when(F.col("_q") == 0, F.col("x"))
+    u = u.select("*", F.last(knot_x, ignorenulls=True).over(wl).alias("lf"),
+                 F.last("_hi", ignorenulls=True).over(wl).alias("lhi"),
+                 F.first(knot_x, ignorenulls=True).over(wr).alias("rf"),
+                 F.first("_lo", ignorenulls=True).over(wr).alias("rlo"))
+    # knots carried across buckets: keys x buckets rows
+    per = k.withColumn("_b", b).groupBy(*part).agg(
+        F.max_by(F.struct(F.col("x").alias("px"), F.col("_hi").alias("phi")), F.col("x")).alias("last"),
+        F.min_by(F.struct(F.col("x").alias("nx"), F.col("_lo").alias("nlo")), F.col("x")).alias("first"))
+    grid = per.select(*keys)
+    # attach the carries of the nearest knot buckets; the carry table has at
+    # most keys x buckets rows. A query bucket without knots uses the
+    # buckets around it: fill it from the all-bucket grid of the key.
+    qb = u.where(F.col("_q") == 1)
+    allb = grid.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
+    wpb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wnb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    own = per.select(*part, "last", "first")
+    step = (allb.join(own, part, "left")
+            .select(*part, F.last("last", ignorenulls=True).over(wpb).alias("upto"),
+                    F.first("first", ignorenulls=True).over(wnb).alias("from_")))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    filled = step.select(*part, F.lag("upto").over(wb).alias("prev"), F.lead("from_").over(wb).alias("next"))
+    j = qb.join(F.broadcast(filled.select(*part, "prev", "next")), part, "left")
+    return j.select(
+        *keys, "x",
+        F.coalesce("lf", F.col("prev.px")).alias("lf"), F.coalesce("lhi", F.col("prev.phi")).alias("lhi"),
+        F.coalesce("rf", F.col("next.nx")).alias("rf"), F.coalesce("rlo", F.col("next.nlo")).alias("rlo"))
+
+
+def roc_macro(pred: DataFrame, y: str, probability: str, classes: Sequence[str],
+              drop_intermediate: bool = True) -> DataFrame:
+    """Macro-average ROC: mean over classes of each class's TPR linearly
+    interpolated (numpy ``interp``: at a repeated FPR the last, top point) on
+    the union of all classes' FPRs. Returns ``(fpr, tpr)``."""
+    curves = roc_one_vs_rest(pred, y, probability, classes, drop_intermediate=drop_intermediate)
+    knots = curves.groupBy("class", F.col("fpr").alias("x")).agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
+    xs = curves.select(F.col("fpr").alias("x")).distinct()
+    names = F.array(*[F.lit(str(c)) for c in classes])
+    queries = xs.select("x", F.explode(names).alias("class"))
+    a = _asof(queries, knots, ["class"])
+    t = F.when(F.col("rf").isNull(), F.col("lhi")).otherwise(
+        F.col("lhi") + (F.col("x") - F.col("lf")) * (F.col("rlo") - F.col("lhi")) / (F.col("rf") - F.col("lf")))
+    return a.groupBy(F.col("x").alias("fpr")).agg(F.avg(t).alias("tpr")).orderBy("fpr")

@@ -187,7 +187,8 @@ def q_global_metrics(spark, sf):
 
 
 # ------------------------------------------------------------------ V5-V10
-def _roc_sql(scored: str, keys: list[str]) -> str:
+def _roc_sql(scored: str, keys: list[str], rnd: bool = True) -> str:
+    rr = (lambda e, d: r(e, d)) if rnd else (lambda e, d: e)
     k = ", ".join(keys)
     kc = (k + ", ") if keys else ""
     part = f"PARTITION BY {k} " if keys else ""
@@ -203,8 +204,8 @@ j AS (SELECT c.*, lag(cum_tp) OVER ({part}ORDER BY point) AS ptp, lead(cum_tp) O
              lag(cum_fp) OVER ({part}ORDER BY point) AS pfp, lead(cum_fp) OVER ({part}ORDER BY point) AS nfp FROM c),
 kept AS (SELECT j.*, t.P, t.N, t.M FROM j JOIN t ON {jt.replace('c.', 'j.')}
          WHERE point = 1 OR point = t.M OR ntp - 2 * cum_tp + ptp <> 0 OR nfp - 2 * cum_fp + pfp <> 0)
-SELECT {kc}point, {r('score', 9)} AS threshold,
-       {r('CASE WHEN N > 0 THEN cum_fp / N END', 9)} AS fpr, {r('CASE WHEN P > 0 THEN cum_tp / P END', 9)} AS tpr
+SELECT {kc}point, {rr('score', 9)} AS threshold,
+       {rr('CASE WHEN N > 0 THEN cum_fp / N END', 9)} AS fpr, {rr('CASE WHEN P > 0 THEN cum_tp / P END', 9)} AS tpr
 FROM kept
 UNION ALL SELECT {kc}0, CAST('Infinity' AS DOUBLE), CASE WHEN N > 0 THEN 0.0e0 END, CASE WHEN P > 0 THEN 0.0e0 END FROM t
 """
@@ -364,3 +365,17 @@ def q_model_comparison_regression(spark, sf):
     m = V.regression_metrics(a.unionByName(b), by="model", mean_scale=6)
     m = m.select("model", *[round_half_up(F.col(c), 6).alias(c) for c in ("mse", "rmse", "mae")], round_half_up(F.col("r2"), 9).alias("r2"))
     return V.flag_regression(m, "model")
+
+
+@register("roc_macro", f"""
+WITH curve AS ({_roc_sql(_OVR_SCORED, ['class'], rnd=False)}),
+k AS (SELECT class, fpr, min(tpr) AS lo, max(tpr) AS hi FROM curve GROUP BY class, fpr),
+x AS (SELECT DISTINCT fpr FROM curve),
+q AS (SELECT c.class, x.fpr FROM (SELECT DISTINCT class FROM k) c CROSS JOIN x),
+l AS (SELECT q.class, q.fpr, k.fpr AS lf, k.hi AS lhi FROM q ASOF LEFT JOIN k ON q.class = k.class AND q.fpr >= k.fpr),
+rt AS (SELECT l.*, k2.fpr AS rf, k2.lo AS rlo FROM l ASOF LEFT JOIN k k2 ON l.class = k2.class AND l.fpr < k2.fpr),
+v AS (SELECT fpr, CASE WHEN rf IS NULL THEN lhi ELSE lhi + (fpr - lf) * (rlo - lhi) / (rf - lf) END AS t FROM rt)
+SELECT {r('fpr', 9)} AS fpr, {r('avg(t)', 9)} AS tpr FROM v GROUP BY fpr
+""")
+def q_roc_macro(spark, sf):
+    return rounded(V.roc_macro(rule_predictions(spark, sf), "y", "probability", CLASSES), 9)
