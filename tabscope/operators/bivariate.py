@@ -7,6 +7,7 @@ distributed prefix sums over distinct values, joined back by value.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -115,3 +116,85 @@ def ols_trend(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def all_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(cols, 2))
+
+
+# ------------------------------------------------------------------ C3 Kendall tau-b
+
+KENDALL_FANOUT = 16
+
+
+def _kendall_pair(d: DataFrame, x: str, y: str, fanout: int = KENDALL_FANOUT) -> DataFrame:
+    """One row ``(tau)``: Kendall tau-b of complete (x, y) rows, exact.
+
+    S = sum over rows i of C_i - D_i with C_i / D_i counted against rows of
+    smaller x, which equals 2 * sum(dom_i) + (pairs tied in y only) - (pairs
+    with different x), dom_i = #{j: x_j < x_i, y_j < y_i}. The dominance sum
+    is computed without forming pairs: distinct x values get their dense
+    rank (distributed prefix sums); its base-``fanout`` digits define nested
+    x groups; at each digit level, rows are grouped by (parent group, y) with
+    one count per child digit, and prefix sums over y inside each parent give
+    for every child the rows of *smaller* children below the current y. The
+    last level separates single x values, so every pair with different x is
+    counted exactly once. Cost: levels = ceil(log_fanout(distinct x)) passes.
+    """
+    pts = d.select(F.col(x).alias("x"), F.col(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    cxy = pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    xs = cxy.groupBy("x").agg(F.sum("n").alias("nx"), F.lit(1).cast("long").alias("one"))
+    ranked = prefix_sums(xs, [], "x", ["one"]).select("x", (F.col("cum_one") - 1).alias("dr"), "nx")
+    ties = {}
+    ties.update(cxy.agg(F.sum("n").alias("N"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n3")).first().asDict())
+    ties.update(xs.agg(F.count(F.lit(1)).alias("D"), F.sum(F.col("nx") * (F.col("nx") - 1) / 2).alias("n1")).first().asDict())
+    ties.update(cxy.groupBy("y").agg(F.sum("n").alias("ny")).agg(
+        F.sum(F.col("ny") * (F.col("ny") - 1) / 2).alias("n2")).first().asDict())
+    n_all, n_x = int(ties["N"] or 0), int(ties["D"] or 0)
+    spark = d.sparkSession
+    if n_all < 2:
+        return spark.createDataFrame([(None,)], "tau double")
+    levels = 1
+    while fanout ** levels < n_x:
+        levels += 1
+    base = cxy.join(ranked.select("x", "dr"), "x").select("y", "n", "dr")
+    dom = 0
+    for lvl in range(1, levels + 1):
+        hi = fanout ** (levels - lvl + 1)
+        lo = fanout ** (levels - lvl)
+        rows = base.select(F.floor(F.col("dr") / hi).alias("parent"), "y", "n",
+                           (F.floor(F.col("dr") / lo) % fanout).cast("int").alias("sub"))
+        m = [f"m{b}" for b in range(fanout)]
+        g = rows.groupBy("parent", "y").agg(*[F.sum(F.when(F.col("sub") == b, F.col("n")).otherwise(0)).alias(m[b])
+                                              for b in range(fanout)])
+        c = prefix_sums(g, ["parent"], "y", m, buckets=16)
+        less = [F.col(f"cum_{mb}") - F.col(mb) for mb in m]
+        contrib = None
+        suffix = None
+        for b in range(fanout - 1, 0, -1):
+            suffix = F.col(m[b]) if suffix is None else suffix + F.col(m[b])
+            term = less[b - 1] * suffix
+            contrib = term if contrib is None else contrib + term
+        dom += int(c.agg(F.sum(contrib).alias("s")).first()["s"] or 0)
+    n0 = n_all * (n_all - 1) // 2
+    n1, n2, n3 = int(ties["n1"]), int(ties["n2"]), int(ties["n3"])
+    s = 2 * dom + (n2 - n3) - (n0 - n1)
+    den = (n0 - n1) * (n0 - n2)
+    tau = s / math.sqrt(den) if den > 0 else None
+    return spark.createDataFrame([(tau, s)], "tau double, s long")
+
+
+def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Kendall tau-b matrix in long form ``(var1, var2, tau)`` (pandas
+    ``corr(method='kendall')``), each pair on its complete rows."""
+    cols = list(cols)
+    d = _clean(df, cols)
+    spark = df.sparkSession
+    vals = {}
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if j < i:
+                continue
+            if i == j:
+                nd = d.where(F.col(a).isNotNull()).select(a).distinct().limit(2).count()
+                vals[(a, a)] = 1.0 if nd > 1 else None
+            else:
+                vals[(a, b)] = _kendall_pair(d, a, b).first()["tau"]
+    rows = [(a, b, vals[(a, b)] if (a, b) in vals else vals[(b, a)]) for a in cols for b in cols]
+    return spark.createDataFrame(rows, "var1 string, var2 string, tau double")

@@ -58,6 +58,24 @@ def q_corr_spearman_nulls(spark, sf):
     return rounded(BV.corr_spearman(d, ["v", "u"]), 9)
 
 
+_KD = "(SELECT c_custkey AS k, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer)"
+_KT = f"""(SELECT s / sqrt((n * (n - 1) / 2 - n1) * (n * (n - 1) / 2 - n2)) AS tau FROM
+  (SELECT sum(sign(p.a - q.a) * sign(p.b - q.b)) AS s FROM {_KD} p JOIN {_KD} q ON p.k < q.k),
+  (SELECT count(*) AS n FROM {_KD}),
+  (SELECT sum(c * (c - 1) / 2) AS n1 FROM (SELECT count(*) AS c FROM {_KD} GROUP BY a)),
+  (SELECT sum(c * (c - 1) / 2) AS n2 FROM (SELECT count(*) AS c FROM {_KD} GROUP BY b)))"""
+
+
+@register("corr_kendall", f"""
+SELECT 'c_acctbal' AS var1, 'c_nationkey' AS var2, {r('tau', 9)} AS tau FROM {_KT}
+UNION ALL SELECT 'c_nationkey', 'c_acctbal', {r('tau', 9)} FROM {_KT}
+UNION ALL SELECT 'c_acctbal', 'c_acctbal', 1.0e0 UNION ALL SELECT 'c_nationkey', 'c_nationkey', 1.0e0
+""")
+def q_corr_kendall(spark, sf):
+    """Exact tau-b without forming pairs (oracle: all pairs in SQL)."""
+    return rounded(BV.corr_kendall(T_(spark, sf, "customer"), ["c_acctbal", "c_nationkey"]), 9)
+
+
 STRONG_COLS = ["l_quantity", "l_extendedprice", "l_discount", "net_price"]
 _NET = "l_extendedprice * (1 - l_discount)"
 

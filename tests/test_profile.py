@@ -70,3 +70,16 @@ def test_qq_points_hot_value_chunks(spark):
     pts = P.qq_points(df, "x", chunk=7).toPandas().sort_values("position")
     assert pts.position.tolist() == list(range(52))
     assert pts["sample"].tolist() == sorted(vals)
+
+
+def test_kendall_matches_brute_force(spark):
+    from tabscope.operators.bivariate import _kendall_pair
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 40, 300).astype(float)
+    y = (x * 0.3 + rng.integers(0, 7, 300)).astype(float)
+    got = _kendall_pair(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), "x", "y", fanout=4).first()["tau"]
+    s = sum(np.sum(np.sign(x[i] - x[i + 1:]) * np.sign(y[i] - y[i + 1:])) for i in range(300))
+    n0 = 300 * 299 / 2
+    n1 = sum(c * (c - 1) / 2 for c in pd.Series(x).value_counts())
+    n2 = sum(c * (c - 1) / 2 for c in pd.Series(y).value_counts())
+    assert got == pytest.approx(s / np.sqrt((n0 - n1) * (n0 - n2)), abs=1e-12)
