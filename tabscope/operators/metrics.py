@@ -145,14 +145,15 @@ def _curve(scored: DataFrame, keys: list[str], drop_intermediate: bool) -> DataF
     # totals: one row per key, bounded by the number of keys
     pts = cum.join(F.broadcast(tot), jk)
     if drop_intermediate:
-        prev = pts.select(*jk, (F.col("cum_one") + 1).alias("cum_one"),
-                          F.col("cum_tp").alias("_ptp"), F.col("cum_fp").alias("_pfp"))
-        nxt = pts.select(*jk, (F.col("cum_one") - 1).alias("cum_one"),
-                         F.col("cum_tp").alias("_ntp"), F.col("cum_fp").alias("_nfp"))
-        j = pts.join(prev, [*jk, "cum_one"], "left").join(nxt, [*jk, "cum_one"], "left")
-        d2tp = F.col("_ntp") - 2 * F.col("cum_tp") + F.col("_ptp")
-        d2fp = F.col("_nfp") - 2 * F.col("cum_fp") + F.col("_pfp")
-        pts = j.where((F.col("cum_one") == 1) | (F.col("cum_one") == F.col("M")) | (d2tp != 0) | (d2fp != 0))
+        # second differences of the cumulative counts at point i reduce to
+        # differences of the per-score counts: tp[i+1] - tp[i] (same for fp);
+        # the next point's counts come from one equi-join on the position
+        nxt = cum.select(*jk, (F.col("cum_one") - 1).alias("cum_one"),
+                         F.col("tp").alias("_ntp"), F.col("fp").alias("_nfp"))
+        j = pts.join(nxt, [*jk, "cum_one"], "left")
+        keep = ((F.col("cum_one") == 1) | (F.col("cum_one") == F.col("M"))
+                | (F.col("_ntp") != F.col("tp")) | (F.col("_nfp") != F.col("fp")))
+        pts = j.where(keep)
     body = pts.select(*jk, F.col("score").cast("double").alias("threshold"),
                       F.col("cum_one").alias("point"), "cum_tp", "cum_fp", "P", "N")
     start = tot.select(*jk, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("point"),

@@ -25,10 +25,12 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscope.functions.kinds import nan_to_null
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = 64
+MAX_ROWS_PER_BUCKET = 1_000_000
 _ONE = "_one_key"
 
 
@@ -79,9 +81,20 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str,
     if not keys:
         base = base.withColumn(_ONE, F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
-    # one sketch row per key: keys x buckets doubles, bounded by the key count
-    edges = base.groupBy(*jkeys).agg(
-        F.percentile_approx("_ord", probs, 10000).alias("_edges"))
+    # one sketch row per key: keys x buckets doubles, bounded by the key count;
+    # the row count rides along and, when a bucket would exceed
+    # MAX_ROWS_PER_BUCKET rows, the sketch is redone with more buckets
+    sk = base.groupBy(*jkeys).agg(F.percentile_approx("_ord", probs, 10000).alias("_edges"),
+                                  F.count(F.lit(1)).alias("_rows")).collect()
+    biggest = max((r["_rows"] for r in sk), default=0)
+    if biggest > buckets * MAX_ROWS_PER_BUCKET:
+        buckets = 1 << math.ceil(math.log2(biggest / MAX_ROWS_PER_BUCKET))
+        probs = [i / buckets for i in range(1, buckets)]
+        sk = base.groupBy(*jkeys).agg(F.percentile_approx("_ord", probs, 10000).alias("_edges")).collect()
+    spark = df.sparkSession
+    key_fields = [base.schema[k] for k in jkeys]
+    schema = T.StructType([*key_fields, T.StructField("_edges", T.ArrayType(T.DoubleType()))])
+    edges = spark.createDataFrame([tuple(r[k] for k in jkeys) + (r["_edges"],) for r in sk], schema)
     with_b = with_bucket(base.join(F.broadcast(edges), jkeys), "_ord", "_edges", "_b", buckets - 1).drop("_edges")
     totals = with_b.groupBy(*jkeys, "_b").agg(
         *[F.sum(m).alias(f"_t_{m}") for m in measures])
