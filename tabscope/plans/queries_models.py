@@ -193,6 +193,18 @@ def q_gbt_regressor(spark, sf):
     return _ensemble(spark, sf, "regression", lambda s, t: EN.gbt_regressor(t, s.x_columns, LABEL, 10, 0.1, 3))
 
 
+@register("gbt_regressor_huber")
+def q_gbt_regressor_huber(spark, sf):
+    return _ensemble(spark, sf, "regression", lambda s, t: EN.gbt_regressor(t, s.x_columns, LABEL, 3, 0.1, 3,
+                                                                            loss="huber"))
+
+
+@register("gbt_regressor_quantile")
+def q_gbt_regressor_quantile(spark, sf):
+    return _ensemble(spark, sf, "regression", lambda s, t: EN.gbt_regressor(t, s.x_columns, LABEL, 3, 0.1, 3,
+                                                                            loss="quantile", alpha=0.9))
+
+
 @register("bagging_classifier")
 def q_bagging_classifier(spark, sf):
     return _ensemble(spark, sf, "classification", lambda s, t: EN.bagging_classifier(
@@ -318,3 +330,18 @@ def q_score_stream(spark, sf):
                       trigger_once=True)
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+_SCAN_COLS = ["row_key", *FEATURES, "net_price", "l_extendedprice"]
+
+
+@register("scoring_scan", "SELECT " + ROW_KEY.replace("as string", "AS VARCHAR") + " AS row_key, "
+          + ", ".join(FEATURES) + f", {NET} AS net_price, l_extendedprice FROM lineitem")
+def q_scoring_scan(spark, sf):
+    """New rows written as CSV and read back with the training schema minus
+    the target (the reference's second upload)."""
+    from tabscope.plans.queries_prepare import scratch_dir
+    from tabscope.sources.files import csv_sink, scoring_scan
+    frame = lineitem_frame(spark, sf)
+    path = csv_sink(frame.drop("demand"), scratch_dir(spark, "new-rows"))
+    return scoring_scan(spark, path, frame.schema, "demand")
