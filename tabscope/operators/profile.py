@@ -48,20 +48,24 @@ def mean_of(c: str, scale: int | None) -> F.Column:
 def numeric_describe(df: DataFrame, cols: Sequence[str] | None = None,
                      mean_scale: int | None = None) -> DataFrame:
     """pandas ``describe().T``: count, mean, std, min, 25/50/75 %, max per
-    numeric column, exact linear quantiles."""
+    numeric column, exact linear quantiles. One aggregate pass gives the
+    moments (and the quantile search its ranges), the quantile core adds two
+    narrow passes; the result is a columns-sized table."""
     cols = list(cols or numeric_columns(df))
-    long = long_values(df, cols)
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        mean_of("value", mean_scale).alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    q = pivot_quantiles(exact_quantiles(df, cols, QUARTILES), QUARTILES, ["p25", "p50", "p75"])
-    order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    return (moments.join(q, "column_name", "left")
-            .select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-            .orderBy(order[F.col("column_name")]))
+    dbl = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"n{i}"), mean_of(c, mean_scale).alias(f"m{i}"),
+                 F.stddev_samp(c).alias(f"s{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
+    st = dbl.agg(*aggs).first()
+    stats = {c: (st[f"n{i}"], st[f"a{i}"], st[f"b{i}"]) for i, c in enumerate(cols)}
+    q = {(r["column_name"], r["prob"]): r["quantile"]
+         for r in exact_quantiles(dbl, cols, QUARTILES, stats=stats).collect()}
+    rows = [(c, int(st[f"n{i}"]), st[f"m{i}"], st[f"s{i}"], st[f"a{i}"],
+             q.get((c, 0.25)), q.get((c, 0.5)), q.get((c, 0.75)), st[f"b{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, count long, mean double, std double, min double, "
+              "p25 double, p50 double, p75 double, max double")
 
 
 # --------------------------------------------------------------------- U1

@@ -153,7 +153,8 @@ def _exploded_paths(dbl: DataFrame, cols: list[str], bounds: dict, depth: int, b
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    buckets: int = QUANTILE_BUCKETS, max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+                    buckets: int = QUANTILE_BUCKETS, max_bucket_rows: int = MAX_BUCKET_ROWS,
+                    stats: dict | None = None) -> DataFrame:
     """``(column_name, prob, quantile)``: linear-interpolated exact quantiles
     (pandas ``quantile``, SQL ``percentile_cont``) of each numeric column.
 
@@ -171,8 +172,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     probs = [float(p) for p in probs]
     spark = df.sparkSession
     dbl = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    st = dbl.agg(*[x for i, c in enumerate(cols) for x in
-                   (F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"))]).first()
+    if stats is not None:       # (count, min, max) per column, from the caller's own pass
+        st = {k: v for i, c in enumerate(cols)
+              for k, v in zip((f"n{i}", f"a{i}", f"b{i}"), stats[c])}
+    else:
+        st = dbl.agg(*[x for i, c in enumerate(cols) for x in
+                       (F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"))]).first()
     plan, pend = {}, {}
     for i, c in enumerate(cols):
         total = st[f"n{i}"]

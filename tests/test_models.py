@@ -108,13 +108,13 @@ def test_forest_probabilities_sum_to_one(spark):
 
 def test_quantile_and_huber_boosting(spark):
     rng = np.random.default_rng(8)
-    x = rng.uniform(0, 10, 1500)
-    pdf = pd.DataFrame({"x": x, "y": 2 * x + rng.exponential(2.0, 1500)})
+    x = rng.uniform(0, 10, 600)
+    pdf = pd.DataFrame({"x": x, "y": 2 * x + rng.exponential(2.0, 600)})
     df = spark.createDataFrame(pdf)
-    q = EN.gbt_regressor(df, ["x"], "y", 8, 1.0, 2, loss="quantile", alpha=0.9)
+    q = EN.gbt_regressor(df, ["x"], "y", 4, 1.0, 2, loss="quantile", alpha=0.9)
     below = q.transform(df).select((F.col("y") <= F.col("prediction")).cast("double").alias("b")).agg(F.avg("b")).first()[0]
     assert 0.8 < below < 0.97
-    h = EN.gbt_regressor(df, ["x"], "y", 6, 0.5, 2, loss="huber")
+    h = EN.gbt_regressor(df, ["x"], "y", 3, 0.5, 2, loss="huber")
     mae0 = float(np.mean(np.abs(pdf.y - pdf.y.median())))
     mae = V.regression_metrics(h.transform(df), "y", "prediction").first()["mae"]
     assert mae < mae0
