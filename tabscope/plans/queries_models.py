@@ -345,3 +345,122 @@ def q_scoring_scan(spark, sf):
     frame = lineitem_frame(spark, sf)
     path = csv_sink(frame.drop("demand"), scratch_dir(spark, "new-rows"))
     return scoring_scan(spark, path, frame.schema, "demand")
+
+
+# ------------------------------------------------------------------ scoring with fixed rule trees (SQL-checkable)
+# The fitted preparation is real (categories and classes from lineitem); the
+# trees are fixed rules, so the compiled CASE has an exact SQL twin.
+
+def _rule_classifier(spec, q_cut: float = 25.5, d_cut: float = 0.055, counts=((10.0, 90.0), (20.0, 80.0), (70.0, 30.0))):
+    from tabscope.operators.trees import Node, TreeModel
+    fi = spec.x_columns.index
+    m = TreeModel(spec.x_columns, "classification", "gini", spec.classes)
+    m.nodes[1] = Node(1, 0, 0, 0.0, [0.0, 0.0], 0.0, feature=fi("l_quantity"), threshold=q_cut)
+    m.nodes[2] = Node(2, 1, 0, 0.0, list(counts[0]), 0.0)
+    m.nodes[3] = Node(3, 1, 0, 0.0, [0.0, 0.0], 0.0, feature=fi("l_discount"), threshold=d_cut)
+    m.nodes[6] = Node(6, 2, 0, 0.0, list(counts[1]), 0.0)
+    m.nodes[7] = Node(7, 2, 0, 0.0, list(counts[2]), 0.0)
+    for nid in (2, 6, 7):
+        m.nodes[nid].weight = sum(m.nodes[nid].stats)
+    return m
+
+
+def _rule_sql(q_cut, d_cut, counts, classes=("high", "low")):
+    def probs(c):
+        t = sum(c)
+        return [x / t for x in c]
+    leaves = [probs(c) for c in counts]
+
+    def case(vals):
+        return (f"CASE WHEN l_quantity <= {q_cut!r}e0 THEN {vals[0]} WHEN l_discount <= {d_cut!r}e0 THEN {vals[1]} "
+                f"ELSE {vals[2]} END")
+    pred = case([f"'{classes[max(range(2), key=lambda i: (p[i], -i))]}'" for p in leaves])
+    pmax = case([f"{max(p)!r}e0" for p in leaves])
+    pk = {c: case([f"{p[i]!r}e0" for p in leaves]) for i, c in enumerate(classes)}
+    return pred, pmax, pk
+
+
+_R1 = (25.5, 0.055, ((10.0, 90.0), (20.0, 80.0), (70.0, 30.0)))
+_R2 = (10.5, 0.035, ((60.0, 40.0), (45.0, 55.0), (5.0, 95.0)))
+_P1, _M1, _K1 = _rule_sql(*_R1)
+_P2, _M2, _K2 = _rule_sql(*_R2)
+_KEY_SQL = ROW_KEY.replace("as string", "AS VARCHAR")
+
+
+def _cls_spec(spark, sf):
+    return PreparationSpec.fit(lineitem_frame(spark, sf), "demand", FEATURES)
+
+
+@register("predict_compiled_tree", f"SELECT {_KEY_SQL} AS row_key, {_P1} AS prediction, {_M1} AS max_probability FROM lineitem")
+def q_predict_compiled_tree(spark, sf):
+    spec = _cls_spec(spark, sf)
+    d = spec.transform(_new_rows(spark, sf), keep=["row_key"], with_label=False)
+    out = _rule_classifier(spec, *_R1).transform(d)
+    return out.select("row_key", "prediction", F.array_max("probability").alias("max_probability"))
+
+
+@register("score_classification_rule", f"SELECT {_KEY_SQL} AS row_key, {_P1} AS PREDICCION_demand, "
+          f"{_M1} AS PROBABILIDAD_MAXIMA, {_K1['high']} AS PROB_high, {_K1['low']} AS PROB_low FROM lineitem")
+def q_score_classification_rule(spark, sf):
+    spec = _cls_spec(spark, sf)
+    return B.score_classification(_new_rows(spark, sf), spec, _rule_classifier(spec, *_R1), keep=["row_key"])
+
+
+@register("prediction_distribution_rule",
+          f"SELECT {_P1} AS prediction, count(*) AS n FROM lineitem GROUP BY 1")
+def q_prediction_distribution_rule(spark, sf):
+    spec = _cls_spec(spark, sf)
+    scored = B.score_classification(_new_rows(spark, sf), spec, _rule_classifier(spec, *_R1), keep=["row_key"])
+    return B.prediction_distribution(scored, B.PREDICTION_PREFIX + spec.target)
+
+
+@register("score_regression_rule", f"SELECT {_KEY_SQL} AS row_key, CASE WHEN l_extendedprice <= 30000.5e0 "
+          f"THEN 15000.0e0 ELSE 52000.0e0 END AS PREDICCION_net_price FROM lineitem")
+def q_score_regression_rule(spark, sf):
+    from tabscope.operators.trees import Node, TreeModel
+    frame = lineitem_frame(spark, sf)
+    spec = PreparationSpec.fit(frame, "net_price", FEATURES + ["l_extendedprice"], task="regression")
+    m = TreeModel(spec.x_columns, "regression", "squared_error", None)
+    m.nodes[1] = Node(1, 0, 0, 0.0, [0.0, 0.0, 0.0], 0.0, feature=spec.x_columns.index("l_extendedprice"),
+                      threshold=30000.5)
+    m.nodes[2] = Node(2, 1, 1, 1.0, [1.0, 15000.0, 0.0], 0.0)
+    m.nodes[3] = Node(3, 1, 1, 1.0, [1.0, 52000.0, 0.0], 0.0)
+    return B.score_regression(_new_rows(spark, sf), spec, m, keep=["row_key"])
+
+
+def _two_rules(spark, sf):
+    spec = _cls_spec(spark, sf)
+    return spec, {"tree1": _rule_classifier(spec, *_R1), "tree2": _rule_classifier(spec, *_R2)}
+
+
+@register("score_many_models_rule",
+          f"SELECT {_KEY_SQL} AS row_key, {_P1} AS PREDICCION_tree1, {_P2} AS PREDICCION_tree2 FROM lineitem")
+def q_score_many_models_rule(spark, sf):
+    spec, models = _two_rules(spark, sf)
+    return B.score_many_models(_new_rows(spark, sf), spec, models, keep=["row_key"])
+
+
+_LONG_SQL = (f"SELECT 'tree1' AS model, {_KEY_SQL} AS row_key, 'high' AS class, {_K1['high']} AS probability FROM lineitem "
+             f"UNION ALL SELECT 'tree1', {_KEY_SQL}, 'low', {_K1['low']} FROM lineitem "
+             f"UNION ALL SELECT 'tree2', {_KEY_SQL}, 'high', {_K2['high']} FROM lineitem "
+             f"UNION ALL SELECT 'tree2', {_KEY_SQL}, 'low', {_K2['low']} FROM lineitem")
+
+
+@register("ranked_probabilities_rule", f"""
+SELECT model, row_key, class, probability,
+       row_number() OVER (PARTITION BY model, row_key ORDER BY probability DESC, class) AS rank
+FROM ({_LONG_SQL})
+""")
+def q_ranked_probabilities_rule(spark, sf):
+    spec, models = _two_rules(spark, sf)
+    scored = B.score_with_probabilities(_new_rows(spark, sf), spec, models, "row_key")
+    return B.ranked_probabilities(scored, spec.classes, "row_key")
+
+
+@register("point_comparison_rule",
+          f"SELECT 'tree1' AS model, {_KEY_SQL} AS row_key, {_P1} AS prediction, {_M1} AS max_probability FROM lineitem "
+          f"UNION ALL SELECT 'tree2', {_KEY_SQL}, {_P2}, {_M2} FROM lineitem")
+def q_point_comparison_rule(spark, sf):
+    spec, models = _two_rules(spark, sf)
+    scored = B.score_with_probabilities(_new_rows(spark, sf), spec, models, "row_key")
+    return B.point_comparison(scored, "row_key")
