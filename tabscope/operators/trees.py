@@ -385,3 +385,20 @@ def best_split(df: DataFrame, features: Sequence[str], label: str, task: str = "
                m.nodes[2].n, m.nodes[3].n)
     return spark.createDataFrame([row], "feature string, threshold double, improvement double, "
                                         "n_left long, n_right long")
+
+
+def tree_node_counts(model: TreeModel, df: DataFrame, label: str | None = None) -> DataFrame:
+    """Rows (and rows per class) reaching every node of the tree, internal
+    nodes included: each row's leaf id expands to its ancestor path
+    (``leaf // 2^k``) by a generator, then one grouped count. Works for any
+    table with the model's feature columns (training or test rows)."""
+    depth = model.depth
+    leaf = model.leaf_column()
+    path = F.filter(F.transform(F.sequence(F.lit(0), F.lit(depth)),
+                                lambda k: F.floor(leaf / F.pow(F.lit(2.0), k)).cast("long")),
+                    lambda v: v > 0)
+    cols = [F.explode(path).alias("node_id")]
+    if label:
+        cols.append(F.col(label).cast("string").alias("class"))
+    keys = ["node_id"] + (["class"] if label else [])
+    return df.select(*cols).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -464,3 +464,21 @@ def q_point_comparison_rule(spark, sf):
     spec, models = _two_rules(spark, sf)
     scored = B.score_with_probabilities(_new_rows(spark, sf), spec, models, "row_key")
     return B.point_comparison(scored, "row_key")
+
+
+_LEAF1 = "CASE WHEN l_quantity <= 25.5e0 THEN 2 WHEN l_discount <= 0.055e0 THEN 6 ELSE 7 END"
+
+
+@register("tree_node_counts", f"""
+WITH d AS (SELECT CAST({_LEAF1} AS BIGINT) AS leaf, {DEMAND} AS class FROM lineitem),
+p AS (SELECT leaf AS node_id, class FROM d UNION ALL SELECT leaf // 2, class FROM d
+      UNION ALL SELECT leaf // 4, class FROM d)
+SELECT node_id, class, count(*) AS n FROM p WHERE node_id > 0 GROUP BY node_id, class
+""")
+def q_tree_node_counts(spark, sf):
+    """M13 routing: rows per node and class for a tree over lineitem."""
+    from tabscope.operators.trees import tree_node_counts
+    spec = _cls_spec(spark, sf)
+    frame = lineitem_frame(spark, sf)
+    d = spec.transform(frame, keep=["row_key", "demand"], with_label=False)
+    return tree_node_counts(_rule_classifier(spec, *_R1), d, "demand")
