@@ -51,11 +51,25 @@ def rank_table(df: DataFrame, col: str) -> DataFrame:
     return ranked.select("value", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 
+def rank_tables(d: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(c, value, avg_rank)`` for all columns at once: one distinct-value
+    count in long form and one keyed prefix-sum pass (one sketch job)."""
+    long = d.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("value"))
+                                        for i, c in enumerate(cols)])).alias("s")).select("s.*")
+    counts = long.where(F.col("value").isNotNull()).groupBy("c", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix_sums(counts, ["c"], "value", ["n"])
+    return ranked.select("c", "value", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
+
+
 def _with_ranks(d: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows plus ``_r_<col>`` average ranks; the rank table (distinct values
+    of all columns) is built once, cached, and joined back per column."""
+    from pyspark import StorageLevel
+    rt = rank_tables(d, cols).persist(StorageLevel.MEMORY_AND_DISK)
     out = d
-    for c in cols:
-        rt = rank_table(d, c).withColumnRenamed("value", c).withColumnRenamed("avg_rank", f"_r_{c}")
-        out = out.join(rt, c, "left")
+    for i, c in enumerate(cols):
+        one = rt.where(F.col("c") == i).select(F.col("value").alias(c), F.col("avg_rank").alias(f"_r_{c}"))
+        out = out.join(one, c, "left")
     return out
 
 
