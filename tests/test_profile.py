@@ -83,3 +83,12 @@ def test_kendall_matches_brute_force(spark):
     n1 = sum(c * (c - 1) / 2 for c in pd.Series(x).value_counts())
     n2 = sum(c * (c - 1) / 2 for c in pd.Series(y).value_counts())
     assert got == pytest.approx(s / np.sqrt((n0 - n1) * (n0 - n2)), abs=1e-12)
+
+
+def test_category_shares_declined_above_ten(spark):
+    rows = [(f"c{i % 12}",) for i in range(120)]
+    df = spark.createDataFrame(rows, "c string")
+    assert P.category_shares(df, "c").count() == 0
+    few = spark.createDataFrame([("a",), ("a",), ("b",)], "c string")
+    shares = {r["category"]: r["share"] for r in P.category_shares(few, "c").collect()}
+    assert shares == {"a": 2 / 3, "b": 1 / 3}
