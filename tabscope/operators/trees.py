@@ -86,6 +86,8 @@ class TreeModel:
 
     def transform(self, df: DataFrame, prediction: str = "prediction", probability: str | None = "probability",
                   leaf: str | None = None) -> DataFrame:
+        if len(self.nodes) > COMPILE_MAX_NODES:
+            return self._transform_by_joins(df, prediction, probability, leaf)
         out = df.withColumn(prediction, self.prediction_column())
         if self.task == "classification" and probability:
             out = out.withColumn(probability, self.probability_column())
@@ -93,6 +95,39 @@ class TreeModel:
             out = out.withColumn(leaf, self.leaf_column())
         return out
 
+    def _transform_by_joins(self, df: DataFrame, prediction: str, probability: str | None,
+                            leaf: str | None) -> DataFrame:
+        """Large trees: route rows one level per pass by joining each level's
+        split table (node id -> feature, threshold), then attach the leaf
+        values by node id; the tables are model sized (one row per node)."""
+        spark = df.sparkSession
+        xs = F.array(*[F.col(c).cast("double") for c in self.features])
+        rows = df.withColumn("_node", F.lit(1).cast("long"))
+        for d in range(self.depth):
+            splits = [(nid, n.feature, float(n.threshold)) for nid, n in self.nodes.items()
+                      if not n.is_leaf and n.depth == d]
+            if not splits:
+                continue
+            tab = spark.createDataFrame(splits, "_node long, _sf int, _st double")
+            j = rows.join(F.broadcast(tab), "_node", "left")
+            moved = F.when(F.col("_sf").isNull(), F.col("_node")).when(
+                F.element_at(xs, F.col("_sf") + 1) <= F.col("_st"), 2 * F.col("_node")).otherwise(2 * F.col("_node") + 1)
+            rows = j.withColumn("_node", moved.cast("long")).drop("_sf", "_st")
+        leaves = []
+        for nid, n in self.nodes.items():
+            if n.is_leaf:
+                val, probs = self.leaf_value(n)
+                leaves.append((nid, val, probs))
+        if self.task == "classification":
+            tab = spark.createDataFrame([(a, str(b), c) for a, b, c in leaves],
+                                        "_node long, _pred string, _prob array<double>")
+        else:
+            tab = spark.createDataFrame([(a, float(b)) for a, b, _ in leaves], "_node long, _pred double")
+        out = rows.join(F.broadcast(tab), "_node", "left").withColumnRenamed("_pred", prediction)
+        if self.task == "classification":
+            out = out.withColumnRenamed("_prob", probability) if probability else out.drop("_prob")
+        return out.withColumnRenamed("_node", leaf) if leaf else out.drop("_node")
+
     # ------------------------------------------------------------- tables
     def node_rows(self) -> list[tuple]:
         rows = []
@@ -119,6 +154,8 @@ class TreeModel:
         return sum(1 for n in self.nodes.values() if n.is_leaf)
 
 
+COMPILE_MAX_NODES = 2047     # larger trees are applied by level-wise joins
+
 NODE_SCHEMA = ("node_id long, depth int, feature string, threshold double, n_samples long, "
                "weighted_n double, impurity double, value array<double>, is_leaf boolean, improvement double")
 
@@ -277,6 +314,10 @@ def _grow(model: TreeModel, binned: DataFrame, cuts, n_stats, max_depth, mss, ms
     s = [f"_s{k}" for k in range(n_stats)]
     known: dict[int, tuple[int, list[float]]] = {}
     frontier = [1]
+    # Routing: a compiled CASE over the splits made so far while the tree is
+    # small; beyond ROUTE_EXPR_MAX_SPLITS splits the node id is materialised
+    # and advanced one level per pass by joining the level's split table.
+    materialised = None
     for depth in range(0, max_depth + 1):
         if not frontier:
             break
@@ -293,7 +334,13 @@ def _grow(model: TreeModel, binned: DataFrame, cuts, n_stats, max_depth, mss, ms
         query = need + eligible
         if depth == max_depth or not query:
             break
-        routed = binned.withColumn("_node", _route(model, 1)).where(F.col("_node").isin(query))
+        n_splits = sum(1 for n in model.nodes.values() if not n.is_leaf)
+        if materialised is None and n_splits > ROUTE_EXPR_MAX_SPLITS:
+            materialised = _materialise(binned.withColumn("_node", _route(model, 1)), 0)
+        elif materialised is not None:
+            materialised = _advance(model, materialised, nf, depth)
+        base = materialised if materialised is not None else binned.withColumn("_node", _route(model, 1))
+        routed = base.where(F.col("_node").isin(query))
         summary = _level_summary(routed, nf, s, task, criterion, msl)
         nxt = []
         for nid, (n, st, best) in summary.items():
@@ -312,6 +359,8 @@ def _grow(model: TreeModel, binned: DataFrame, cuts, n_stats, max_depth, mss, ms
             known[2 * nid + 1] = (n - nl, [t - l for t, l in zip(st, lst)])
             nxt += [2 * nid, 2 * nid + 1]
         frontier = nxt
+    if materialised is not None:
+        materialised.unpersist()
     # children created at the last level are leaves with known statistics
     for nid in frontier:
         if nid not in model.nodes and nid in known:
@@ -321,6 +370,39 @@ def _grow(model: TreeModel, binned: DataFrame, cuts, n_stats, max_depth, mss, ms
                                     _impurity_py(st, wsum, task, criterion))
 
 
+ROUTE_EXPR_MAX_SPLITS = 32
+CHECKPOINT_LEVELS = 4
+
+
+def _materialise(df: DataFrame, level: int) -> DataFrame:
+    """Cache the rows with their node id; every few levels write a reliable
+    checkpoint (shared checkpoint folder) so lineage stays short."""
+    if level and level % CHECKPOINT_LEVELS == 0:
+        return df.checkpoint(eager=True)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
+def _advance(model: TreeModel, rows: DataFrame, nf: int, depth: int) -> DataFrame:
+    """Move rows whose node was split at the previous level to a child: join
+    the level's split table (one row per split node) on the node id."""
+    spark = rows.sparkSession
+    splits = [(nid, n.feature, n._bin) for nid, n in model.nodes.items()
+              if not n.is_leaf and n.depth == depth - 1]
+    if not splits:
+        return rows
+    tab = spark.createDataFrame(splits, "_node long, _sf int, _sb int")
+    # the split table is bounded by the frontier of one level; AQE broadcasts it when small
+    j = rows.join(tab, "_node", "left")
+    bins = F.array(*[F.col(f"_b{i}") for i in range(nf)])
+    moved = F.when(F.col("_sf").isNull(), F.col("_node")).when(
+        F.element_at(bins, F.col("_sf") + 1) <= F.col("_sb"), 2 * F.col("_node")).otherwise(2 * F.col("_node") + 1)
+    nxt = _materialise(j.withColumn("_node", moved.cast("long")).drop("_sf", "_sb"), depth)
+    rows.unpersist()
+    return nxt
+
+
 def _level_summary(routed: DataFrame, nf: int, s: list[str], task: str, criterion: str, msl: int) -> dict:
     """{node: (rows, totals, best (feature, bin, gain) or None)}."""
     exploded = routed.select("_node", F.posexplode(F.array(*[F.col(f"_b{i}") for i in range(nf)])).alias("_f", "_bin"),

@@ -118,3 +118,22 @@ def test_quantile_and_huber_boosting(spark):
     mae0 = float(np.mean(np.abs(pdf.y - pdf.y.median())))
     mae = V.regression_metrics(h.transform(df), "y", "prediction").first()["mae"]
     assert mae < mae0
+
+
+def test_materialised_routing_and_join_transform_match(spark, monkeypatch):
+    from tabscope.operators import trees as TR
+    rng = np.random.default_rng(12)
+    x = rng.uniform(0, 20, 800)
+    pdf = pd.DataFrame({"x": x, "z": rng.uniform(size=800), "y": np.sin(x) + rng.normal(0, .1, 800)})
+    df = spark.createDataFrame(pdf)
+    a = fit_tree(df, ["x", "z"], "y", "regression", max_depth=6, min_samples_leaf=5)
+    monkeypatch.setattr(TR, "ROUTE_EXPR_MAX_SPLITS", 2)
+    b = fit_tree(df, ["x", "z"], "y", "regression", max_depth=6, min_samples_leaf=5)
+    assert set(a.nodes) == set(b.nodes)
+    assert all((a.nodes[k].feature, a.nodes[k].threshold, a.nodes[k].n) ==
+               (b.nodes[k].feature, b.nodes[k].threshold, b.nodes[k].n) for k in a.nodes)
+    p1 = a.transform(df).select("x", "z", F.col("prediction").alias("p")).toPandas()
+    monkeypatch.setattr(TR, "COMPILE_MAX_NODES", 4)
+    p2 = b.transform(df).select("x", "z", F.col("prediction").alias("p")).toPandas()
+    m = p1.merge(p2, on=["x", "z"])
+    assert len(m) == 800 and np.allclose(m.p_x, m.p_y)
