@@ -194,6 +194,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not pend:
         return spark.createDataFrame([], "column_name string, prob double, quantile double")
     open_ = set(pend)
+    resolved: dict[tuple, float] = {}
     for depth in range(1, MAX_LEVELS + 1):
         if not open_:
             break
@@ -204,10 +205,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             pdf = spark.createDataFrame([(i, *path) for i, path in prefixes],
                                         ", ".join(["c int"] + [f"{k} int" for k in kc]))
             ex = ex.join(F.broadcast(pdf), ["c", *kc])
-        rows = ex.groupBy("c", *kc, f"k{depth}").agg(F.count(F.lit(1)).alias("n")).collect()
+        rows = ex.groupBy("c", *kc, f"k{depth}").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("vmin"),
+                                                     F.max("value").alias("vmax")).collect()
         counts: dict[tuple, dict[int, int]] = {}
+        single: dict[tuple, float] = {}
         for r in rows:
             counts.setdefault((r["c"], tuple(r[k] for k in kc)), {})[r[f"k{depth}"]] = r["n"]
+            if r["vmin"] == r["vmax"]:
+                single[(r["c"], tuple(r[k] for k in kc) + (r[f"k{depth}"],))] = r["vmin"]
         still = set()
         for key in open_:
             path, local = pend[key]
@@ -218,15 +223,20 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     break
                 acc += per[k]
             pend[key] = [path + (k,), local - acc]
+            if (key[0], path + (k,)) in single:          # one distinct value: rank resolved
+                resolved[key] = single[(key[0], path + (k,))]
+                continue
             lo, hi = _bounds(*bounds[cols[key[0]]], path + (k,), buckets)
             if per[k] > max_bucket_rows and hi > lo and depth < MAX_LEVELS:
                 still.add(key)
         open_ = still
     # pick: distinct values of the final buckets, ranked inside each bucket
+    # (buckets holding a single distinct value were resolved above)
     picked = []
-    for depth in sorted({len(v[0]) for v in pend.values()}):
+    todo = {k: v for k, v in pend.items() if k not in resolved}
+    for depth in sorted({len(v[0]) for v in todo.values()}):
         kc = [f"k{j}" for j in range(1, depth + 1)]
-        keys = [(i, pos, path, local) for (i, pos), (path, local) in pend.items() if len(path) == depth]
+        keys = [(i, pos, path, local) for (i, pos), (path, local) in todo.items() if len(path) == depth]
         tdf = spark.createDataFrame([(i, *path, int(local), int(pos)) for i, pos, path, local in keys],
                                     ", ".join(["c int"] + [f"{k} int" for k in kc] + ["local long", "pos long"]))
         wanted = tdf.select("c", *kc).distinct()
@@ -236,10 +246,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         hit = (sub.withColumn("cum", F.sum("n").over(w)).join(F.broadcast(tdf), ["c", *kc])
                .where((F.col("cum") - F.col("n") <= F.col("local")) & (F.col("local") < F.col("cum"))))
         picked.append(hit.select("c", "pos", "value"))
-    allp = picked[0]
-    for p in picked[1:]:
-        allp = allp.unionByName(p)
-    val = {(cols[r["c"]], r["pos"]): r["value"] for r in allp.collect()}
+    val = {(cols[i], pos): v for (i, pos), v in resolved.items()}
+    if picked:
+        allp = picked[0]
+        for p in picked[1:]:
+            allp = allp.unionByName(p)
+        val.update({(cols[r["c"]], r["pos"]): r["value"] for r in allp.collect()})
     rows = []
     for (c, p), (lo, hi, frac) in plan.items():
         xlo, xhi = val[(c, lo)], val[(c, hi)]
