@@ -40,3 +40,11 @@ def op10(spark, sf):
     from tabscope.llm.mixing import mix_sources
     return mix_sources(table(spark, sf, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@register("op4_winnowing_decontamination")
+def op4(spark, sf):
+    from tabscope.llm.decontaminate import decontamination_hits
+    hits = decontamination_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
