@@ -1,0 +1,11 @@
+"""Operators for building training corpora.
+
+Functions that run inside tasks travel by value, so executors need numpy and
+pyarrow but no installed copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

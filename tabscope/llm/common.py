@@ -59,6 +59,28 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, shar
             .unionByName(left.join(slim, keys, "left_anti").join(light, keys)))
 
 
+def _probes(x: Column, bits: int) -> list[Column]:
+    return [F.shiftrightunsigned(x, 64 - bits), F.shiftrightunsigned(x, 40 - bits).bitwiseAND(F.lit((1 << bits) - 1)),
+            F.shiftrightunsigned(F.xxhash64(x), 64 - bits)]
+
+
+def bit_set(hashes: DataFrame, col: str, bits: int) -> Column:
+    """A literal array of 2^(bits-6) longs with the three bits of every hash set."""
+    b = hashes.select(F.explode(F.array(*_probes(F.col(col), bits))).alias("b"))
+    rows = b.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    words = [0] * (1 << (bits - 6))
+    for r in rows.collect():  # at most 2^(bits-6) rows
+        words[r["w"]] = r["v"]
+    return F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
+
+
+def has_bits(bitset: Column, x: Column, bits: int) -> Column:
+    def one(b: Column) -> Column:
+        return F.getbit(F.get(bitset, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
+    a, b, c = _probes(x, bits)
+    return one(a) & one(b) & one(c)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and no other letter."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import ascii_lower, id_key, materialise
+from tabscope.llm.common import ascii_lower, bit_set, has_bits, id_key, materialise
 
 #: All characters that are no part of a word, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,28 +55,6 @@ def winnow(h: Column, window: int, k: int) -> Column:
     return F.array_distinct(_smallest(_grams(h, k), window - k + 1))
 
 
-def _probes(x: Column, bits: int) -> list[Column]:
-    return [F.shiftrightunsigned(x, 64 - bits), F.shiftrightunsigned(x, 40 - bits).bitwiseAND(F.lit((1 << bits) - 1)),
-            F.shiftrightunsigned(F.xxhash64(x), 64 - bits)]
-
-
-def _bit_set(hashes: DataFrame, col: str, bits: int) -> Column:
-    """A literal array of 2^(bits-6) longs with the three bits of every hash set."""
-    b = hashes.select(F.explode(F.array(*_probes(F.col(col), bits))).alias("b"))
-    rows = b.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    words = [0] * (1 << (bits - 6))
-    for r in rows.collect():  # at most 2^(bits-6) rows
-        words[r["w"]] = r["v"]
-    return F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
-
-
-def _has(bitset: Column, x: Column, bits: int) -> Column:
-    def one(b: Column) -> Column:
-        return F.getbit(F.get(bitset, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
-    a, b, c = _probes(x, bits)
-    return one(a) & one(b) & one(c)
-
-
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, len, gram): every window of every item as its words joined by a space."""
     w = items.select(F.col("item_id"), lower_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -103,19 +81,19 @@ def decontamination_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW
     d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     spans = []
     if n_fp:
-        d = d.withColumn("bits", _bit_set(long_fp, "fp", bits))
+        d = d.withColumn("bits", bit_set(long_fp, "fp", bits))
         d = d.withColumn("g", _grams(F.col("h"), k)).withColumn("m", _smallest(F.col("g"), run))
         # run i of k-grams is the window of words that starts at i: its fingerprint decides whether it is compared
-        hit = F.filter(F.transform("m", lambda x, i: F.when(_has(F.col("bits"), x, bits), i)), lambda i: i.isNotNull())
+        hit = F.filter(F.transform("m", lambda x, i: F.when(has_bits(F.col("bits"), x, bits), i)), lambda i: i.isNotNull())
         d = d.withColumn("at", F.when(F.size("h") >= window, hit).otherwise(F.array().cast("array<int>")))
         spans.append(F.transform("at", lambda i: F.struct(i.alias("s"), F.lit(window).alias("len"))))
         for n in lengths:
             of = short.filter(F.col("len") == n)
             name = f"bits{n}"
-            d = d.withColumn(name, _bit_set(of, "fp", bits))
+            d = d.withColumn(name, bit_set(of, "fp", bits))
             every = F.sequence(F.lit(0), F.size("h") - n)
             spans.append(F.when(F.size("h") >= n, F.transform(
-                F.filter(every, lambda i, name=name, n=n: _has(F.col(name), F.xxhash64(F.slice("h", i + 1, F.lit(n))), bits)),
+                F.filter(every, lambda i, name=name, n=n: has_bits(F.col(name), F.xxhash64(F.slice("h", i + 1, F.lit(n))), bits)),
                 lambda i, n=n: F.struct(i.alias("s"), F.lit(n).alias("len")))).otherwise(F.array().cast("array<struct<s:int,len:int>>")))
     found = F.concat(*spans) if spans else F.array().cast("array<struct<s:int,len:int>>")
     d = d.withColumn("found", found)

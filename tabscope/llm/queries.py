@@ -48,3 +48,9 @@ def op4(spark, sf):
     hits = decontamination_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op9_ngram_jaccard_join")
+def op9(spark, sf):
+    from tabscope.llm.jaccard_join import jaccard_classes
+    return jaccard_classes(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
