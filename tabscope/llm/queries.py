@@ -54,3 +54,26 @@ def op4(spark, sf):
 def op9(spark, sf):
     from tabscope.llm.jaccard_join import jaccard_classes
     return jaccard_classes(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op2_guess_cost_secrets")
+def op2(spark, sf):
+    from tabscope.llm.secret_scan import scan_secrets
+    return scan_secrets(table(spark, sf, "documents"))
+
+
+@register("op8_chat_format")
+def op8(spark, sf):
+    from tabscope.llm.chat_format import format_conversations, read_back
+    talk = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(talk.unionByName(extra))).drop("rewrote")
+
+
+@register("op1_warc_archive")
+def op1(spark, sf):
+    from tabscope.llm.warc import read_warc, scratch_dir, write_warc
+    out = scratch_dir(spark)
+    write_warc(table(spark, sf, "pages"), out)
+    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
