@@ -12,8 +12,9 @@ constraints (number of documents, number of tokens) moves the probabilities
 until all but at most two are 0 or 1, leaving both totals unchanged. Blocks
 are hash buckets of one source (a hot source has many), so a walk sees a
 bounded number of rows; what is left of the blocks is walked again, block of
-blocks, until one block per source remains, whose last two documents are
-rounded so that the token total is missed least (landing).
+blocks, until one block per source remains, and the landing
+decides its two fractional and twelve largest documents together so that the
+token total, then the document count, is missed least.
 
 Everything is a function of the rows alone: order and buckets come from
 hashes of (doc_id, size), the random numbers from a seeded hash of the block.
@@ -28,6 +29,7 @@ from __future__ import annotations
 import random
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from tabscope.llm.common import WORD_CLASS, attach, materialise
 
 BLOCK = 2048
+#: Documents that the landing decides besides the two that the walk leaves.
+LANDING = 12
 _EPS = 1e-9
 
 
@@ -93,25 +97,30 @@ def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]
 
 
 def landing(p: list[float], size: list[float]) -> list[float]:
-    """Round the few fractional units left so that the token total is missed least (ties: fewer tokens)."""
+    """Round the few fractional units left so that the token total, then the count, is missed least."""
     left = [i for i in range(len(p)) if 0.0 < p[i] < 1.0]
-    want = sum(p[i] * size[i] for i in left)
-    best = min(range(1 << len(left)), key=lambda m: (
-        abs(sum(size[i] for k, i in enumerate(left) if m >> k & 1) - want), bin(m).count("1"), m))
+    picks = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    want, have = np.array([p[i] for i in left]), np.array([size[i] for i in left])
+    tokens = np.abs(picks @ have - (want @ have if left else 0.0))
+    count = np.abs(picks.sum(1) - want.sum())
+    best = picks[np.lexsort((count, np.round(tokens, 6)))[0]]
     out = list(p)
-    for k, i in enumerate(left):
-        out[i] = float(best >> k & 1)
+    for i, x in zip(left, best):
+        out[i] = float(x)
     return out
 
 
 def _walk(seed: int, last: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["h", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+        # the last walk of a source leaves its largest documents to the landing: they hit the token total best
+        order = ["size", "h", "doc_id"] if last else ["h", "doc_id", "size"]
+        block = block.sort_values(order, kind="stable", na_position="last").reset_index(drop=True)
         first = block.iloc[0]
         name = f"{seed}|{first['source']!r}|{first['bucket']}|{last}"
         rng = random.Random(int.from_bytes(sha256(name.encode()).digest()[:8], "big"))
-        size = [float(x) for x in block["size"]]
-        p = flight(block["p"].tolist(), size, rng)
+        size, p = [float(x) for x in block["size"]], block["p"].tolist()
+        cut = max(0, len(p) - LANDING) if last else len(p)
+        p = flight(p[:cut], size[:cut], rng) + p[cut:]
         block["p"] = landing(p, size) if last else p
         return block
     return run
