@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.llm.decontaminate import keep_clean
+from tabscope.llm.jaccard_join import keep_one
 from tabscope.llm.line_dedup import drop_shared_lines
 from tabscope.llm.mixing import mix_sources
 from tabscope.llm.quality import keep_good
@@ -27,11 +29,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity of 0.8 or more: the smallest id of each class stays."""
+    return keep_one(docs, gram=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold any window of a benchmark item go."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("mix_sources", mixing)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates),
+          ("benchmark_decontamination", decontamination), ("source_mixing", mixing)]
 
 ORACLE_SQL = None
 

@@ -77,3 +77,15 @@ def op1(spark, sf):
     out = scratch_dir(spark)
     write_warc(table(spark, sf, "pages"), out)
     return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op3_contextual_pii")
+def op3(spark, sf):
+    from tabscope.llm.pii import find_personal_data
+    return find_personal_data(table(spark, sf, "documents"))
+
+
+@register("op7_knn_toxicity")
+def op7(spark, sf):
+    from tabscope.llm.toxicity import score_toxicity
+    return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
