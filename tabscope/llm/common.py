@@ -39,19 +39,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, share: int = 1024) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, share: int = 1024, small: int = 1 << 15) -> DataFrame:
     """Inner join of many ``left`` rows to one ``right`` row per key, safe for hot keys.
 
-    ``right.weight`` counts the left rows of the key. Keys above ``1 / share``
-    of all counted rows number at most ``share``, so that part of ``right`` may
-    be broadcast whatever the table sizes, and the hot rows stay where they
-    are. All other keys take an ordinary shuffle join. Both inputs should be
-    materialised: each is read twice, unless ``right`` has at most ``share``
-    rows and is broadcast as a whole.
+    ``right.weight`` counts the left rows of the key; ``right`` is materialised
+    and slim. Keys above ``1 / share`` of all counted rows number at most
+    ``share``, so that part of ``right`` may be broadcast whatever the table
+    sizes, and the hot rows stay where they are; all other keys take an
+    ordinary shuffle join. ``left`` is then read twice. If there is no hot key
+    one shuffle join does, and up to ``small`` rows, counted here, one broadcast.
     """
-    total, rows = right.agg(F.sum(weight), F.count("*")).first()
-    if rows <= share:
+    total, rows, top = right.agg(F.sum(weight), F.count("*"), F.max(weight)).first()
+    if rows <= small:
         return left.join(F.broadcast(right), keys)
+    if top * share <= total:
+        return left.join(right, keys)
     hot = F.col(weight) * F.lit(share) > F.lit(total)
     heavy, light = right.filter(hot), right.filter(~hot)
     slim = F.broadcast(heavy.select(*keys))

@@ -39,6 +39,7 @@ from tabscope.llm.components import components
 from tabscope.llm.hashing import shingle_sets
 
 CELL_BITS = 20
+PARITY = 512
 SALTS = 16
 
 
@@ -77,11 +78,15 @@ def _prefix_size(n: int, percent: int) -> int:
 
 
 def _scan_prefixes(gram: int, percent: int, rank):
-    """Rows (u, n, prefix): a token is the rank of its cell (8 bits) before 56 bits of its hash."""
+    """Rows (u, n, prefix, bits): a token is the rank of its cell (8 bits) before 56 bits of its hash.
+
+    ``bits`` holds the parity of the number of shingles per low hash bits: two
+    sets differ in at least as many shingles as their bits differ in places.
+    """
     def run(batches):
         order = rank.value
         for b in batches:
-            units, sizes, prefixes = [], [], []
+            units, sizes, prefixes, parity = [], [], [], []
             for s in shingle_sets(b.column(0), gram):
                 if not len(s):
                     continue
@@ -90,23 +95,22 @@ def _scan_prefixes(gram: int, percent: int, rank):
                 units.append(_unit(s))
                 sizes.append(len(s))
                 prefixes.append(np.sort(np.partition(token, p - 1)[:p]).view(np.int64))
+                parity.append(np.packbits((np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64))
             off = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sizes, pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(off), pa.array(values))], ["u", "n", "prefix"])
+            words = np.concatenate(parity) if parity else np.empty(0, np.int64)
+            each = np.arange(len(units) + 1, dtype=np.int32) * (PARITY // 64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(units, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(values)),
+                pa.ListArray.from_arrays(pa.array(each), pa.array(words))], ["u", "n", "prefix", "bits"])
     return run
 
 
 def _scan_sets(gram: int):
     def run(batches):
         for b in batches:
-            ids, units, sets = [], [], []
-            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), gram)):
-                if len(s):
-                    ids.append(i)
-                    units.append(_unit(s))
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.int64()), pa.array(sets, pa.binary())], ["id", "u", "s"])
+            found = [(_unit(s), s.tobytes()) for s in shingle_sets(b.column(0), gram) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["u", "s"])
     return run
 
 
@@ -139,9 +143,10 @@ class _Join:
             F.min("id").alias("id"), F.count("*").alias("n_rows"), F.first("n").alias("n")))
 
     def index(self) -> None:
-        rows = self.docs.select("text").mapInArrow(_scan_prefixes(self.gram, self.percent, self.rank), "u long, n long, prefix array<long>")
-        rows = rows.groupBy("u").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        rows = materialise(rows.select("u", F.xxhash64("prefix", "n").alias("g"), "n", "prefix"))
+        rows = self.docs.select("text").mapInArrow(_scan_prefixes(self.gram, self.percent, self.rank), "u long, n long, prefix array<long>, bits array<long>")
+        rows = rows.groupBy("u").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
+        rows = materialise(rows.select("u", F.xxhash64("prefix", "n").alias("g"), "n", "prefix", "bits"))
+        self.bits = rows.select("u", "n", "bits")
         self.in_group = rows.select("u", "g", "n")
         groups = rows.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("m"))
         index = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
@@ -149,29 +154,44 @@ class _Join:
         shared = materialise(shared)
         self.lists = materialise(attach(index, shared, ["token"], "lists").select("token", "pos", "n", "g"))
 
+    def overlap(self, n, m):
+        """The shingles that linked sets of sizes n and m share at least."""
+        return F.ceil(F.lit(self.percent) * (n + m) / F.lit(100 + self.percent) - F.lit(1e-9))
+
     def near(self, x: str, y: str):
         """Size and position filters on columns n and pos of two index rows."""
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        need = F.ceil(F.lit(self.percent) * (n + m) / F.lit(100 + self.percent) - F.lit(1e-9))
         return ((100 * n >= self.percent * m) & (100 * m >= self.percent * n)
-                & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= need))
+                & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= self.overlap(n, m)))
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose parity bits differ in no more places than linked sets may differ in shingles."""
+        for side in ("a", "b"):
+            bits = self.bits.select(F.col("u").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"))
+            known = materialise(pairs.groupBy(side).agg(F.count("*").alias("w")).join(bits, side))
+            pairs = materialise(attach(pairs, known, [side], "w").drop("w"))
+        apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        n, m = F.col("na"), F.col("nb")
+        return pairs.filter(apart <= n + m - 2 * self.overlap(n, m)).select("a", "b")
+
+    def sets_of(self, units: DataFrame, name: str) -> DataFrame:
+        """Shingle sets of the units (and of a few more documents), recomputed from the texts."""
+        wanted = units.join(self.units.select("u", "id"), "u").select(F.xxhash64("id").alias("h"))
+        wanted = materialise(wanted)
+        bits = max(10, min(24, (16 * wanted.count()).bit_length()))
+        texts = self.docs.filter(has_bits(bit_set(wanted, "h", bits), F.xxhash64("id"), bits)).select("text")
+        return texts.mapInArrow(_scan_sets(self.gram), f"{name} long, s{name} binary")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The linked ones of distinct unit pairs (a, b)."""
-        pairs = materialise(pairs)
-        wanted = materialise(pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
-                             .join(self.units.select("u", "id"), "u"))
-        count = wanted.count()
-        if not count:
-            return pairs.select("a", "b")
-        bits = max(10, min(24, (16 * count).bit_length()))
-        hashed = wanted.select(F.xxhash64("id").alias("h"))
-        texts = self.docs.filter(has_bits(bit_set(hashed, "h", bits), F.xxhash64("id"), bits))
-        sets = texts.mapInArrow(_scan_sets(self.gram), "id long, u long, s binary")
-        sets = materialise(sets.join(wanted, ["id", "u"]).dropDuplicates(["u"]).select("u", "s"))
+        """The linked ones of distinct unit pairs (a, b); a is the side with few, much used units."""
+        pairs = materialise(self.plausible(materialise(pairs)))
+        if not pairs.head(1):
+            return pairs
         pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-        left = pairs.select("a", "salt").distinct().join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a")
-        both = pairs.join(sets.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b").join(left, ["a", "salt"])
+        left, right = (pairs.select(F.col(c).alias("u")).distinct() for c in ("a", "b"))
+        first = pairs.join(self.sets_of(right, "b"), "b")
+        second = pairs.select("a", "salt").distinct().join(self.sets_of(left, "a"), "a")
+        both = first.join(second, ["a", "salt"])
         return both.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a long, b long")
 
     def pivot_pairs(self) -> DataFrame:
