@@ -31,6 +31,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ from tabscope.llm.components import components
 from tabscope.llm.hashing import shingle_sets
 
 CELL_BITS = 20
-PARITY = 512
+MIN_PARITY, MAX_PARITY = 512, 1 << 16
+TOKEN_BITS = 25
 SALTS = 16
 
 
@@ -80,8 +82,9 @@ def _prefix_size(n: int, percent: int) -> int:
 def _scan_prefixes(gram: int, percent: int, rank):
     """Rows (u, n, prefix, bits): a token is the rank of its cell (8 bits) before 56 bits of its hash.
 
-    ``bits`` holds the parity of the number of shingles per low hash bits: two
-    sets differ in at least as many shingles as their bits differ in places.
+    ``bits`` holds the parity of the number of shingles per low hash bits, at
+    about one bit per shingle: two sets differ in at least as many shingles as
+    their bits differ in places. A longer field folds to a shorter one by xor.
     """
     def run(batches):
         order = rank.value
@@ -95,14 +98,58 @@ def _scan_prefixes(gram: int, percent: int, rank):
                 units.append(_unit(s))
                 sizes.append(len(s))
                 prefixes.append(np.sort(np.partition(token, p - 1)[:p]).view(np.int64))
-                parity.append(np.packbits((np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64))
+                width = min(MAX_PARITY, max(MIN_PARITY, 1 << len(s).bit_length()))
+                parity.append(np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes())
             off = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            words = np.concatenate(parity) if parity else np.empty(0, np.int64)
-            each = np.arange(len(units) + 1, dtype=np.int32) * (PARITY // 64)
             yield pa.RecordBatch.from_arrays([
                 pa.array(units, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(values)),
-                pa.ListArray.from_arrays(pa.array(each), pa.array(words))], ["u", "n", "prefix", "bits"])
+                pa.array(parity, pa.binary())], ["u", "n", "prefix", "bits"])
+    return run
+
+
+def _shared_tokens(seen):
+    """Index rows (token, pos, n, g) of tokens whose bit is set."""
+    def run(batches):
+        bits = seen.value
+        for b in batches:
+            prefix = b.column(2)
+            token, parent = prefix.flatten().to_numpy(), pa.compute.list_parent_indices(prefix).to_numpy()
+            off = prefix.offsets.to_numpy()
+            pos = np.arange(len(token)) - (off[:-1] - off[0])[parent]
+            at = (token.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TOKEN_BITS)
+            keep = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            rows = parent[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(pos[keep].astype(np.int32)),
+                                              b.column(1).take(pa.array(rows)), b.column(0).take(pa.array(rows))], ["token", "pos", "n", "g"])
+    return run
+
+
+def _token_bits(batches):
+    """(word, bits) of the tokens of one partition."""
+    bits = np.zeros(1 << (TOKEN_BITS - 6), np.uint64)
+    for b in batches:
+        at = (b.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TOKEN_BITS)
+        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    word = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits[word].view(np.int64))], ["word", "bits"])
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def _plausible(percent: int):
+    def run(batches):
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+                need = -(-percent * (n + m) // (100 + percent))
+                keep.append(apart <= n + m - 2 * need)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -143,15 +190,23 @@ class _Join:
             F.min("id").alias("id"), F.count("*").alias("n_rows"), F.first("n").alias("n")))
 
     def index(self) -> None:
-        rows = self.docs.select("text").mapInArrow(_scan_prefixes(self.gram, self.percent, self.rank), "u long, n long, prefix array<long>, bits array<long>")
+        rows = self.docs.select("text").mapInArrow(_scan_prefixes(self.gram, self.percent, self.rank), "u long, n long, prefix array<long>, bits binary")
         rows = rows.groupBy("u").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
         rows = materialise(rows.select("u", F.xxhash64("prefix", "n").alias("g"), "n", "prefix", "bits"))
         self.bits = rows.select("u", "n", "bits")
         self.in_group = rows.select("u", "g", "n")
-        groups = rows.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("m"))
-        index = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
-        shared = index.groupBy("token").agg(F.count("*").alias("lists"), F.sum("m").alias("w")).filter("w > 1")
+        # a group is indexed once, by its first member
+        several = self.in_group.groupBy("g").agg(F.min("u").alias("first"), F.count("*").alias("w")).filter("w > 1")
+        others = materialise(self.in_group.join(several, "g").filter("u <> first").select("u"))
+        others = F.broadcast(others) if others.count() <= 1 << 15 else others
+        groups = rows.select("u", "g", "n", "prefix").join(others, "u", "left_anti").select("g", "n", "prefix")
+        shared = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("lists")).filter("lists > 1")
         shared = materialise(shared)
+        words = shared.select("token").mapInArrow(_token_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        seen = np.zeros(1 << (TOKEN_BITS - 6), np.uint64)  # 4 MB whatever the input
+        seen[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        seen = self.spark.sparkContext.broadcast(seen)
+        index = materialise(groups.mapInArrow(_shared_tokens(seen), "token long, pos int, n long, g long"))
         self.lists = materialise(attach(index, shared, ["token"], "lists").select("token", "pos", "n", "g"))
 
     def overlap(self, n, m):
@@ -168,11 +223,10 @@ class _Join:
         """The pairs (a, b) whose parity bits differ in no more places than linked sets may differ in shingles."""
         for side in ("a", "b"):
             bits = self.bits.select(F.col("u").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"))
-            known = materialise(pairs.groupBy(side).agg(F.count("*").alias("w")).join(bits, side))
+            known = pairs.groupBy(side).agg(F.count("*").alias("w")).join(bits, side)
+            known = materialise(known)
             pairs = materialise(attach(pairs, known, [side], "w").drop("w"))
-        apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        n, m = F.col("na"), F.col("nb")
-        return pairs.filter(apart <= n + m - 2 * self.overlap(n, m)).select("a", "b")
+        return pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_plausible(self.percent), "a long, b long")
 
     def sets_of(self, units: DataFrame, name: str) -> DataFrame:
         """Shingle sets of the units (and of a few more documents), recomputed from the texts."""
