@@ -209,12 +209,12 @@ def schema_check(new: DataFrame, required: Sequence[str], types: dict[str, T.Dat
         if c not in present:
             rows.append((c, False, None, None))
             continue
-        nb = bad[f"bad_{c}"] if bad is not None and f"bad_{c}" in bad.asDict() else 0
+        nb = bad[f"bad_{c}"] if bad is not None and f"bad_{c}" in bad.asDict() else None
         unseen = None
         if categories and c in categories:
             known = categories[c].select(F.col(categories[c].columns[0]).alias(c))
             unseen = (new.where(F.col(c).isNotNull()).select(c).distinct()
                       .join(known, c, "left_anti").count())
-        rows.append((c, True, int(nb), unseen))
+        rows.append((c, True, None if nb is None else int(nb), unseen))
     return spark.createDataFrame(rows, "column_name string, present boolean, "
                                        "non_castable long, unseen_categories long")

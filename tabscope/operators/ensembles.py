@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,20 +142,10 @@ def bagging_regressor(train: DataFrame, features: Sequence[str], label: str, n_e
 def gbt_regressor(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
                   learning_rate: float = 0.1, max_depth: int = 3, loss: str = "squared_error",
                   seed: int = 42, max_bins: int = 256, name: str = "gradient_boosting", alpha: float = 0.9):
-    """Gradient boosting regression. Squared error runs on Spark's GBT
-    learner; absolute_error, huber and quantile run the boosting loop of
-    ``gbt_regressor_loop`` (leaf values re-estimated as the published
-    algorithm prescribes)."""
-    if loss in ("absolute_error", "huber", "quantile"):
-        return gbt_regressor_loop(train, features, label, n_estimators, learning_rate, max_depth, loss,
-                                  alpha, max_bins=max_bins, name=name)
-    loss_type = {"squared_error": "squared"}.get(loss)
-    if loss_type is None:
-        raise ValueError(f"unknown loss {loss!r}")
-    d = _assemble(train.withColumn("_y", F.col(label).cast("double")), features)
-    m = GBTRegressor(featuresCol=_VEC, labelCol="_y", maxIter=n_estimators, stepSize=learning_rate,
-                     maxDepth=max_depth, lossType=loss_type, seed=seed, maxBins=max_bins).fit(d)
-    return SparkMLModel(name, "regression", list(features), None, m)
+    """Gradient boosting regression: the loop of ``gbt_regressor_loop`` for every
+    loss. (Spark's own learner enters its first tree with weight 1.)"""
+    return gbt_regressor_loop(train, features, label, n_estimators, learning_rate, max_depth, loss,
+                              alpha, max_bins=max_bins, name=name)
 
 
 @dataclass
@@ -318,9 +308,10 @@ def gbt_regressor_loop(train: DataFrame, features: Sequence[str], label: str, n_
                        learning_rate: float = 0.1, max_depth: int = 3, loss: str = "huber",
                        alpha: float = 0.9, min_samples_leaf: int = 1, max_bins: int = 256,
                        name: str = "gradient_boosting") -> BoostedRegressorModel:
-    """Gradient boosting for absolute_error, huber and quantile losses.
+    """Gradient boosting for squared_error, absolute_error, huber and quantile losses.
 
-    init: median (absolute, huber) or alpha-quantile (quantile). Each round
+    Squared error starts at the mean and keeps the leaves' mean residuals.
+    Else init: median (absolute, huber) or alpha-quantile (quantile). Each round
     fits a friedman-MSE ``hist_tree`` to the negative gradient, then sets
     each leaf to: the median of the residuals (absolute); the median plus the
     mean of the residuals' deviations clipped at the huber delta, delta being
@@ -328,19 +319,24 @@ def gbt_regressor_loop(train: DataFrame, features: Sequence[str], label: str, n_
     residuals (quantile). Quantiles are exact and distributed."""
     from tabscope.plans.ordering import exact_quantiles
     features = list(features)
-    if loss not in ("absolute_error", "huber", "quantile"):
+    if loss not in ("squared_error", "absolute_error", "huber", "quantile"):
         raise ValueError(f"unsupported loss {loss!r}")
     cuts = fit_cuts(train, features, max_bins)
     y = F.col(label).cast("double")
     q0 = alpha if loss == "quantile" else 0.5
-    init = exact_quantiles(train.select(y.alias("_y")), ["_y"], [q0]).first()["quantile"]
+    if loss == "squared_error":
+        init = train.agg(F.avg(y)).first()[0]
+    else:
+        init = exact_quantiles(train.select(y.alias("_y")), ["_y"], [q0]).first()["quantile"]
     model = BoostedRegressorModel(name, features, init, learning_rate)
     data = bin_rows(train.select(*features, y.alias(label)), features, cuts).withColumn("_F", F.lit(init))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     prev = None
     for it in range(n_estimators):
         diff = F.col(label) - F.col("_F")
-        if loss == "absolute_error":
+        if loss == "squared_error":
+            grad = diff
+        elif loss == "absolute_error":
             grad = F.signum(diff)
         elif loss == "quantile":
             grad = F.when(diff > 0, F.lit(alpha)).otherwise(F.lit(-(1 - alpha)))
@@ -355,7 +351,9 @@ def gbt_regressor_loop(train: DataFrame, features: Sequence[str], label: str, n_
             prev = None
         leaf = tree.leaf_column()
         leaves = [n.node_id for n in tree.nodes.values() if n.is_leaf]
-        if loss == "huber":
+        if loss == "squared_error":
+            values = {n.node_id: n.stats[1] / n.weight for n in tree.nodes.values() if n.is_leaf}
+        elif loss == "huber":
             med = _leaf_quantiles(step, leaf, diff, leaves, 0.5)
             medc = _leaf_value_column(tree, med)
             dev = diff - medc

@@ -183,7 +183,7 @@ def _auc(scored: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") + F.col("tp") / 2.0)).alias("_a"),
         F.sum("tp").alias("P"), F.sum("fp").alias("N"))
     return area.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                     F.col("_a") / (F.col("P") * F.col("N"))).alias("auc"))
+                                     F.col("_a") / (F.col("P").cast("double") * F.col("N"))).alias("auc"))
 
 
 def auc_binary(pred: DataFrame, y: str, score: str, positive, by=None) -> DataFrame:

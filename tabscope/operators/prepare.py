@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscope.functions.kinds import floating_columns, is_numeric
 from tabscope.operators import cleaning as C
@@ -74,11 +75,12 @@ class PreparationSpec:
             else:
                 mn, mx = TG._range(base, target)
                 edges = TG.custom_edges((binning or {}).get("cuts") or TG.default_custom_text(mn, mx), mn, mx)
-            spec.binning = {"method": method, "edges": edges, "labels": TG.bin_labels(edges)}
+            labels = TG.bin_labels(edges)
+            spec.binning = {"method": method, "edges": edges, "labels": labels, "by_id": len(set(labels)) < len(labels)}
         if task == "classification":
             lab = spec._label(base)
             counts = lab.groupBy(LABEL).count().where(F.col("count") >= min_class_rows)
-            spec.classes = sorted(r[0] for r in counts.select(LABEL).limit(10_001).collect())
+            spec.classes = sorted(r[0] for r in counts.select(LABEL).collect())
             if len(spec.classes) < 2:
                 raise ValueError("at least 2 classes with 2 or more rows are needed")
         spec.x_columns = E.design_columns(base, feats, spec.categories)
@@ -96,8 +98,10 @@ class PreparationSpec:
         if self.task == "regression":
             return d.withColumn(LABEL, F.col(self.target).cast("double")).where(F.col(LABEL).isNotNull())
         if self.binning is not None:
-            b = TG.apply_bins(d, self.target, self.binning["edges"], out="_bin", label=LABEL).drop("_bin")
-            return b.where(F.col(LABEL).isNotNull())
+            b = TG.apply_bins(d, self.target, self.binning["edges"], out="_bin", label=LABEL)
+            if self.binning.get("by_id"):  # bins too narrow for two decimals keep their own class
+                b = b.withColumn(LABEL, F.concat(F.lpad(F.col("_bin").cast("string"), 6, "0"), F.lit(": "), F.col(LABEL)))
+            return b.drop("_bin").where(F.col(LABEL).isNotNull())
         return C.normalize_label(d.withColumn(LABEL, F.col(self.target)), LABEL)
 
     def transform(self, df: DataFrame, keep: list[str] | None = None, with_label: bool = True) -> DataFrame:
@@ -121,7 +125,8 @@ class PreparationSpec:
         if with_label:
             d = self._label(d)
             if self.task == "classification":
-                d = d.where(F.col(LABEL).isin(self.classes))
+                known = d.sparkSession.createDataFrame([(c,) for c in self.classes], T.StructType([T.StructField(LABEL, d.schema[LABEL].dataType)]))
+                d = d.join(known, LABEL, "left_semi").select(d.columns)
         enc = E.align_to_training(d, self.numeric, self.categories, self.x_columns)
         return enc.select(*keep, *[F.col(c).cast("double").alias(c) for c in self.x_columns],
                           *([LABEL] if with_label else []))

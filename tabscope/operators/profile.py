@@ -86,8 +86,9 @@ def descriptive_stats(df: DataFrame, cols: Sequence[str], mean_scale: int | None
         F.skewness("value").alias("g1"),
         F.kurtosis("value").alias("g2"))
     n = F.col("n").cast("double")
-    skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    flat = F.col("min") == F.col("max")  # a constant column has neither skew nor excess
+    skew = F.when((n > 2) & flat, 0.0).when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when((n > 3) & flat, 0.0).when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
     med = exact_quantiles(df, cols, [0.5]).select("column_name", F.col("quantile").alias("median"))
     return m.join(med, "column_name", "left").select(
         "column_name", "mean", "median", "std", "min", "max",

@@ -78,8 +78,9 @@ def _assign(df: DataFrame, key: str, seed: int, stratify: str | None, quotas: di
     w = Window.partitionBy("_c").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     per = (per.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
            .join(F.broadcast(q), per["_c"].eqNullSafe(q["_c"])).drop(q["_c"]))
-    tagged = base.join(bc(per), ["_c", "_bk"]) if stratify else \
-        base.join(bc(per.drop("_c")), ["_bk"])
+    # null-safe: rows without a class are a class of their own
+    per = per.withColumnRenamed("_c", "_pc").withColumnRenamed("_bk", "_pbk")
+    tagged = base.join(bc(per), base["_c"].eqNullSafe(per["_pc"]) & (base["_bk"] == per["_pbk"])).drop("_pc", "_pbk")
     whole_train = F.col("_off") + F.col("_cnt") <= F.col("_quota")
     whole_test = F.col("_off") >= F.col("_quota")
     plain = tagged.where(whole_train | whole_test).withColumn("is_test", ~whole_train)

@@ -237,8 +237,8 @@ def _impurity_py(stats: list[float], w: float, task: str, criterion: str) -> flo
     _, sy, syy = stats
     mean = sy / w
     if criterion == "poisson":
-        # half Poisson deviance per unit weight needs the rows; report variance-free proxy
-        return 0.0 if mean <= 0 else -(sy / w) * math.log(mean) + mean
+        # second-order form of the half Poisson deviance: 0 for a pure node, positive else
+        return 0.0 if mean <= 0 else max(syy / w - mean * mean, 0.0) / (2 * mean)
     return max(syy / w - mean * mean, 0.0)
 
 
@@ -329,7 +329,7 @@ def _grow(model: TreeModel, binned: DataFrame, cuts, n_stats, max_depth, mss, ms
                 wsum = st[0] if task == "regression" else sum(st)
                 imp = _impurity_py(st, wsum, task, criterion)
                 model.nodes[nid] = Node(nid, depth, n, wsum, st, imp)
-                if depth < max_depth and n >= mss and n >= 2 * msl and imp > EPS:
+                if depth < max_depth and n >= mss and n >= 2 * msl and imp > EPS * model.nodes[1].impurity:
                     eligible.append(nid)
         query = need + eligible
         if depth == max_depth or not query:
@@ -348,7 +348,7 @@ def _grow(model: TreeModel, binned: DataFrame, cuts, n_stats, max_depth, mss, ms
                 wsum = st[0] if task == "regression" else sum(st)
                 imp = _impurity_py(st, wsum, task, criterion)
                 model.nodes[nid] = Node(nid, depth, n, wsum, st, imp)
-                if not (depth < max_depth and n >= mss and n >= 2 * msl and imp > EPS):
+                if not (depth < max_depth and n >= mss and n >= 2 * msl and imp > EPS * model.nodes[1].impurity):
                     continue
             if best is None:
                 continue

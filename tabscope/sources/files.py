@@ -19,10 +19,21 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # -----------------------------------------------------------------------------
 
 
+#: What counts as a number; Java would also read the suffixes of ``10d`` and ``5f``.
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+_NUMBER = r"(?i)^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
 def _na_to_null(c: F.Column) -> F.Column:
     return F.when(c.isin(NA_TOKENS), F.lit(None)).otherwise(c)
 
 
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """Cells as text; quotes are doubled inside quoted cells, which may hold newlines."""
+    return (spark.read.option("header", True).option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
+            .option("multiLine", True).option("encoding", "UTF-8").option("nullValue", None).option("emptyValue", "").csv(path))
+
+
 def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV, comma separated, UTF-8; a malformed file fails the read.
 
@@ -30,9 +41,7 @@ def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = None)
     the job, as pandas rejects the file). Without it types are inferred as
     described in the module doc.
     """
-    raw = (spark.read.option("header", True).option("mode", "FAILFAST")
-           .option("encoding", "UTF-8").option("nullValue", None)
-           .option("emptyValue", "").csv(path))
+    raw = _raw(spark, path)
     names = raw.columns
     cleaned = raw.select(*[_na_to_null(F.col(f"`{c}`")).alias(c) for c in names])
     if schema is not None:
@@ -48,8 +57,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(names):
         col = F.col(f"`{c}`")
         checks += [F.count(col).alias(f"n{i}"),
-                   F.count(col.try_cast("bigint")).alias(f"l{i}"),
-                   F.count(col.try_cast("double")).alias(f"d{i}")]
+                   F.count(F.when(col.rlike(_INTEGER), col.try_cast("bigint"))).alias(f"l{i}"),
+                   F.count(F.when(col.rlike(_NUMBER), col.try_cast("double"))).alias(f"d{i}")]
     row = df.agg(*checks).first()
     out = []
     for i, c in enumerate(names):
@@ -68,7 +77,7 @@ def scoring_scan(spark: SparkSession, path: str, training_schema: T.StructType,
                  target: str) -> DataFrame:
     """Second CSV of new rows, read with the training schema minus the target.
     Columns are matched by name; missing ones are reported by ``schema_check``."""
-    raw = (spark.read.option("header", True).option("mode", "FAILFAST").csv(path))
+    raw = _raw(spark, path)
     present = set(raw.columns)
     cols = []
     for f in training_schema.fields:
@@ -81,7 +90,7 @@ def scoring_scan(spark: SparkSession, path: str, training_schema: T.StructType,
 def csv_sink(df: DataFrame, path: str) -> str:
     """Write rows with a header, no index; a directory of part files written
     in parallel (no coalesce to one file)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return path
 
 

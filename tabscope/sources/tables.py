@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -16,15 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer input partitions than task slots.
+    """Spread a scan that Spark reads with a single task.
 
-    A file written as one row group is read by one task however large it
-    is, which serialises every narrow stage before the first shuffle. When
-    the scan has fewer partitions than the default parallelism, a round-robin
-    repartition to that parallelism is added (one shuffle of the pruned
-    columns). Large tables already have many splits and are left alone.
+    That is at most one input split (``spark.sql.files.maxPartitionBytes``),
+    whatever the cluster; every larger table is left alone.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if os.environ.get("TABSCOPE_NO_BALANCE") != "1" and df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
+    if df.rdd.getNumPartitions() == 1:
+        return df.repartition(min(8, df.sparkSession.sparkContext.defaultParallelism))
     return df
