@@ -39,7 +39,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, share: int = 1024, small: int = 1 << 15) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, share: int = 1024, small: int = 1 << 12) -> DataFrame:
     """Inner join of many ``left`` rows to one ``right`` row per key, safe for hot keys.
 
     ``right.weight`` counts the left rows of the key; ``right`` is materialised

@@ -109,7 +109,7 @@ def _scan_prefixes(gram: int, percent: int, rank):
 
 
 def _shared_tokens(seen):
-    """Index rows (token, pos, n, g) of tokens whose bit is set."""
+    """Index rows (token, pos, n, g, score) of tokens whose bit is set; score counts them in the prefix."""
     def run(batches):
         bits = seen.value
         for b in batches:
@@ -120,8 +120,9 @@ def _shared_tokens(seen):
             at = (token.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TOKEN_BITS)
             keep = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
             rows = parent[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(pos[keep].astype(np.int32)),
-                                              b.column(1).take(pa.array(rows)), b.column(0).take(pa.array(rows))], ["token", "pos", "n", "g"])
+            score = np.bincount(rows, minlength=len(b)).astype(np.int32)[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(pos[keep].astype(np.int32)), b.column(1).take(pa.array(rows)),
+                                              b.column(0).take(pa.array(rows)), pa.array(score)], ["token", "pos", "n", "g", "score"])
     return run
 
 
@@ -206,8 +207,8 @@ class _Join:
         seen = np.zeros(1 << (TOKEN_BITS - 6), np.uint64)  # 4 MB whatever the input
         seen[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
         seen = self.spark.sparkContext.broadcast(seen)
-        index = materialise(groups.mapInArrow(_shared_tokens(seen), "token long, pos int, n long, g long"))
-        self.lists = materialise(attach(index, shared, ["token"], "lists").select("token", "pos", "n", "g"))
+        index = materialise(groups.mapInArrow(_shared_tokens(seen), "token long, pos int, n long, g long, score int"))
+        self.lists = materialise(attach(index, shared, ["token"], "lists").select("token", "pos", "n", "g", "score"))
 
     def overlap(self, n, m):
         """The shingles that linked sets of sizes n and m share at least."""
@@ -250,17 +251,16 @@ class _Join:
 
     def pivot_pairs(self) -> DataFrame:
         """In every list and size class: the member that shares most tokens, with each other member."""
-        score = self.lists.groupBy("g").agg(F.count("*").alias("score"))
         first = self.in_group.groupBy("g").agg(F.min("u").alias("u"), F.count("*").alias("m"))
-        node = materialise(score.join(first, "g"))
         size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(self.percent / 100)) if self.percent < 100 else 1e-9)).cast("long")
-        rows = self.lists.join(node, "g").withColumn("k", size)
-        rows = materialise(rows.select("token", "k", "pos", "n", "g", "u", "score"))
-        best = rows.groupBy("token", "k").agg(F.max(F.struct("score", "u", "g", "n", "pos")).alias("p"), F.count("*").alias("w"))
-        best = materialise(best.filter("w > 1").select("token", "k", "w", F.col("p.u").alias("pu"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")))
-        both = attach(rows, best, ["token", "k"], "w").filter("u <> pu")
-        both = both.select(F.struct("n", "pos").alias("x"), F.struct(F.col("pn").alias("n"), F.col("ppos").alias("pos")).alias("y"), "u", "pu")
-        across = both.filter(self.near("x", "y")).select(F.col("pu").alias("a"), F.col("u").alias("b"))
+        rows = self.lists.withColumn("k", size)
+        best = rows.groupBy("token", "k").agg(F.max(F.struct("score", "g", "n", "pos")).alias("p"), F.count("*").alias("w"))
+        best = materialise(best.filter("w > 1").select("token", "k", "w", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")))
+        both = attach(rows, best, ["token", "k"], "w").filter("g <> pg")
+        both = both.select(F.struct("n", "pos").alias("x"), F.struct(F.col("pn").alias("n"), F.col("ppos").alias("pos")).alias("y"), "g", "pg")
+        across = materialise(both.filter(self.near("x", "y")).select("pg", "g").distinct())
+        unit = first.select("g", F.col("u").alias("b"))
+        across = across.join(unit, "g").join(unit.select(F.col("g").alias("pg"), F.col("b").alias("a")), "pg").select("a", "b")
         # members of one group: its first member with each other one
         inside = self.in_group.join(first.filter("m > 1").select("g", F.col("u").alias("a")), "g").filter("u <> a").select("a", F.col("u").alias("b"))
         return across.unionByName(inside).distinct()
@@ -270,7 +270,7 @@ class _Join:
         unit = self.in_group.join(comp.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("comp", "u"))
         unit = materialise(unit)
         nodes = unit.groupBy("g", "comp").agg(F.count("*").alias("m"))
-        rows = self.lists.join(nodes, "g")
+        rows = self.lists.drop("score").join(nodes, "g")
         mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).filter("lo <> hi")
         mixed = materialise(mixed.select("token", "w"))
         rows = materialise(attach(materialise(rows), mixed, ["token"], "w").select("token", "pos", "n", "g", "comp"))
