@@ -61,6 +61,7 @@ _LONGEST = max(map(len, COMMON))
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 _SEGMENT = log10(2)
+_RUN = 64
 
 
 def _char_cost(c: str) -> float:
@@ -81,8 +82,14 @@ def _runs(value: str, step) -> list[int]:
     return out
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """log10 of the guesses for ``value`` and the cheapest segmentation as (kind, start, end)."""
+def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+    """The cheapest segmentation: its cost and its parts (kind, start, end).
+
+    ``best[e]`` is the cheapest way to cover the first e characters, and
+    ``brute[e]`` the cheapest that ends inside a brute-force span, which may go
+    on without another segment charge. Runs are tried at every length up to
+    ``_RUN`` and at full length.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(SWAPS)
     walks = _runs(low, _near)
@@ -95,13 +102,14 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             m = _DATE.match(value, i)
             if m:
                 dates.setdefault(m.end(), []).append(i)
-    best = [0.0] + [0.0] * n
+    best, brute, begin = [0.0] * (n + 1), [float("inf")] * (n + 1), [0] * (n + 1)
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
-    in_brute = [False] * (n + 1)
     for e in range(1, n + 1):
-        # one more brute-force character; a span pays its segment charge once
-        cost = best[e - 1] + _char_cost(value[e - 1]) + (0 if in_brute[e - 1] else _SEGMENT)
-        kind, start = "brute", e - 1
+        c = _char_cost(value[e - 1])
+        brute[e], begin[e] = best[e - 1] + c + _SEGMENT, e - 1
+        if brute[e - 1] + c < brute[e]:
+            brute[e], begin[e] = brute[e - 1] + c, begin[e - 1]
+        cost, kind, start = brute[e], "brute", begin[e]
         for s in range(max(0, e - _LONGEST), e - 2):
             rank = _RANK.get(low[s:e])
             swapped = rank is None and _RANK.get(plain[s:e])
@@ -110,8 +118,8 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 if c < cost:
                     cost, kind, start = c, "word", s
         for name, runs, base in (("walk", walks, log10(47)), ("sequence", ups, log10(20)), ("sequence", downs, log10(30)), ("repeat", same, log10(12))):
-            k = runs[e - 1]
-            if k >= 3:
+            full = runs[e - 1]
+            for k in {*range(3, min(full, _RUN) + 1), *([full] if full >= 3 else [])}:
                 c = best[e - k] + base + (0.5 * k if name == "walk" else log10(k)) + _SEGMENT
                 if c < cost:
                     cost, kind, start = c, name, e - k
@@ -119,24 +127,26 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             c = best[s] + log10(365 * 60 if e - s > 4 else 120) + _SEGMENT
             if c < cost:
                 cost, kind, start = c, "date", s
-        best[e], back[e], in_brute[e] = cost, (kind, start), kind == "brute"
+        best[e], back[e] = cost, (kind, start)
     parts: list[tuple[str, int, int]] = []
     e = n
     while e:
         kind, s = back[e]
-        if kind == "brute" and parts and parts[-1][0] == "brute" and parts[-1][1] == e:
-            parts[-1] = ("brute", s, parts[-1][2])
-        else:
-            parts.append((kind, s, e))
+        parts.append((kind, s, e))
         e = s
-    # repeats of a whole block: the block once and the number of times
-    for size in _periods(low):
-        c = guess_cost(value[:size])[0] + log10(n // size) + _SEGMENT
-        if c < best[n]:
-            return c, [("repeat", 0, n)]
     return best[n], parts[::-1]
 
 
+def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+    """log10 of the guesses for ``value`` and its parts; a value that repeats one block costs the block and the count."""
+    cost, parts = segment(value)
+    for size in _periods(value.lower()):
+        c = guess_cost(value[:size])[0] + log10(len(value) // size) + _SEGMENT
+        if c < cost:
+            return c, [("repeat", 0, len(value))]
+    return cost, parts
+
+
 def _periods(value: str) -> list[int]:
     """The smallest proper period that divides the length, if there is one."""
     k = (value + value).find(value, 1) if value else 0

@@ -199,14 +199,14 @@ def test_secrets(docs, empty):
 def test_guess_cost_is_the_cheapest_segmentation():
     from itertools import combinations
 
-    from tabscope.llm.secret_scan import guess_cost
+    from tabscope.llm.secret_scan import segment
 
     for value in ("abc1qaz", "pass99", "tr4st2001", "zzzz1"):
-        whole = guess_cost(value)[0]
+        whole = segment(value)[0]
         for n in range(1, len(value)):
             for cuts in combinations(range(1, len(value)), n):
                 parts = [value[a:b] for a, b in zip((0, *cuts), (*cuts, len(value)))]
-                assert whole <= sum(guess_cost(p)[0] for p in parts) + 1e-9
+                assert whole <= sum(segment(p)[0] for p in parts) + 1e-9
 
 
 def test_toxicity_separates_and_survives_missing_labels(spark, docs, empty):
