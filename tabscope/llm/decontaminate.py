@@ -63,6 +63,14 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.select("item_id", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("len")), " "))).alias("gram"))
 
 
+def _short_spans(n: int, bitset: Column, bits: int) -> Column:
+    """Positions whose n words have a fingerprint of an item of n words, as (s, len)."""
+    every = F.sequence(F.lit(0), F.size("h") - n)
+    hit = F.filter(every, lambda i: has_bits(bitset, F.xxhash64(F.slice("h", i + 1, F.lit(n))), bits))
+    spans = F.transform(hit, lambda i: F.struct(i.alias("s"), F.lit(n).alias("len")))
+    return F.when(F.size("h") >= n, spans).otherwise(F.array().cast("array<struct<s:int,len:int>>"))
+
+
 def decontamination_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, item_ids) per document row; item_ids sorted as text."""
     wins = materialise(benchmark_windows(items, window).distinct())
@@ -91,10 +99,7 @@ def decontamination_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW
             of = short.filter(F.col("len") == n)
             name = f"bits{n}"
             d = d.withColumn(name, bit_set(of, "fp", bits))
-            every = F.sequence(F.lit(0), F.size("h") - n)
-            spans.append(F.when(F.size("h") >= n, F.transform(
-                F.filter(every, lambda i, name=name, n=n: has_bits(F.col(name), F.xxhash64(F.slice("h", i + 1, F.lit(n))), bits)),
-                lambda i, n=n: F.struct(i.alias("s"), F.lit(n).alias("len")))).otherwise(F.array().cast("array<struct<s:int,len:int>>")))
+            spans.append(_short_spans(n, F.col(name), bits))
     found = F.concat(*spans) if spans else F.array().cast("array<struct<s:int,len:int>>")
     d = d.withColumn("found", found)
     slim = materialise(d.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.transform("found", lambda x: F.struct(

@@ -211,7 +211,8 @@ def test_guess_cost_is_the_cheapest_segmentation():
 
 def test_toxicity_separates_and_survives_missing_labels(spark, docs, empty):
     from tabscope.llm.toxicity import score_toxicity
-    texts = [(1000 + i, f"plain text {i} about garden number {i * 3} and tea " + ("you utter nitwit " * 2 + f"mean{i} nitwit end" if i % 4 == 0 else f"nice{i} end"),
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    texts = [(1000 + i, f"plain text about garden and tea with {name(i * 37)} " + (f"nitwit {name(i * 41)} nitwit" if i % 4 == 0 else f"kind {name(i * 43)} end"),
               "en", "s", 0, "", "", "") for i in range(400)]
     table = docs.unionByName(spark.createDataFrame(texts, DOCS))
     labels = spark.createDataFrame([(1000 + i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
