@@ -18,6 +18,9 @@ from tabscope.session import ensure_checkpoint_dir
 
 NULL_ID = 2 ** 63 - 1
 
+#: Rows of a narrow table (a few numbers each) that one task takes at least.
+NARROW_ROWS = 1 << 15
+
 #: Code points that separate words in the contracts: space, tab to carriage return.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -39,6 +42,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table of at most ``rows`` rows in as many partitions as it needs.
+
+    Small tables would else be dealt out, checkpointed and shuffled again as
+    hundreds of nearly empty files. The number of partitions follows the rows.
+    """
+    return df.coalesce(1 + rows // NARROW_ROWS)
+
+
 def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, share: int = 1024, small: int = 1 << 12) -> DataFrame:
     """Inner join of many ``left`` rows to one ``right`` row per key, safe for hot keys.
 

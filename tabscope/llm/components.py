@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import attach, materialise
+from tabscope.llm.common import attach, materialise, narrow
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,17 +15,25 @@ def components(edges: DataFrame) -> DataFrame:
     contracts the edges along these pointers, until no edge between two nodes
     is left. Hot nodes are handled by ``attach``: their degrees are known.
     """
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialise(edges.filter("a <> b").distinct())
-    label = materialise(both(edges).select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
+    size = edges.count()
+    edges = narrow(edges, size)
+
+    def keep(df: DataFrame) -> DataFrame:  # every table here has two rows per edge at most
+        return materialise(narrow(df, 2 * size))
+
+    def both() -> DataFrame:
+        return narrow(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * size)
+
+    label = keep(both().select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
     while edges.head(1):
-        to = materialise(both(edges).groupBy("a").agg(F.least("a", F.min("b")).alias("to"), F.count("*").alias("w")))
+        to = keep(both().groupBy("a").agg(F.least("a", F.min("b")).alias("to"), F.count("*").alias("w")))
         sizes = label.groupBy("comp").agg(F.count("*").alias("n"))
-        step = materialise(to.select(F.col("a").alias("comp"), "to").join(sizes, "comp"))
+        step = keep(to.select(F.col("a").alias("comp"), "to").join(sizes, "comp"))
         moved = attach(label, step, ["comp"], "n").select("node", F.col("to").alias("comp"))
         stay = label.join(step.select("comp"), "comp", "left_anti").select("node", "comp")
-        label = materialise(moved.unionByName(stay))
-        half = attach(edges, to, ["a"], "w").select(F.col("to").alias("x"), "b")
-        half = attach(materialise(half), to.withColumnRenamed("a", "b"), ["b"], "w").select(F.col("x").alias("a"), F.col("to").alias("b"))
-        edges = materialise(half.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        label = keep(moved.unionByName(stay))
+        half = keep(attach(edges, to, ["a"], "w").select(F.col("to").alias("x"), "b"))
+        half = attach(half, to.withColumnRenamed("a", "b"), ["b"], "w").select(F.col("x").alias("a"), F.col("to").alias("b"))
+        edges = keep(half.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return label

@@ -35,7 +35,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import attach, bit_set, has_bits, id_back, id_key, materialise
+from tabscope.llm.common import attach, bit_set, has_bits, id_back, id_key, materialise, narrow
 from tabscope.llm.components import components
 from tabscope.llm.hashing import shingle_sets
 
@@ -181,24 +181,27 @@ class _Join:
 
     def scan(self) -> None:
         rows = materialise(self.docs.mapInArrow(_scan_units(self.gram), "id long, u long, n long, cell long, c long"))
-        self.members = rows.filter("cell is null").select("id", "u", "n")
+        members = rows.filter("cell is null").select("id", "u", "n")
+        self.members = narrow(members, members.count())
         rank = np.zeros(1 << CELL_BITS, np.uint8)
         heavy = rows.filter("cell is not null").groupBy("cell").agg(F.sum("c").alias("c"))
         for r in heavy.select("cell", F.floor(F.log2("c")).alias("r")).toLocalIterator():  # at most 2^CELL_BITS rows
             rank[r["cell"]] = min(255, r["r"])
         self.rank = self.spark.sparkContext.broadcast(rank)  # 1 MB
-        self.units = materialise(self.members.filter("u is not null").groupBy("u").agg(
+        units = materialise(self.members.filter("u is not null").groupBy("u").agg(
             F.min("id").alias("id"), F.count("*").alias("n_rows"), F.first("n").alias("n")))
+        self.n_units = units.count()
+        self.units = narrow(units, self.n_units)
 
     def index(self) -> None:
         rows = self.docs.select("text").mapInArrow(_scan_prefixes(self.gram, self.percent, self.rank), "u long, n long, prefix array<long>, bits binary")
         rows = rows.groupBy("u").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
         rows = materialise(rows.select("u", F.xxhash64("prefix", "n").alias("g"), "n", "prefix", "bits"))
         self.bits = rows.select("u", "n", "bits")
-        self.in_group = rows.select("u", "g", "n")
+        self.in_group = narrow(materialise(rows.select("u", "g", "n")), self.n_units)
         # a group is indexed once, by its first member
         several = self.in_group.groupBy("g").agg(F.min("u").alias("first"), F.count("*").alias("w")).filter("w > 1")
-        others = materialise(self.in_group.join(several, "g").filter("u <> first").select("u"))
+        others = materialise(narrow(self.in_group.join(several, "g").filter("u <> first").select("u"), self.n_units))
         others = F.broadcast(others) if others.count() <= 1 << 15 else others
         groups = rows.select("u", "g", "n", "prefix").join(others, "u", "left_anti").select("g", "n", "prefix")
         shared = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("lists")).filter("lists > 1")
@@ -229,23 +232,26 @@ class _Join:
             pairs = materialise(attach(pairs, known, [side], "w").drop("w"))
         return pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_plausible(self.percent), "a long, b long")
 
-    def sets_of(self, units: DataFrame, name: str) -> DataFrame:
+    def sets_of(self, units: DataFrame, name: str, size: int) -> DataFrame:
         """Shingle sets of the units (and of a few more documents), recomputed from the texts."""
         wanted = units.join(self.units.select("u", "id"), "u").select(F.xxhash64("id").alias("h"))
-        wanted = materialise(wanted)
+        wanted = materialise(narrow(wanted, size))
         bits = max(10, min(24, (16 * wanted.count()).bit_length()))
         texts = self.docs.filter(has_bits(bit_set(wanted, "h", bits), F.xxhash64("id"), bits)).select("text")
         return texts.mapInArrow(_scan_sets(self.gram), f"{name} long, s{name} binary")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct unit pairs (a, b); a is the side with few, much used units."""
-        pairs = materialise(self.plausible(materialise(pairs)))
-        if not pairs.head(1):
+        pairs = materialise(pairs)
+        pairs = materialise(self.plausible(narrow(pairs, pairs.count())))
+        size = pairs.count()
+        if not size:
             return pairs
+        pairs = narrow(pairs, size)
         pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
         left, right = (pairs.select(F.col(c).alias("u")).distinct() for c in ("a", "b"))
-        first = pairs.join(self.sets_of(right, "b"), "b")
-        second = pairs.select("a", "salt").distinct().join(self.sets_of(left, "a"), "a")
+        first = pairs.join(self.sets_of(right, "b", size), "b")
+        second = pairs.select("a", "salt").distinct().join(self.sets_of(left, "a", size), "a")
         both = first.join(second, ["a", "salt"])
         return both.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a long, b long")
 
@@ -268,7 +274,7 @@ class _Join:
     def rest_pairs(self, comp: DataFrame) -> DataFrame:
         """Unit pairs of different classes whose groups share a token and pass the filters."""
         unit = self.in_group.join(comp.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("comp", "u"))
-        unit = materialise(unit)
+        unit = materialise(narrow(unit, self.n_units))
         nodes = unit.groupBy("g", "comp").agg(F.count("*").alias("m"))
         rows = self.lists.drop("score").join(nodes, "g")
         mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).filter("lo <> hi")
@@ -304,9 +310,9 @@ def jaccard_classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFr
     join = _Join(docs, gram, percent)
     comp = join.classes()
     units = join.units.join(comp.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("comp", "u"))
-    units = materialise(units.select("u", "id", "n_rows", "comp"))
-    least = materialise(units.groupBy("comp").agg(F.min("id").alias("component"), F.count("*").alias("w")))
-    units = materialise(attach(units, least, ["comp"], "w").select("u", "n_rows", "component"))
+    units = materialise(narrow(units.select("u", "id", "n_rows", "comp"), join.n_units))
+    least = materialise(narrow(units.groupBy("comp").agg(F.min("id").alias("component"), F.count("*").alias("w")), join.n_units))
+    units = materialise(narrow(attach(units, least, ["comp"], "w").select("u", "n_rows", "component"), join.n_units))
     linked = attach(join.members.filter("u is not null"), units, ["u"], "n_rows").select("id", "n", "component", "u")
     empty = join.members.filter("u is null").select("id", "n", F.col("id").alias("component"), "u")
     return linked.unionByName(empty).select(id_back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
