@@ -5,12 +5,16 @@ repeated 3-word windows. The divergence verdict compares two histograms of the
 document with the reference of its language, counted over the whole corpus:
 
 * character classes (letters, capitals, digits, space, punctuation, symbols);
-* common words: the ``n_common`` most frequent short words of the language and
+* common words: the most frequent words of the language, of any length, that
+  together make up ``common_share`` of its words (``max_common`` at most), and
   one class for all other words.
 
-The distance is the Jensen-Shannon distance (base 2, 0 to 1). A histogram of a
+The distance is the Jensen-Shannon distance (base 2, 0 to 1). The limit of the
+word distance is a share of the distance at which a text without any common
+word lies from the reference, so such a text always fails. A histogram of a
 short text says little, so each test has a minimum length; below it the test
-passes.
+passes. Where the listed words cover less than ``common_share`` (a language not
+written with spaces), the word test needs a text longer by as much.
 
 Edge cases: a null text has no words (base rules fail it); a null ``lang`` is a
 language of its own; a language whose reference comes from few documents is
@@ -26,12 +30,14 @@ from tabscope.llm.common import WS_CHARS, attach, id_key, materialise
 
 #: Character classes counted by pattern; white space is counted by length, all else counts as letters.
 CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "symbol": r"[#*$%&|<>]", "punct": r"[.,;:!?'\"()\[\]{}/\\-]"}
-COMMON_MAX_BYTES = 4
-N_COMMON = 12
+#: The common words are the fewest that make up this share of a language's words, and no more than MAX_COMMON.
+COMMON_SHARE = 0.2
+MAX_COMMON = 256
 MIN_CHARS = 200
 MIN_WORDS = 40
 MAX_CHAR_DISTANCE = 0.3
-MAX_WORD_DISTANCE = 0.38
+#: Share of the distance of a text without common words.
+MAX_WORD_DISTANCE = 0.9
 
 _POS_BITS = 20
 
@@ -137,32 +143,38 @@ def _lang_key() -> Column:
     return F.coalesce(F.concat(F.lit("1"), F.col("lang").cast("string")), F.lit("0"))
 
 
-def common_words(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
-    """(lk, common, ref_words) per language, counted over all documents; ref_words starts with all other words."""
-    x = docs.select(_lang_key().alias("lk"), F.explode(F.split(spaced(F.coalesce("text", F.lit(""))), " ")).alias("x"))
-    x = x.filter(F.col("x") != "").select("lk", F.when(F.octet_length("x") <= COMMON_MAX_BYTES, F.col("x")).alias("w"))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def common_words(docs: DataFrame, share: float = COMMON_SHARE, max_common: int = MAX_COMMON) -> DataFrame:
+    """(lk, common, ref_words) per language, counted over all documents; common holds hashes, ref_words starts with all other words."""
+    x = docs.select(_lang_key().alias("lk"), F.explode(word_hashes(words_of(F.coalesce("text", F.lit(""))))).alias("w"))
     w = materialise(x.groupBy("lk", "w").agg(F.count("*").alias("n")))
-    # per language the first n_common words: best of each hash part first, so that no task ranks a whole vocabulary
+    totals = w.groupBy("lk").agg(F.sum("n").alias("words"))
+    # per language the first max_common words: best of each hash part first, so that no task ranks a whole vocabulary
     rank = [F.desc("n"), F.asc("w")]
-    best = (w.filter("w is not null").select("lk", "w", "n", F.pmod(F.xxhash64("w"), F.lit(64)).alias("part"))
-            .withColumn("r", F.row_number().over(Window.partitionBy("lk", "part").orderBy(*rank))).filter(F.col("r") <= n_common)
-            .withColumn("r", F.row_number().over(Window.partitionBy("lk").orderBy(*rank))).filter(F.col("r") <= n_common))
+    whole = Window.partitionBy("lk").orderBy(*rank)
+    best = (w.select("lk", "w", "n", F.pmod("w", F.lit(64)).alias("part"))
+            .withColumn("r", F.row_number().over(Window.partitionBy("lk", "part").orderBy(*rank))).filter(F.col("r") <= max_common)
+            .withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= max_common)
+            .withColumn("before", F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1))))
+    best = best.join(totals, "lk").filter(F.coalesce("before", F.lit(0)) < share * F.col("words"))
     common = best.groupBy("lk").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("b"))
     listed = F.coalesce(F.transform("b", lambda x: x["n"].cast("double")), F.array().cast("array<double>"))
-    totals = w.groupBy("lk").agg(F.sum("n").alias("words"))
     return totals.join(common, "lk", "left").select(
-        "lk", F.coalesce(F.transform("b", lambda x: x["w"]), F.array().cast("array<string>")).alias("common"),
+        "lk", F.coalesce(F.transform("b", lambda x: x["w"]), F.array().cast("array<bigint>")).alias("common"),
         F.concat(F.array(F.col("words") - _total(listed)), listed).alias("ref_words"))
 
 
-def quality_features(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
+def quality_features(docs: DataFrame, common_share: float = COMMON_SHARE, max_common: int = MAX_COMMON) -> DataFrame:
     """One slim row per document: id, text hash, base features and both histograms with their references."""
     counts = docs.groupBy(_lang_key().alias("lk")).agg(F.count("*").alias("n_docs"))
-    refs = materialise(counts.join(common_words(docs, n_common), "lk", "left").select(
-        "lk", "n_docs", F.coalesce("common", F.array().cast("array<string>")).alias("common"),
+    refs = materialise(counts.join(common_words(docs, common_share, max_common), "lk", "left").select(
+        "lk", "n_docs", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"),
         F.coalesce("ref_words", F.array(F.lit(0.0))).alias("ref_words")))
     df = attach(docs.select("doc_id", "text", _lang_key().alias("lk")), refs.select("lk", "n_docs", "common"), ["lk"], "n_docs")
-    df = add_base(df).withColumn("__cw", F.filter("__w", lambda x: F.array_contains(F.col("common"), x)))
+    df = add_base(df).withColumn("__cw", F.filter(word_hashes(F.col("__w")), lambda x: F.array_contains(F.col("common"), x)))
     df = df.withColumn("words", F.concat(F.array((F.size("__w") - F.size("__cw")).cast("double")), F.transform(
         "common", lambda c: F.size(F.filter("__cw", lambda x: x == c)).cast("double"))))
     slim = materialise(df.select(
@@ -170,20 +182,26 @@ def quality_features(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
         "n_dup_lines", "n_repeat_words", "words", F.transform("__c", lambda x: x.cast("double")).alias("classes")))
     k = len(CLASSES) + 2
     per = slim.groupBy("lk").agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(k)]).alias("ref_classes"))
+    none = F.transform("ref_words", lambda _, i: F.when(i == 0, F.lit(1.0)).otherwise(0.0))
+    refs = refs.withColumn("ref_words_n", _total(F.col("ref_words")))
+    refs = refs.withColumn("none_distance", js_distance(none, F.col("ref_words"), F.lit(1.0), F.col("ref_words_n")))
     refs = materialise(refs.join(per, "lk").drop("common"))
     return attach(slim, refs, ["lk"], "n_docs")
 
 
-def quality_rules(docs: DataFrame, n_common: int = N_COMMON, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
-                  max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def quality_rules(docs: DataFrame, common_share: float = COMMON_SHARE, max_common: int = MAX_COMMON, min_chars: int = MIN_CHARS,
+                  min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, text_hash)."""
-    df = quality_features(docs, n_common)
-    for name in ("classes", "words", "ref_classes", "ref_words"):
+    df = quality_features(docs, common_share, max_common)
+    for name in ("classes", "words", "ref_classes"):
         df = df.withColumn(f"{name}_n", _total(F.col(name)))
     df = df.withColumn("char_distance", js_distance(*map(F.col, ("classes", "ref_classes", "classes_n", "ref_classes_n"))))
     df = df.withColumn("word_distance", js_distance(*map(F.col, ("words", "ref_words", "words_n", "ref_words_n"))))
+    # as many common words expected as min_words words hold at the full share
+    expected = F.col("n_words") * (F.col("ref_words_n") - F.col("ref_words")[0]) >= min_words * common_share * F.col("ref_words_n")
     odd = (((F.col("chars") >= min_chars) & (F.coalesce("char_distance", F.lit(0.0)) > max_char))
-           | ((F.col("n_words") >= min_words) & (F.coalesce("word_distance", F.lit(0.0)) > max_word)))
+           | ((F.col("n_words") >= min_words) & expected
+              & F.coalesce(F.col("word_distance") > max_word * F.col("none_distance"), F.lit(False))))
     return df.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~odd).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "char_distance", "word_distance", "text_hash")

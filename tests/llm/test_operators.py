@@ -79,6 +79,33 @@ def test_quality_exact_path_when_position_bits_run_out(docs, monkeypatch):
     assert Counter(quality.quality_rules(docs).select("doc_id", "n_repeat_words").collect()) == Counter(few)
 
 
+def test_quality_rejects_texts_without_the_common_words(spark):
+    """Gibberish in ordinary letters, and a text of another language, beside ordinary texts."""
+    import random
+
+    from tabscope.llm.quality import quality_rules
+    rng = random.Random(7)
+    little = {"en": "the of and to in is that it for was with as".split(), "de": "der die und zu von sich mit auf nicht ein dem im".split()}
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 9))) for _ in range(30_000)]
+
+    def text(lang, n, each=5):
+        weights = [1 / (k + 1) for k in range(12)]
+        return " ".join(rng.choices(little[lang], weights)[0] if each and rng.random() * each < 1 else rng.choice(vocabulary) for _ in range(n))
+
+    rows = [(i, text(lang, 300), lang) for lang, at in (("en", 0), ("de", 100)) for i in range(at, at + 60)]
+    rows += [(900, text("en", 300, each=0), "en"), (901, text("en", 2000, each=0), "de"), (902, text("de", 300), "en"), (903, text("en", 300), "de")]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [d for d, r in sorted(got.items()) if not r.kept] == [900, 901, 902, 903]
+
+
+def test_quality_common_words_are_of_any_length(spark):
+    from tabscope.llm.quality import common_words
+    docs = spark.createDataFrame([("considerably " * 30 + "the " * 20 + " ".join(f"w{i}" for i in range(150)), "en")], "text string, lang string")
+    got = common_words(docs).withColumn("want", F.array(F.xxhash64(F.lit("considerably")), F.xxhash64(F.lit("the")))).first()
+    assert got.common == got.want and got.ref_words == [150.0, 30.0, 20.0]
+
+
 def test_line_dedup_matches_brute_force(docs, empty):
     from tabscope.llm.line_dedup import line_dedup
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
