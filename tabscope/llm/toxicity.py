@@ -1,11 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fit (bounded, from training rows only): up to ``max_examples`` labelled
-documents, half per class, by hash order. Terms are words and their first four
-and five letters (stems of inflected words), besides classes of their density; those are kept that toxic examples
-use clearly more often, counted over distinct left neighbours so that copies
-of one text count once. Examples become TF-IDF vectors over these terms, equal vectors are merged, and the index stores posting lists in blocks
-of 64 examples with the largest weight of each term in each block.
+documents, half per class, by hash order. Terms are all words of the examples.
+Up to ``max_terms`` words, and first four and five letters of words (stems of
+inflected words), that toxic examples use clearly more often only weigh more;
+their uses are counted over distinct left neighbours in distinct texts, so that
+copies of one text count once. Examples become TF-IDF vectors, equal vectors are
+merged, and the index stores posting lists in blocks of 64 examples with the
+largest weight of each term in each block.
 
 Search is exact: the block maxima bound every block's best cosine, blocks are
 scored by falling bound until the k-th best similarity is at least the next
@@ -14,8 +16,8 @@ a probability by an isotonic fit on leave-one-out votes with the class shares
 of all training rows. Every document of the corpus is scored from its whole
 text; the nearest examples are its evidence.
 
-Edge cases: a null, empty or term-free text gets the toxic share of term-free
-examples; null labels or ids never train; a doc_id labelled twice trains with
+Edge cases: a null or empty text, or one that shares no word with the examples,
+gets the toxic share of such examples; null labels or ids never train; a doc_id labelled twice trains with
 its largest label; without training rows of both classes every score is the
 toxic share (0 if nothing is labelled); repeated rows repeat their score.
 """
@@ -37,65 +39,78 @@ MAX_TERMS = 512
 MIN_Z = 5.0
 MIN_LIFT = 3.0
 MIN_CONTEXTS = 6
-#: Distinct left neighbours per document that uses the term; in copies the neighbours are the same.
+#: Share of a term's uses that do not follow its most frequent left neighbour; in copied passages the neighbours are the same.
 MIN_SPREAD = 0.3
-STEMS = (4, 5)
+#: How much more a term of toxic examples weighs than its idf.
+TOXIC_WEIGHT = 8.0
 DENSITIES = 16
+STEMS = (4, 5)
 K = 16
 BLOCK = 64
+#: Blocks scored before the k-th best cosine is held against the bounds of the others.
+FIRST_BLOCKS = 4
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
-    return [word, *("~" + word[:n] for n in STEMS if len(word) > n)]
-
-
 def _weights(tf: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms = np.array(sorted(tf), np.int64)
-    w = (1 + np.log([tf[t] for t in terms])) * idf[terms] if len(terms) else np.empty(0)
+    w = (1 + np.log([tf[t] for t in terms.tolist()])) * idf[terms] if len(terms) else np.empty(0)
     norm = float(np.sqrt((w * w).sum())) if len(terms) else 0.0
     return (terms, w / norm) if norm > 0 else (terms[:0], w[:0])
 
 
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of every span, one after the other."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
 class BlockMaxIndex:
-    """Posting lists of unit vectors in blocks, with the largest weight per term and block."""
+    """Posting lists of unit vectors in blocks, with the largest weight per term and block, as flat arrays."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
-        blocks = max(1, -(-self.n // BLOCK))
-        self.top = np.zeros((n_terms, blocks))
-        lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for row, (terms, w) in enumerate(vectors):
-            for t, x in zip(terms.tolist(), w.tolist()):
-                rows, ws = lists.setdefault((row // BLOCK, t), ([], []))
-                rows.append(row % BLOCK)
-                ws.append(x)
-                self.top[t, row // BLOCK] = max(self.top[t, row // BLOCK], x)
-        self.lists = {k: (np.array(r), np.array(w)) for k, (r, w) in lists.items()}
+        self.blocks = max(1, -(-self.n // BLOCK))
+        lengths = [len(t) for t, _ in vectors]
+        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
+        w = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        row = np.repeat(np.arange(self.n), lengths)
+        order = np.lexsort((row, term))
+        term, self.row, self.w = term[order], row[order].astype(np.int32), w[order]
+        cell = term * self.blocks + self.row // BLOCK
+        self.start = np.flatnonzero(np.diff(cell, prepend=-1))  # first posting of each term and block
+        self.count = np.diff(self.start, append=len(cell))
+        self.block = (cell[self.start] % self.blocks).astype(np.int32)
+        self.top = np.maximum.reduceat(self.w, self.start) if len(cell) else np.empty(0)
+        self.first = np.searchsorted(cell[self.start], np.arange(n_terms + 1) * self.blocks)  # first cell of each term
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and cosines of the k most similar vectors (cosine over 0; ties by row), and the blocks scored."""
-        bound = w @ self.top[terms]
-        rows, sims, worst, scored = [], [], 0.0, 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(rows) >= k and bound[b] < worst):
+        n = self.first[terms + 1] - self.first[terms]
+        cells, x = _spans(self.first[terms], n), np.repeat(w, n)
+        bound = np.bincount(self.block[cells], x * self.top[cells], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        rows, sims, worst, scored, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, FIRST_BLOCKS
+        while scored < len(order):
+            todo = order[scored:scored + step]
+            # a bound is a sum in another order than the cosine
+            todo = todo[bound[todo] >= worst - 1e-12] if len(rows) >= k else todo
+            if not len(todo):
                 break
-            acc = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist()):
-                found = self.lists.get((int(b), t))
-                if found is not None:
-                    acc[found[0]] += x * found[1]
-            scored += 1
+            chosen = np.zeros(self.blocks, bool)
+            chosen[todo] = True
+            here = chosen[self.block[cells]]
+            c = cells[here]
+            at = _spans(self.start[c], self.count[c])
+            acc = np.bincount(self.row[at], np.repeat(x[here], self.count[c]) * self.w[at], self.n)
             hit = np.flatnonzero(acc > 0)
-            rows += (hit + b * BLOCK).tolist()
-            sims += acc[hit].tolist()
-            if len(rows) > k:
-                keep = np.lexsort((rows, -np.array(sims)))[:k]
-                rows, sims = [rows[i] for i in keep], [sims[i] for i in keep]
-                worst = sims[-1] if len(rows) >= k else 0.0
-        order = np.lexsort((rows, -np.array(sims))) if rows else []
-        return np.array([rows[i] for i in order], np.int64), np.array([sims[i] for i in order]), scored
+            rows, sims = np.concatenate([rows, hit]), np.concatenate([sims, acc[hit]])
+            keep = np.lexsort((rows, -sims))[:k]
+            rows, sims = rows[keep], sims[keep]
+            worst = sims[-1] if len(rows) >= k else 0.0
+            scored, step = scored + len(todo), self.blocks
+        return rows, sims, scored
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,22 +129,31 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Terms:
-    """The kept terms, and one more term per class of their density among all words."""
-
-    def __init__(self, terms: list[str]):
-        self.ids = {t: i for i, t in enumerate(terms)}
-        self.starts = {t.lstrip("~")[:STEMS[0]] for t in terms}
-        self.size = len(terms) + DENSITIES
-
-    def counts(self, words: list[str]) -> dict[int, int]:
-        starts, out, hits = self.starts, Counter(), 0
-        for w in words:
-            if w[:STEMS[0]] in starts:
-                found = [self.ids[t] for t in features(w) if t in self.ids]
-                hits += bool(found)
-                out.update(found)
+    """All words of the examples, the stems that toxic examples use more often, and a term per class of the density of such
+    words and stems among all words; ``weight`` is per term."""
+
+    def __init__(self, words: list[str], toxic: list[str]):
+        self.ids = {t: i for i, t in enumerate(sorted({*words, *toxic}))}
+        self.toxic, self.stems = set(toxic), {t[1:] for t in toxic if t[0] == "~"}
+        self.density = len(self.ids)
+        self.size = self.density + DENSITIES
+        self.weight = np.ones(self.size)
+        self.weight[[*(self.ids[t] for t in toxic), *range(self.density, self.size)]] = TOXIC_WEIGHT
+
+    def counts(self, words: dict[str, int]) -> dict[int, int]:
+        """Term counts of counted words."""
+        ids, stems, out, hits = self.ids, self.stems, {}, 0
+        for word, n in words.items():
+            found = word in self.toxic
+            if word in ids:
+                out[ids[word]] = n
+            for k in STEMS:
+                if len(word) > k and word[:k] in stems:
+                    t, found = ids["~" + word[:k]], True
+                    out[t] = out.get(t, 0) + n
+            hits += n * found
         if hits:
-            out[len(self.ids) + min(DENSITIES - 1, int(2 * np.log2(1 + 200 * hits / len(words))))] = 3
+            out[self.density + min(DENSITIES - 1, int(2 * np.log2(1 + 200 * hits / sum(words.values()))))] = 3
         return out
 
 
@@ -147,11 +171,11 @@ class Model:
             if not len(t):
                 zero[y] += 1
                 continue
-            m = merged.setdefault((tuple(t.tolist()), tuple(np.round(w, 9).tolist())), [t, w, [0, 0], doc])
+            m = merged.setdefault((t.tobytes(), np.round(w, 9).tobytes()), [t, w, [0, 0], doc])
             m[2][y] += 1
             m[3] = min(m[3], doc)
         # neighbours in order of their heaviest terms share blocks, which tightens the bounds
-        rows = sorted(merged.values(), key=lambda m: (sorted(zip((-m[1]).tolist(), m[0].tolist())), m[3]))
+        rows = sorted(merged.values(), key=lambda m: (sorted(zip((-m[1]).tolist(), m[0].tolist()))[:8], m[3]))
         self.index = BlockMaxIndex([(m[0], m[1]) for m in rows], terms.size)
         self.votes = np.array([m[2] for m in rows], float).reshape(-1, 2) * np.array(weight)
         self.docs = [m[3] for m in rows]
@@ -176,7 +200,7 @@ class Model:
         return (float(share[1] / share.sum()) if share.sum() > 0 else 0.5), rows, sims
 
     def score(self, text: str) -> tuple[float, str]:
-        terms, w = _weights(self.terms.counts(_TOKEN.findall(text.lower())), self.idf)
+        terms, w = _weights(self.terms.counts(Counter(_TOKEN.findall(text.lower()))), self.idf)
         if not len(terms):
             return self.base, ""
         vote, rows, sims = self._vote(terms, w)
@@ -201,37 +225,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     texts = texts.join(F.broadcast(chosen), "doc_id")  # at most max_examples rows
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     rows = materialise(texts.select("doc_id", "y", words.alias("w")).dropDuplicates(["doc_id"]))
-    uses = rows.select("doc_id", "y", "w", F.posexplode("w").alias("i", "t")).select("doc_id", "y", "t", F.get("w", F.col("i") - 1).alias("before"))
+    texts = rows.dropDuplicates(["y", "w"])
+    uses = texts.select("doc_id", "y", "w", F.posexplode("w").alias("i", "t")).select("doc_id", "y", "t", F.get("w", F.col("i") - 1).alias("before"))
     stems = [F.when(F.char_length("t") > n, F.concat(F.lit("~"), F.substring("t", 1, n))) for n in STEMS]
     uses = uses.select("doc_id", "y", "before", F.explode(F.array_compact(F.array("t", *stems))).alias("t"))
     spread = uses.select("y", "t", "before").distinct().groupBy("t").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     spread = materialise(spread.filter(F.col("a") + F.col("b") >= MIN_CONTEXTS))
-    used = uses.select("t", "doc_id").distinct().groupBy("t").agg(F.count("*").alias("docs"))
+    after = uses.groupBy("t", "before").agg(F.count("*").alias("n"))
+    used = after.groupBy("t").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     size = {r["y"]: r["n"] for r in uses.select("y", "t", "before").distinct().groupBy("y").agg(F.count("*").alias("n")).collect()}
     a_all, b_all = size.get(1), size.get(0)
-    terms: list[str] = []
+    toxic: list[str] = []
     if a_all and b_all:
-        per = spread.join(used, "t").filter(F.col("a") + F.col("b") >= MIN_SPREAD * F.col("docs"))
+        per = spread.join(used, "t").filter(F.col("n") - F.col("most") >= MIN_SPREAD * F.col("n"))
         p = (F.col("a") + F.col("b")) / F.lit(float(a_all + b_all))
         z = (F.col("a") / F.lit(float(a_all)) - F.col("b") / F.lit(float(b_all))) / F.sqrt(p * (1 - p) * F.lit(1 / a_all + 1 / b_all))
         lifted = F.col("a") / F.lit(float(a_all)) >= MIN_LIFT * (F.col("b") + 1) / F.lit(float(b_all))
         top = per.withColumn("z", z).filter((F.col("z") >= MIN_Z) & lifted)
-        terms = [r["t"] for r in top.orderBy(F.desc("z"), "t").limit(max_terms).collect()]
-    vocabulary = Terms(terms)
+        toxic = [r["t"] for r in top.orderBy(F.desc("z"), "t").limit(max_terms).collect()]
 
-    def vectors(batches):
+    def counted(batches):
         for b in batches:
-            found = [vocabulary.counts(w.as_py()) for w in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.int64())),
+            found = [Counter(w.as_py()) for w in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())),
                                               pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "y", "t", "n"])
 
-    kept = rows.select("doc_id", "y", "w").mapInArrow(vectors, "doc_id long, y int, t array<long>, n array<long>").collect() if terms else []
-    examples = [(r["doc_id"], r["y"], dict(zip(r["t"], r["n"]))) for r in kept]
+    kept = rows.select("doc_id", "y", "w").mapInArrow(counted, "doc_id long, y int, t array<string>, n array<long>").toArrow().to_pydict()
+    vocabulary = Terms([t for words in kept["t"] for t in words], toxic)
+    examples = [(doc, y, vocabulary.counts(dict(zip(t, n)))) for doc, y, t, n in zip(*(kept[c] for c in ("doc_id", "y", "t", "n")))]
     df = np.zeros(vocabulary.size)
     for _, _, tf in examples:
-        for t in tf:
-            df[t] += 1
-    idf = np.log((len(examples) + 1) / (df + 1))
+        df[list(tf)] += 1
+    idf = np.log((len(examples) + 1) / (df + 1)) * vocabulary.weight
     return Model(vocabulary, idf, sorted(examples, key=lambda e: e[0]), prior)
 
 

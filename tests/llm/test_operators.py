@@ -252,6 +252,18 @@ def test_toxicity_separates_and_survives_missing_labels(spark, docs, empty):
     assert score_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_finds_copies_without_a_toxic_word(spark):
+    """Examples are met by all their words: an unlabelled copy of one finds it, whatever its words."""
+    from tabscope.llm.toxicity import score_toxicity
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    text = lambda i: " ".join(name(i * 1000 + k * 7) for k in range(30)) + " plain words at the end"
+    texts = spark.createDataFrame([(i, text(i)) for i in range(100, 200)] + [(1000 + i, text(i)) for i in range(100, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100, 200)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(texts, labels).collect()}
+    trained = [i for i in range(100, 200) if not got[i].held_out]
+    assert trained and all(got[1000 + i].evidence.split(",")[0] == f"{i}:1.000" for i in trained)
+
+
 def test_block_max_search_is_exact():
     import numpy as np
 
