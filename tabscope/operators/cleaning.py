@@ -69,9 +69,14 @@ def _null(df: DataFrame, c: str) -> F.Column:
     return col.isNull()
 
 
+def null_mask(df: DataFrame, cols: Sequence[str]) -> F.Column:
+    """True when any of ``cols`` is null (or NaN)."""
+    return _any([_null(df, c) for c in cols])
+
+
 def null_row_filter(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop rows with a null (or NaN) in any of ``cols``."""
-    return df.where(~_any([_null(df, c) for c in cols]))
+    return df.where(~null_mask(df, cols))
 
 
 def missing_row_summary(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -21,6 +21,7 @@ from tabscope.operators import encoding as E
 from tabscope.operators import target as TG
 
 LABEL = "label"
+STATUS = "row_status"
 
 
 @dataclass
@@ -58,10 +59,9 @@ class PreparationSpec:
         spec = cls(target, feats, numeric, categorical, task, strategy)
         base = df.select(*feats, target)
         base = C.filter_infinite(base, numeric) if strategy == "drop" else C.infinite_to_null(base, numeric)
-        if strategy == "fill":
-            # statistics over all rows, before null-target rows are dropped (as the reference)
-            spec.medians = C.fit_medians(base, numeric)
-            spec.modes = C.fit_modes(base, categorical)
+        # statistics over all rows, before rows with nulls are dropped (as the reference); scoring needs them under both strategies
+        spec.medians = C.fit_medians(base, numeric)
+        spec.modes = C.fit_modes(base, categorical)
         base = spec._clean(base)
         spec.categories = E.fit_categories(base, categorical) if categorical else {}
         if task == "classification" and y_numeric:
@@ -108,27 +108,40 @@ class PreparationSpec:
         """Design columns (+ ``label``) for training or scoring rows.
 
         Training rows: same filters as at fit time, rare classes removed.
-        Scoring rows (``with_label=False``): inf rows removed, nulls imputed
-        with the trained statistics (fill) or removed (drop), categories
-        encoded with the trained lists (unseen -> all zeros)."""
+        Scoring rows (``with_label=False``): every row stays, infinite values
+        count as nulls, nulls are imputed with the trained statistics under
+        both strategies (a missing numeric column is all null, a missing
+        categorical one all zeros), categories are encoded with the trained
+        lists (unseen -> all zeros). ``STATUS`` tells per row: scored, imputed,
+        or refused (a null without a trained statistic; such rows go through
+        the models on zeros and get no prediction)."""
         keep = [c for c in (keep or []) if c in df.columns and c not in self.features]
         cols = [c for c in self.features if c in df.columns]
         tgt = [self.target] if (with_label and self.target in df.columns) else []
         d = df.select(*keep, *cols, *tgt)
+        missing = [] if with_label else [c for c in self.features if c not in cols]
+        for c in missing:
+            if c in self.numeric:
+                d, cols = d.withColumn(c, F.lit(None).cast("double")), [*cols, c]
         flo = [c for c in self.numeric if c in floating_columns(d)]
-        d = C.filter_infinite(d, flo) if self.strategy == "drop" or not with_label else C.infinite_to_null(d, flo)
+        d = C.filter_infinite(d, flo) if self.strategy == "drop" and with_label else C.infinite_to_null(d, flo)
         if with_label:
             d = self._clean(d)
         else:
+            d = d.withColumn(STATUS, F.when(C.null_mask(d, cols) | F.lit(bool(missing)), "imputed").otherwise("scored"))
             d = C.fill_values(d, {**self.medians, **self.modes})
-            d = C.null_row_filter(d, cols)
+            d = d.withColumn(STATUS, F.when(C.null_mask(d, cols), "refused").otherwise(F.col(STATUS)))
+            keep = [*keep, STATUS]
         if with_label:
             d = self._label(d)
             if self.task == "classification":
                 known = d.sparkSession.createDataFrame([(c,) for c in self.classes], T.StructType([T.StructField(LABEL, d.schema[LABEL].dataType)]))
                 d = d.join(known, LABEL, "left_semi").select(d.columns)
         enc = E.align_to_training(d, self.numeric, self.categories, self.x_columns)
-        return enc.select(*keep, *[F.col(c).cast("double").alias(c) for c in self.x_columns],
+        x = {c: F.col(c).cast("double") for c in self.x_columns}
+        if not with_label:
+            x = {c: F.when(F.col(STATUS) == "refused", F.lit(0.0)).otherwise(v) for c, v in x.items()}
+        return enc.select(*keep, *[v.alias(c) for c, v in x.items()],
                           *([LABEL] if with_label else []))
 
     def to_json(self) -> str:

@@ -1,7 +1,8 @@
 """Batch scoring (B1-B7): prepared new rows -> one or many models.
 
 Every model contributes columns to the same rows (a chain of projections,
-no join); long forms use ``unpivot`` / ``posexplode``.
+no join); long forms use ``unpivot`` / ``posexplode``. Every input row comes
+back with its ``STATUS``; refused rows have null predictions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.operators.prepare import PreparationSpec
+from tabscope.operators.prepare import STATUS, PreparationSpec
 
 # --- fixed values: output column names of the reference's scoring files ------
 PREDICTION_PREFIX = "PREDICCION_"
@@ -20,35 +21,41 @@ PROBABILITY_PREFIX = "PROB_"
 # -------------------------------------------------------------------------------
 
 
+def answered(c: F.Column | str) -> F.Column:
+    """The column, null for refused rows."""
+    return F.when(F.col(STATUS) != "refused", F.col(c) if isinstance(c, str) else c)
+
+
 def score_regression(new: DataFrame, spec: PreparationSpec, model, keep: Sequence[str] = ()) -> DataFrame:
-    """Input columns (``keep``) + ``PREDICCION_{target}``."""
+    """Input columns (``keep``) + ``PREDICCION_{target}`` and the row's status."""
     d = spec.transform(new, keep=list(keep), with_label=False)
     out = model.transform(d, prediction=PREDICTION_PREFIX + spec.target, probability=None)
-    return out.select(*keep, PREDICTION_PREFIX + spec.target)
+    pc = PREDICTION_PREFIX + spec.target
+    return out.select(*keep, answered(pc).alias(pc), STATUS)
 
 
 def score_classification(new: DataFrame, spec: PreparationSpec, model, keep: Sequence[str] = ()) -> DataFrame:
-    """+ ``PREDICCION_{target}``, ``PROBABILIDAD_MAXIMA`` and ``PROB_{class}``."""
+    """+ ``PREDICCION_{target}``, ``PROBABILIDAD_MAXIMA``, ``PROB_{class}`` and the row's status."""
     d = spec.transform(new, keep=list(keep), with_label=False)
     pc = PREDICTION_PREFIX + spec.target
     out = model.transform(d, prediction=pc, probability="_prob")
-    probs = [F.element_at("_prob", i + 1).alias(f"{PROBABILITY_PREFIX}{c}") for i, c in enumerate(model.classes)]
-    return out.select(*keep, pc, F.array_max("_prob").alias(MAX_PROBABILITY), *probs)
+    probs = [answered(F.element_at("_prob", i + 1)).alias(f"{PROBABILITY_PREFIX}{c}") for i, c in enumerate(model.classes)]
+    return out.select(*keep, answered(pc).alias(pc), answered(F.array_max("_prob")).alias(MAX_PROBABILITY), *probs, STATUS)
 
 
 def prediction_distribution(scored: DataFrame, prediction: str) -> DataFrame:
-    """Rows per predicted class, most frequent first."""
+    """Rows per predicted class, most frequent first; refused rows count under null."""
     return (scored.groupBy(F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), "prediction"))
 
 
 def score_many_models(new: DataFrame, spec: PreparationSpec, models: dict, keep: Sequence[str] = ()) -> DataFrame:
-    """+ ``PREDICCION_{model}`` per model, all on the same prepared rows."""
+    """+ ``PREDICCION_{model}`` per model, all on the same prepared rows, and the row's status."""
     d = spec.transform(new, keep=list(keep), with_label=False)
     out = d
     for name, m in models.items():
         out = m.transform(out, prediction=PREDICTION_PREFIX + name, probability=None)
-    return out.select(*keep, *[PREDICTION_PREFIX + n for n in models])
+    return out.select(*keep, *[answered(PREDICTION_PREFIX + n).alias(PREDICTION_PREFIX + n) for n in models], STATUS)
 
 
 def score_points(points: DataFrame, spec: PreparationSpec, models: dict, keep: Sequence[str] = ()) -> DataFrame:
@@ -63,8 +70,8 @@ def score_with_probabilities(new: DataFrame, spec: PreparationSpec, models: dict
     parts = []
     for name, m in models.items():
         parts.append(m.transform(d, prediction="prediction", probability="probability")
-                     .select(F.lit(name).alias("model"), key, F.col("prediction").cast("string").alias("prediction"),
-                             "probability"))
+                     .select(F.lit(name).alias("model"), key, answered("prediction").cast("string").alias("prediction"),
+                             answered("probability").alias("probability")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -75,7 +82,7 @@ def ranked_probabilities(scored: DataFrame, classes: Sequence[str], key: str, by
     """Class / probability rows per scored row and model, highest first.
     The rank window is partitioned by (model, key): K rows per partition."""
     names = F.array(*[F.lit(str(c)) for c in classes])
-    e = scored.select(by, key, F.posexplode("probability").alias("_i", "probability"))
+    e = scored.select(by, key, F.posexplode_outer("probability").alias("_i", "probability"))
     e = e.select(by, key, F.element_at(names, F.col("_i") + 1).alias("class"), "probability")
     w = Window.partitionBy(by, key).orderBy(F.desc("probability"), "class")
     return e.withColumn("rank", F.row_number().over(w))

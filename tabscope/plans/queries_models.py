@@ -16,7 +16,7 @@ from tabscope.operators import ensembles as EN
 from tabscope.operators import metrics as V
 from tabscope.operators import scoring as B
 from tabscope.operators import split as L
-from tabscope.operators.prepare import LABEL, PreparationSpec
+from tabscope.operators.prepare import LABEL, STATUS, PreparationSpec
 from tabscope.operators.trees import best_split, fit_tree
 
 ROW_KEY = ("concat(cast(l_orderkey as string), ':', cast(l_partkey as string), ':', cast(l_suppkey as string), "
@@ -403,7 +403,30 @@ def q_predict_compiled_tree(spark, sf):
           f"{_M1} AS PROBABILIDAD_MAXIMA, {_K1['high']} AS PROB_high, {_K1['low']} AS PROB_low FROM lineitem")
 def q_score_classification_rule(spark, sf):
     spec = _cls_spec(spark, sf)
-    return B.score_classification(_new_rows(spark, sf), spec, _rule_classifier(spec, *_R1), keep=["row_key"])
+    return B.score_classification(_new_rows(spark, sf), spec, _rule_classifier(spec, *_R1), keep=["row_key"]).drop(STATUS)
+
+
+_DIRTY = {"l_quantity": "CASE WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_orderkey % 101 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE l_quantity END",
+          "l_discount": "CASE WHEN l_orderkey % 19 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE l_discount END"}
+
+
+def _dirty_sql(spoilt):
+    return " OR ".join(f"l_orderkey % {m} = 0" for m in spoilt)
+
+
+@register("score_dirty_rows", f"""
+SELECT row_key, {_P1} AS PREDICCION_demand, row_status FROM (
+  SELECT {_KEY_SQL} AS row_key, CASE WHEN {_dirty_sql((17, 101, 19))} THEN 'imputed' ELSE 'scored' END AS row_status,
+         CASE WHEN {_dirty_sql((17, 101))} THEN (SELECT median(l_quantity) FROM lineitem) ELSE l_quantity END AS l_quantity,
+         CASE WHEN {_dirty_sql((19,))} THEN (SELECT median(l_discount) FROM lineitem) ELSE l_discount END AS l_discount
+  FROM lineitem)
+""")
+def q_score_dirty_rows(spark, sf):
+    """New rows with nulls and infinite values: every row comes back with its status."""
+    spec = _cls_spec(spark, sf)
+    new = T_(spark, sf, "lineitem").select(F.expr(ROW_KEY).alias("row_key"), *[F.expr(_DIRTY.get(c, c)).alias(c) for c in FEATURES])
+    scored = B.score_classification(new, spec, _rule_classifier(spec, *_R1), keep=["row_key"])
+    return scored.select("row_key", "PREDICCION_demand", STATUS)
 
 
 @register("prediction_distribution_rule",
@@ -425,7 +448,7 @@ def q_score_regression_rule(spark, sf):
                       threshold=30000.5)
     m.nodes[2] = Node(2, 1, 1, 1.0, [1.0, 15000.0, 0.0], 0.0)
     m.nodes[3] = Node(3, 1, 1, 1.0, [1.0, 52000.0, 0.0], 0.0)
-    return B.score_regression(_new_rows(spark, sf), spec, m, keep=["row_key"])
+    return B.score_regression(_new_rows(spark, sf), spec, m, keep=["row_key"]).drop(STATUS)
 
 
 def _two_rules(spark, sf):
@@ -437,7 +460,7 @@ def _two_rules(spark, sf):
           f"SELECT {_KEY_SQL} AS row_key, {_P1} AS PREDICCION_tree1, {_P2} AS PREDICCION_tree2 FROM lineitem")
 def q_score_many_models_rule(spark, sf):
     spec, models = _two_rules(spark, sf)
-    return B.score_many_models(_new_rows(spark, sf), spec, models, keep=["row_key"])
+    return B.score_many_models(_new_rows(spark, sf), spec, models, keep=["row_key"]).drop(STATUS)
 
 
 _LONG_SQL = (f"SELECT 'tree1' AS model, {_KEY_SQL} AS row_key, 'high' AS class, {_K1['high']} AS probability FROM lineitem "

@@ -17,9 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tabscope.operators.prepare import PreparationSpec
-from tabscope.operators.scoring import MAX_PROBABILITY, PREDICTION_PREFIX, PROBABILITY_PREFIX
+from tabscope.operators.scoring import score_classification, score_regression
 from tabscope.session import ensure_checkpoint_dir
-from pyspark.sql import functions as F
 
 
 def read_new_rows(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
@@ -34,13 +33,8 @@ def read_new_rows(spark: SparkSession, folder: str, schema: T.StructType, fmt: s
 def score_stream(stream: DataFrame, spec: PreparationSpec, model, keep: list[str]) -> DataFrame:
     """Streaming version of ``score_classification`` / ``score_regression``:
     stateless, so every micro-batch is one narrow projection."""
-    d = spec.transform(stream, keep=keep, with_label=False)
-    pc = PREDICTION_PREFIX + spec.target
-    if getattr(model, "task", "classification") == "regression":
-        return model.transform(d, prediction=pc, probability=None).select(*keep, pc)
-    out = model.transform(d, prediction=pc, probability="_prob")
-    probs = [F.element_at("_prob", i + 1).alias(f"{PROBABILITY_PREFIX}{c}") for i, c in enumerate(model.classes)]
-    return out.select(*keep, pc, F.array_max("_prob").alias(MAX_PROBABILITY), *probs)
+    score = score_regression if getattr(model, "task", "classification") == "regression" else score_classification
+    return score(stream, spec, model, keep)
 
 
 def start_scoring(scored: DataFrame, sink_folder: str, name: str, fmt: str = "parquet",

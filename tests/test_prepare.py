@@ -85,3 +85,21 @@ def test_preparation_fill_and_score_new_rows(spark):
     scored = spec.transform(new, keep=["id"], with_label=False).collect()[0]
     assert scored["x"] == spec.medians["x"]
     assert all(scored[c] == 0 for c in spec.x_columns if c.startswith("c_"))
+
+
+@pytest.mark.parametrize("strategy", ["drop", "fill"])
+def test_scoring_returns_every_row(spark, strategy):
+    from tabscope.operators.scoring import score_regression
+    from tabscope.operators.trees import fit_tree
+    schema = "id long, x double, n double, c string"
+    df = spark.createDataFrame([(i, float(i % 7), float(i), "ab"[i % 2], float(i % 7)) for i in range(40)], schema + ", y double")
+    spec = PreparationSpec.fit(df, "y", ["x", "n", "c"], strategy=strategy)
+    model = fit_tree(spec.transform(df), spec.x_columns, "label", "regression", "squared_error", 3)
+    inf = float("inf")
+    new = spark.createDataFrame([(1, 2.0, 1.0, "a"), (2, None, 1.0, "a"), (3, inf, 1.0, "b"), (4, 1.0, -inf, None), (5, float("nan"), 1.0, "z")], schema)
+    got = {r["id"]: r for r in score_regression(new, spec, model, ["id"]).collect()}
+    assert {i: r["row_status"] for i, r in got.items()} == {1: "scored", 2: "imputed", 3: "imputed", 4: "imputed", 5: "imputed"}
+    assert all(r["PREDICCION_y"] is not None for r in got.values())
+    spec.medians["x"] = None  # nothing to impute with
+    got = {r["id"]: r for r in score_regression(new, spec, model, ["id"]).collect()}
+    assert len(got) == 5 and [i for i, r in sorted(got.items()) if r["PREDICCION_y"] is None and r["row_status"] == "refused"] == [2, 3, 5]
