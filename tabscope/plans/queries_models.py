@@ -160,60 +160,32 @@ def _ensemble(spark, sf, task, fit):
     return _test_predictions(model, test, task)
 
 
-@register("forest_classifier")
-def q_forest_classifier(spark, sf):
-    return _ensemble(spark, sf, "classification", lambda s, t: EN.forest_classifier(
-        t, s.x_columns, LABEL, 20, 5, classes=s.classes))
-
-
-@register("forest_regressor")
-def q_forest_regressor(spark, sf):
-    return _ensemble(spark, sf, "regression", lambda s, t: EN.forest_regressor(t, s.x_columns, LABEL, 20, 5))
-
-
-@register("adaboost_classifier")
-def q_adaboost_classifier(spark, sf):
-    return _ensemble(spark, sf, "classification", lambda s, t: EN.adaboost_classifier(
-        t, s.x_columns, LABEL, 10, 0.5, classes=s.classes))
-
-
-@register("adaboost_regressor")
-def q_adaboost_regressor(spark, sf):
-    return _ensemble(spark, sf, "regression", lambda s, t: EN.adaboost_regressor(t, s.x_columns, LABEL, 5, 0.5))
-
-
-@register("gbt_classifier")
-def q_gbt_classifier(spark, sf):
-    return _ensemble(spark, sf, "classification", lambda s, t: EN.gbt_classifier(
-        t, s.x_columns, LABEL, 5, 0.1, 3, classes=s.classes))
-
-
-@register("gbt_regressor")
-def q_gbt_regressor(spark, sf):
-    return _ensemble(spark, sf, "regression", lambda s, t: EN.gbt_regressor(t, s.x_columns, LABEL, 10, 0.1, 3))
-
-
-@register("gbt_regressor_huber")
-def q_gbt_regressor_huber(spark, sf):
-    return _ensemble(spark, sf, "regression", lambda s, t: EN.gbt_regressor(t, s.x_columns, LABEL, 3, 0.1, 3,
-                                                                            loss="huber"))
-
-
-@register("gbt_regressor_quantile")
-def q_gbt_regressor_quantile(spark, sf):
-    return _ensemble(spark, sf, "regression", lambda s, t: EN.gbt_regressor(t, s.x_columns, LABEL, 3, 0.1, 3,
-                                                                            loss="quantile", alpha=0.9))
-
-
-@register("bagging_classifier")
-def q_bagging_classifier(spark, sf):
-    return _ensemble(spark, sf, "classification", lambda s, t: EN.bagging_classifier(
-        t, s.x_columns, LABEL, 5, 1.0, classes=s.classes))
-
-
-@register("bagging_regressor")
-def q_bagging_regressor(spark, sf):
-    return _ensemble(spark, sf, "regression", lambda s, t: EN.bagging_regressor(t, s.x_columns, LABEL, 5, 1.0))
+#: Registered learners: task, fit, and the size of the reference's form (`configure_*`, 100 / 50 / 100 / 10); the small size is registered too.
+_LEARNERS = {
+    "forest_classifier": ("classification", lambda s, t, n: EN.forest_classifier(t, s.x_columns, LABEL, n, 5, classes=s.classes), 100, 20),
+    "forest_regressor": ("regression", lambda s, t, n: EN.forest_regressor(t, s.x_columns, LABEL, n, 5), 100, 20),
+    "adaboost_classifier": ("classification", lambda s, t, n: EN.adaboost_classifier(t, s.x_columns, LABEL, n, 0.5, classes=s.classes), 50, 10),
+    "adaboost_regressor": ("regression", lambda s, t, n: EN.adaboost_regressor(t, s.x_columns, LABEL, n, 0.5), 50, 5),
+    "gbt_classifier": ("classification", lambda s, t, n: EN.gbt_classifier(t, s.x_columns, LABEL, n, 0.1, 3, classes=s.classes), 100, 5),
+    "gbt_regressor": ("regression", lambda s, t, n: EN.gbt_regressor(t, s.x_columns, LABEL, n, 0.1, 3), 100, 10),
+    "gbt_regressor_huber": ("regression", lambda s, t, n: EN.gbt_regressor(t, s.x_columns, LABEL, n, 0.1, 3, loss="huber"), 100, 3),
+    "gbt_regressor_quantile": ("regression", lambda s, t, n: EN.gbt_regressor(
+        t, s.x_columns, LABEL, n, 0.1, 3, loss="quantile", alpha=0.9), 100, 3),
+    "bagging_classifier": ("classification", lambda s, t, n: EN.bagging_classifier(t, s.x_columns, LABEL, n, 1.0, classes=s.classes), 10, 5),
+    "bagging_regressor": ("regression", lambda s, t, n: EN.bagging_regressor(t, s.x_columns, LABEL, n, 1.0), 10, 5),
+}
+
+
+def _register_learner(name, task, fit, n):
+    @register(name)
+    def query(spark, sf):
+        return _ensemble(spark, sf, task, lambda s, t: fit(s, t, n))
+    query.__name__ = f"q_{name}"
+
+
+for _name, (_task, _fit, _full, _small) in _LEARNERS.items():
+    _register_learner(_name, _task, _fit, _full)
+    _register_learner(f"{_name}_small", _task, _fit, _small)
 
 
 # ------------------------------------------------------------------ M11 / V14 with models
@@ -222,11 +194,11 @@ def _compare(spark, sf):
     train, test = _sides(split)
     x = spec.x_columns
     configs = {
-        "decision_tree": lambda t: fit_tree(t, x, LABEL, "classification", "gini", 4, classes=spec.classes),
-        "random_forest": lambda t: EN.forest_classifier(t, x, LABEL, 10, 4, classes=spec.classes),
-        "adaboost": lambda t: EN.adaboost_classifier(t, x, LABEL, 5, 0.5, classes=spec.classes),
-        "gradient_boosting": lambda t: EN.gbt_classifier(t, x, LABEL, 3, 0.1, 2, classes=spec.classes),
-        "bagging": lambda t: EN.bagging_classifier(t, x, LABEL, 3, 1.0, classes=spec.classes),
+        "decision_tree": lambda t: fit_tree(t, x, LABEL, "classification", "gini", 5, classes=spec.classes),
+        "random_forest": lambda t: EN.forest_classifier(t, x, LABEL, 100, 5, classes=spec.classes),
+        "adaboost": lambda t: EN.adaboost_classifier(t, x, LABEL, 50, 0.5, classes=spec.classes),
+        "gradient_boosting": lambda t: EN.gbt_classifier(t, x, LABEL, 100, 0.1, 3, classes=spec.classes),
+        "bagging": lambda t: EN.bagging_classifier(t, x, LABEL, 10, 1.0, classes=spec.classes),
     }
     return spec, EN.fit_and_compare(train, test, x, LABEL, configs, "row_key")
 
@@ -272,8 +244,8 @@ def _few_models(spark, sf):
     spec, split, _ = prepared(spark, sf)
     train, _ = _sides(split)
     x = spec.x_columns
-    models = {"tree": fit_tree(train, x, LABEL, "classification", "gini", 4, classes=spec.classes),
-              "forest": EN.forest_classifier(train, x, LABEL, 10, 4, classes=spec.classes)}
+    models = {"tree": fit_tree(train, x, LABEL, "classification", "gini", 5, classes=spec.classes),
+              "forest": EN.forest_classifier(train, x, LABEL, 100, 5, classes=spec.classes)}
     return spec, models
 
 

@@ -137,3 +137,18 @@ def test_materialised_routing_and_join_transform_match(spark, monkeypatch):
     p2 = b.transform(df).select("x", "z", F.col("prediction").alias("p")).toPandas()
     m = p1.merge(p2, on=["x", "z"])
     assert len(m) == 800 and np.allclose(m.p_x, m.p_y)
+
+
+def test_registered_learners_have_the_reference_sizes(monkeypatch):
+    from tabscope.catalog import QUERIES
+    from tabscope.plans import queries_models as Q
+    sizes = {}
+    monkeypatch.setattr(Q, "prepared", lambda spark, sf, task="classification", binning=None: (
+        type("Spec", (), {"x_columns": [], "classes": []}), None, None))
+    monkeypatch.setattr(Q, "_sides", lambda split: (None, None))
+    monkeypatch.setattr(Q, "_test_predictions", lambda model, test, task: model)
+    for learner in ("forest", "adaboost", "gbt", "bagging"):
+        for kind in ("classifier", "regressor"):
+            monkeypatch.setattr(Q.EN, f"{learner}_{kind}", lambda t, x, label, n, *a, **k: n)
+            sizes[f"{learner}_{kind}"] = QUERIES[f"{learner}_{kind}"](None, "")
+    assert sizes == {f"{m}_{k}": n for m, n in (("forest", 100), ("adaboost", 50), ("gbt", 100), ("bagging", 10)) for k in ("classifier", "regressor")}
