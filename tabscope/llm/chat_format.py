@@ -7,13 +7,13 @@ longer, the template rewrites history there and the turn is flagged. Inside a
 span, two renderings of one-letter texts show where the text begins and ends,
 which gives the loss mask of the assistant turns without parsing anything.
 
-A conversation streams through one task in turn order with constant state (its
-digest is sequential anyway): no conversation is ever collected, whatever its
-length. ``probe_template`` renders a fixed conversation with full prefixes and
-with the last ``CONTEXT`` turns only; if the spans agree the template is
-*local*, and prefixes longer than ``FULL`` turns are rendered from that many
-last turns, which keeps long conversations linear. Other templates get full
-prefixes throughout.
+A conversation streams through one task in turn order (its digest is sequential
+anyway). A template that declares itself ``local`` (an attribute, as the default
+template has it: spans follow from the last ``CONTEXT`` turns) is rendered, past
+``FULL`` turns, from that many last turns, with constant state and in linear
+time. Every other template gets full prefixes throughout, whatever a probe would
+show: then the turns of one conversation are held in its task. ``probe_template``
+compares both ways over a fixed conversation, to check a declaration.
 
 Edge cases: null role or text is the empty one; turns are ordered by (turn,
 role, text), null turns last, so ties and repeated rows have a fixed order and
@@ -67,6 +67,10 @@ def default_template(turns: Turns) -> str:
     return "".join(f"{HEAD} {escape(role, ':')}: {escape(text)}{END}\n" for role, text in turns)
 
 
+#: Declares that the spans of a turn follow from its own role and text: no probe of a black box can show that.
+default_template.local = True
+
+
 class Span(NamedTuple):
     text: str       # what the turn adds to the rendering
     head: int       # code points before its text
@@ -110,7 +114,8 @@ class Renderer:
         return span
 
     def _frame(self, role: str, before: str) -> tuple[int, int]:
-        key = (role, min(self.count, FULL)) if self.local else None
+        # what the frame is rendered from, so no other conversation's frame is met
+        key = (role, min(self.count, FULL), tuple(r for r, _ in self.turns)) if self.local else None
         if key in self.frames:
             return self.frames[key]
         a, b = (self.template([*self.turns, (role, c)])[_common(before, self.template([*self.turns, (role, c)])):] for c in "xy")
@@ -164,7 +169,7 @@ def format_conversations(conversations: DataFrame, template: Template = default_
         id_key("conv_id").alias("conv"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         id_key("turn").alias("turn"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    local = probe_template(template).local
+    local = bool(getattr(template, "local", False))
     return rows.mapInArrow(_format(template, local, loss_role),
                            "conv long, i long, chunk string, at long, loss_from long, loss_to long, rewrote boolean")
 

@@ -363,6 +363,28 @@ def test_chat_round_trip(spark):
     assert any(r.rewrote for r in flagged) and all(r.loss_from is None for r in flagged if r.rewrote)
 
 
+def test_chat_templates_that_no_probe_shows(spark):
+    """Without a declaration all prefixes are rendered: a budget of turns, and a header left out for a repeated role."""
+    from tabscope.llm.chat_format import format_conversations
+
+    def budget(turns):
+        return "".join(f"<{r}>{t}" for r, t in (turns if len(turns) <= 32 else [("cut", ""), *turns[-32:]]))
+
+    def merged(turns):
+        return "".join(("" if k and turns[k - 1][0] == r else f"<{r}>") + t for k, (r, t) in enumerate(turns))
+
+    long = [(1, n, "assistant" if n % 2 else "user", f"turn {n}") for n in range(40)]
+    rows = [(2, n, r, f"text {n}") for n, r in enumerate(["user", "assistant"] * 6)] + [
+        (c, n, "user" if n < 9 else "assistant", f"text {n}") for c in (3, 4) for n in range(12)]
+    schema = "conv_id long, turn long, role string, text string"
+    got = format_conversations(spark.createDataFrame(long, schema), budget).orderBy("i").collect()
+    assert [r.i for r in got if r.rewrote] == list(range(32, 40)) and all(r.loss_from is None for r in got if r.rewrote)
+    got = format_conversations(spark.createDataFrame(rows, schema).coalesce(1), merged).collect()
+    whole = {c: merged([(r, t) for k, _, r, t in rows if k == c]) for c in (2, 3, 4)}
+    assert all("".join(r.chunk for r in sorted(got, key=lambda r: r.i) if r.conv == c) == w for c, w in whole.items())
+    assert all(whole[r.conv][r.loss_from:r.loss_to] == f"text {r.i}" for r in got if r.loss_from is not None)
+
+
 def test_attach_splits_hot_keys(spark):
     from tabscope.llm.common import attach
     left = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"), "id")
