@@ -40,7 +40,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run, since shorter runs hold no
 CONTEXTS = (
     re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|credential|api_?key|access_?key|auth)["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?([^\s"'<>|]{6,})""", re.I | re.A),
     re.compile(r"""\b(?:bearer|basic)\x20+([A-Za-z0-9+/_.=-]{8,})""", re.I | re.A),
-    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,256}:([^\s@/]{6,256})@""", re.A),
+    # both classes exclude their delimiter, so possessive repeats lose no match and values of any length are read once
+    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:([^\s@/]{6,}+)@""", re.A),
 )
 #: Cheap words of which one stands in every context.
 HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "basic", "://")

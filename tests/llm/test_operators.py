@@ -223,6 +223,17 @@ def test_secrets(docs, empty):
     assert guess_cost("")[0] == 0
 
 
+def test_url_credentials_of_any_length(spark):
+    from tabscope.llm.secret_scan import scan_secrets
+    values = ["q7Rt0pWz", "q7Rt0pWz" * 40, "".join(f"k{i * 7919 % 9973}Z" for i in range(300)), "u7R0p"]
+    texts = [f"see https://{'u' * (4 if n else 300)}:{v}@host/x" for n, v in enumerate(values)]
+    got = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        at = texts[r.doc_id].index(":" + values[r.doc_id] + "@") + 1
+        want = f"guess:{at}:{at + len(values[r.doc_id])}"
+        assert (want in r.spans.split(",")) == (r.doc_id != 3), (r.doc_id, want, r.spans)
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
     from itertools import combinations
 
