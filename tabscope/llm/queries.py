@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.llm import sql
 from tabscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,7 @@ def op5(spark, sf):
     return quality_rules(table(spark, sf, "documents")).drop("text_hash")
 
 
-@register("op6_line_dedup")
+@register("op6_line_dedup", sql.OP6)
 def op6(spark, sf):
     from tabscope.llm.line_dedup import line_dedup
     out = line_dedup(table(spark, sf, "documents"))
@@ -42,7 +43,7 @@ def op10(spark, sf):
         "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-@register("op4_winnowing_decontamination")
+@register("op4_winnowing_decontamination", sql.OP4)
 def op4(spark, sf):
     from tabscope.llm.decontaminate import decontamination_hits
     hits = decontamination_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -50,7 +51,7 @@ def op4(spark, sf):
                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-@register("op9_ngram_jaccard_join")
+@register("op9_ngram_jaccard_join", sql.OP9)
 def op9(spark, sf):
     from tabscope.llm.jaccard_join import jaccard_classes
     return jaccard_classes(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -71,7 +72,7 @@ def op8(spark, sf):
     return read_back(format_conversations(talk.unionByName(extra))).drop("rewrote")
 
 
-@register("op1_warc_archive")
+@register("op1_warc_archive", sql.OP1)
 def op1(spark, sf):
     from tabscope.llm.warc import read_warc, scratch_dir, write_warc
     out = scratch_dir(spark)
@@ -89,3 +90,46 @@ def op3(spark, sf):
 def op7(spark, sf):
     from tabscope.llm.toxicity import score_toxicity
     return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op11_filter_interaction", sql.OP11)
+def op11(spark, sf):
+    from tabscope.llm.filter_audit import filter_audit
+    return filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op12_direct_token_codes")
+def op12(spark, sf):
+    import public_tokenizers
+    from tabscope.llm.token_files import read_token_files, write_token_files
+    from tabscope.llm.warc import scratch_dir
+    out = scratch_dir(spark)
+    write_token_files(table(spark, sf, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=1, by_word=True)
+    return read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op13_pipelined_search", sql.OP13)
+def op13(spark, sf):
+    from tabscope.llm.lexical_search import lexical_search
+    return lexical_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("quality_base_counts", sql.QUALITY_BASE)
+def quality_base_counts(spark, sf):
+    return op5(spark, sf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+@register("secret_base_counts", sql.SECRET_BASE)
+def secret_base_counts(spark, sf):
+    return op2(spark, sf).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+@register("personal_base_counts", sql.PERSONAL_BASE)
+def personal_base_counts(spark, sf):
+    return op3(spark, sf).select("doc_id", "n_email")
+
+
+@register("mixing_targets", sql.MIXING_TARGETS)
+def mixing_targets(spark, sf):
+    out = op10(spark, sf)
+    return out.select("doc_id", "size", "source_size", (F.floor(F.col("target") * 1000 + 0.5) / 1000).alias("target"))
