@@ -65,4 +65,4 @@ def T_(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # ensure the query modules register themselves
-from tabscope.plans import queries_eval, queries_models, queries_prepare, queries_profile  # noqa: E402,F401
+from tabscope.plans import queries_eval, queries_fits, queries_models, queries_prepare, queries_profile  # noqa: E402,F401

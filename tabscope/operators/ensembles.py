@@ -1,35 +1,36 @@
-"""Ensembles (M3-M11).
-
-Forests and bagging use MLlib's distributed tree learners (histogram based,
-trees grown jointly per pass). AdaBoost and multiclass gradient boosting are
-driver loops whose every round is a weighted ``hist_tree`` fit plus one
-aggregate; the weight/score columns are persisted each round and the
-lineage is cut with ``checkpoint()`` in the session's shared checkpoint
-folder every few rounds.
+"""Ensembles (M3-M11) on jointly grown trees.
+
+Every learner bins and packs its rows once (``joint_trees.pack``). Forests and
+bagging grow all trees together, level by level, with bootstrap counts and
+feature subsets from hashes. AdaBoost and gradient boosting keep their weights
+or scores as a state column: a round's jobs read the last written state and
+add the few trees grown since, and every ``SNAPSHOT`` rounds the state is
+written to the session's shared checkpoint folder. So the plan of a round never
+grows with the number of rounds.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+import numpy as np
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.operators.trees import TreeModel, bin_rows, fit_cuts, fit_tree
+from tabscope.operators.joint_trees import Forest, Packed, group_most, group_quantiles, group_sums, grow, pack, poisson_counts, score_column
+from tabscope.operators.trees import TreeModel, fit_cuts
 
-CHECKPOINT_EVERY = 10
-_VEC = "_features_vec"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in joint_trees
 
-
-def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=_VEC, handleInvalid="error").transform(df)
+#: Rounds between two written states.
+SNAPSHOT = 10
+#: Rows below which a deep tree's node is finished in one task.
+LOCAL_ROWS = 1 << 14
 
 
 def _classes_of(df: DataFrame, label: str) -> list:
@@ -51,491 +52,463 @@ def _argmax_label(prob: Column, classes: Sequence) -> Column:
 
 
 @dataclass
-class SparkMLModel:
-    """Wrapper exposing ``transform`` -> prediction (+ probability array)."""
+class MatrixModel:
+    """A fitted ensemble whose output is a function of the feature matrix.
+
+    ``of_matrix`` gives class probabilities, or the prediction in one column;
+    it runs in Arrow batches and holds the trees as flat arrays.
+    """
     name: str
     task: str
     features: list[str]
     classes: list | None
-    model: object
-    binary_regressor: bool = False   # forest regressor on a 0/1 label
+    of_matrix: Callable[[np.ndarray], np.ndarray]
+    trees: list = field(default_factory=list)
 
     def transform(self, df: DataFrame, prediction: str = "prediction", probability: str | None = "probability",
                   leaf: str | None = None) -> DataFrame:
-        keep = df.columns
-        out = self.model.transform(_assemble(df, self.features))
+        out = df.withColumn("_out", score_column(self.features, self.of_matrix))
         if self.task == "regression":
-            return out.select(*keep, F.col("prediction").alias("_p")).withColumnRenamed("_p", prediction)
-        if self.binary_regressor:
-            p1 = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
-            prob = F.array(1.0 - p1, p1)
-        else:
-            prob = vector_to_array(F.col("probability"))
-        out = out.select(*keep, prob.alias("_prob"))
-        out = out.withColumn(prediction, _argmax_label(F.col("_prob"), self.classes))
-        if probability:
-            out = out.withColumnRenamed("_prob", probability)
-        else:
-            out = out.drop("_prob")
-        return out
+            return out.withColumn(prediction, F.col("_out")[0]).drop("_out")
+        out = out.withColumn(prediction, _argmax_label(F.col("_out"), self.classes))
+        return out.withColumnRenamed("_out", probability) if probability else out.drop("_out")
+
+
+def _mean_of(forest: Forest, width: int) -> Callable:
+    def of_matrix(x: np.ndarray) -> np.ndarray:
+        return forest.add(x, np.zeros((len(x), width))) / max(1, len(forest.roots))
+    return of_matrix
+
+
+def _softmax(raw: np.ndarray) -> np.ndarray:
+    e = np.exp(raw - raw.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
 # ------------------------------------------------------------------ M3 / M4 / M9 / M10
 
+def _n_features(max_features: str | int | float | None, n: int) -> int | None:
+    if max_features in (None, "all", "auto"):
+        return None
+    if max_features == "sqrt":
+        return max(1, int(math.sqrt(n)))
+    if max_features == "log2":
+        return max(1, int(math.log2(n)))
+    return max(1, int(max_features * n)) if isinstance(max_features, float) else int(max_features)
+
+
+def _bootstrap(n_trees: int, bootstrap: bool, rate: float, seed: int, n_classes: int | None) -> Callable:
+    """Statistics of a bootstrap sample per tree: class weights, or (w, w y, w y^2)."""
+    def stats(x, y, key, state):
+        def of(t: int) -> np.ndarray:
+            w = poisson_counts(key, seed, t, rate) if bootstrap else np.ones(len(y))
+            if n_classes is not None:
+                return (y[None, :] == np.arange(n_classes)[:, None]) * w
+            return np.stack([w, w * y, w * y * y])
+        return of
+    return stats
+
+
 def forest_classifier(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
                       max_depth: int = 5, min_samples_leaf: int = 1, criterion: str = "gini",
                       max_features: str = "sqrt", bootstrap: bool = True, max_samples: float = 1.0,
                       seed: int = 42, classes: Sequence | None = None, max_bins: int = 256,
-                      name: str = "random_forest") -> SparkMLModel:
-    """Bootstrap trees with soft voting. Binary gini uses the regression
-    forest on a 0/1 label (gini = 2 x variance, identical splits) because
-    the classifier merges sibling leaves with equal majority class, which
-    changes leaf probabilities."""
+                      name: str = "random_forest", min_samples_split: int = 2, key: str | None = None) -> MatrixModel:
+    """Bootstrap trees with soft voting for any number of classes, gini or entropy.
+
+    The bootstrap draws Poisson(``max_samples``) copies of each row by a hash
+    of (seed, tree, row); ``key`` names a column that identifies rows, by
+    default their place in the scan does.
+    """
+    features = list(features)
     classes = list(classes) if classes is not None else _classes_of(train, label)
-    d = _assemble(train.withColumn("_y", _class_index(label, classes)), features)
-    common = dict(featuresCol=_VEC, labelCol="_y", numTrees=n_estimators, maxDepth=max_depth,
-                  minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=max_features,
-                  bootstrap=bootstrap, subsamplingRate=max_samples, seed=seed, maxBins=max_bins)
-    if len(classes) == 2 and criterion == "gini":
-        m = RandomForestRegressor(impurity="variance", **common).fit(d)
-        return SparkMLModel(name, "classification", list(features), classes, m, binary_regressor=True)
-    imp = "entropy" if criterion in ("entropy", "log_loss") else "gini"
-    m = RandomForestClassifier(impurity=imp, **common).fit(d)
-    return SparkMLModel(name, "classification", list(features), classes, m)
+    criterion = "entropy" if criterion in ("entropy", "log_loss") else "gini"
+    cuts = fit_cuts(train, features, max_bins)
+    packed = pack(train, features, _class_index(label, classes), cuts, key=key)
+    k = len(classes)
+    trees = grow(packed, n_estimators, _bootstrap(n_estimators, bootstrap, max_samples, seed, k), k, k, "classification", criterion,
+                 max_depth, min_samples_split, min_samples_leaf, classes, _n_features(max_features, len(features)), seed,
+                 local_rows=LOCAL_ROWS if max_depth > 8 else 0)
+
+    def shares(t, stats, ids):
+        total = stats.sum(1, keepdims=True)
+        return np.where(total > 0, stats / np.where(total > 0, total, 1), 1 / k)
+    return MatrixModel(name, "classification", features, classes, _mean_of(Forest(trees, shares), k), trees)
 
 
 def forest_regressor(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
                      max_depth: int = 5, min_samples_leaf: int = 1, criterion: str = "squared_error",
                      max_features: str = "all", bootstrap: bool = True, max_samples: float = 1.0,
-                     seed: int = 42, max_bins: int = 256, name: str = "random_forest") -> SparkMLModel:
+                     seed: int = 42, max_bins: int = 256, name: str = "random_forest", min_samples_split: int = 2,
+                     key: str | None = None) -> MatrixModel:
     """Mean of bootstrap trees. A classification criterion is replaced by
     squared error (as the reference does); squared and friedman errors rank
     splits identically."""
-    if criterion not in ("squared_error", "friedman_mse", "gini", "entropy", "log_loss"):
-        raise NotImplementedError(f"forest criterion {criterion!r} is not available on Spark's forest learner")
-    d = _assemble(train.withColumn("_y", F.col(label).cast("double")), features)
-    m = RandomForestRegressor(featuresCol=_VEC, labelCol="_y", numTrees=n_estimators, maxDepth=max_depth,
-                              minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=max_features,
-                              bootstrap=bootstrap, subsamplingRate=max_samples, seed=seed,
-                              impurity="variance", maxBins=max_bins).fit(d)
-    return SparkMLModel(name, "regression", list(features), None, m)
+    if criterion not in ("squared_error", "friedman_mse", "poisson", "gini", "entropy", "log_loss"):
+        raise NotImplementedError(f"forest criterion {criterion!r} is not available")
+    criterion = criterion if criterion == "poisson" else "squared_error"
+    features = list(features)
+    packed = pack(train, features, F.col(label), fit_cuts(train, features, max_bins), key=key)
+    trees = grow(packed, n_estimators, _bootstrap(n_estimators, bootstrap, max_samples, seed, None), 3, 3, "regression", criterion,
+                 max_depth, min_samples_split, min_samples_leaf, None, _n_features(max_features, len(features)), seed,
+                 local_rows=LOCAL_ROWS if max_depth > 8 else 0)
+    return MatrixModel(name, "regression", features, None, _mean_of(Forest(trees, _means), 1), trees)
+
+
+def _means(t, stats: np.ndarray, ids) -> np.ndarray:
+    return (stats[:, 1] / np.where(stats[:, 0] > 0, stats[:, 0], 1))[:, None]
+
+
+#: The deepest tree of bagging: node numbers stay within 62 bits.
+UNLIMITED = 60
 
 
 def bagging_classifier(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 10,
                        max_samples: float = 1.0, seed: int = 42, classes: Sequence | None = None,
-                       max_bins: int = 256, name: str = "bagging") -> SparkMLModel:
-    """Bootstrap samples of ``max_samples`` x n rows, all features, deep
-    trees (Spark's maximum depth 30), mean probability."""
-    return forest_classifier(train, features, label, n_estimators, 30, 1, "gini", "all", True,
-                             max_samples, seed, classes, max_bins, name)
+                       max_bins: int = 256, name: str = "bagging", key: str | None = None) -> MatrixModel:
+    """Bootstrap samples of ``max_samples`` x n rows, all features, fully grown
+    trees, mean probability."""
+    return forest_classifier(train, features, label, n_estimators, UNLIMITED, 1, "gini", "all", True,
+                             max_samples, seed, classes, max_bins, name, key=key)
 
 
 def bagging_regressor(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 10,
                       max_samples: float = 1.0, seed: int = 42, max_bins: int = 256,
-                      name: str = "bagging") -> SparkMLModel:
-    return forest_regressor(train, features, label, n_estimators, 30, 1, "squared_error", "all", True,
-                            max_samples, seed, max_bins, name)
+                      name: str = "bagging", key: str | None = None) -> MatrixModel:
+    return forest_regressor(train, features, label, n_estimators, UNLIMITED, 1, "squared_error", "all", True,
+                            max_samples, seed, max_bins, name, key=key)
 
 
-# ------------------------------------------------------------------ M7 / M8 (MLlib paths)
+# ------------------------------------------------------------------ boosting state
 
-def gbt_regressor(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
-                  learning_rate: float = 0.1, max_depth: int = 3, loss: str = "squared_error",
-                  seed: int = 42, max_bins: int = 256, name: str = "gradient_boosting", alpha: float = 0.9):
-    """Gradient boosting regression: the loop of ``gbt_regressor_loop`` for every
-    loss. (Spark's own learner enters its first tree with weight 1.)"""
-    return gbt_regressor_loop(train, features, label, n_estimators, learning_rate, max_depth, loss,
-                              alpha, max_bins=max_bins, name=name)
+class _State:
+    """Packed rows whose state lags behind by the trees grown since it was last written."""
 
+    def __init__(self, packed: Packed, advance: Callable):
+        self.packed, self.advance, self.since = packed, advance, []
 
-@dataclass
-class BoostedModel:
-    """Additive model of ``hist_tree`` regressors (softmax for K classes)."""
-    name: str
-    task: str
-    features: list[str]
-    classes: list
-    init: list[float]
-    rounds: list[list[tuple[TreeModel, dict]]] = field(default_factory=list)
-    learning_rate: float = 0.1
-
-    def raw_columns(self) -> list[Column]:
-        cols = []
-        for k in range(len(self.init)):
-            e = F.lit(self.init[k])
-            for trees in self.rounds:
-                tree, values = trees[k]
-                e = e + F.lit(self.learning_rate) * _leaf_value_column(tree, values)
-            cols.append(e)
-        return cols
+    def current(self) -> Callable:
+        """The up-to-date state of a batch as a function of (x, y, state); travels into tasks."""
+        since, advance = list(self.since), self.advance
 
-    def transform(self, df: DataFrame, prediction: str = "prediction", probability: str | None = "probability",
-                  leaf: str | None = None) -> DataFrame:
-        raw = self.raw_columns()
-        if len(self.classes) == 2:
-            p1 = 1.0 / (1.0 + F.exp(-raw[0]))
-            prob = F.array(1.0 - p1, p1)
-        else:
-            mx = F.greatest(*raw)
-            ex = [F.exp(r - mx) for r in raw]
-            tot = sum(ex[1:], ex[0])
-            prob = F.array(*[e / tot for e in ex])
-        out = df.withColumn("_prob", prob).withColumn(prediction, _argmax_label(F.col("_prob"), self.classes))
-        return out.withColumnRenamed("_prob", probability) if probability else out.drop("_prob")
+        def now(x, y, state):
+            for step in since:
+                state = advance(step, x, y, state)
+            return state
+        return now
+
+    def add(self, step) -> None:
+        self.since.append(step)
+        if len(self.since) >= SNAPSHOT:
+            now = self.current()
+            self.packed = self.packed.with_state(lambda x, y, key, state: now(x, y, state))
+            self.since = []
 
 
-def _leaf_value_column(tree: TreeModel, values: dict) -> Column:
-    return tree._compile(1, lambda n: F.lit(float(values.get(n.node_id, 0.0))))
+def _add_scores(step, x, y, state):
+    return step.add(x, state.copy())
 
 
-def _checkpoint(df: DataFrame, step: int) -> DataFrame:
-    if step % CHECKPOINT_EVERY == 0:
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+# ------------------------------------------------------------------ M7 / M8
+
+@dataclass
+class BoostedModel(MatrixModel):
+    """Additive model: ``init`` plus the learning rate times leaf values, per output."""
+    init: list[float] = field(default_factory=list)
+    #: Per round and output: the tree and its leaf values by node id.
+    rounds: list = field(default_factory=list)
+
+
+def _round_forest(trees: list[TreeModel], values: list[dict], rate: float, cuts) -> Forest:
+    """One round: output t gets the scaled values of tree t."""
+    def vector(t, stats, ids):
+        out = np.zeros((len(ids), len(trees)))
+        out[:, t] = [rate * values[t].get(i, 0.0) for i in ids]
+        return out
+    return Forest(trees, vector, cuts)
+
+
+def _raw_of(init: Sequence[float], rounds: list, rate: float) -> Callable:
+    forests, start = [_round_forest([t for t, _ in r], [v for _, v in r], rate, None) for r in rounds], np.array(init, float)
+
+    def raw(x: np.ndarray) -> np.ndarray:
+        out = np.tile(start, (len(x), 1))
+        for f in forests:
+            f.add(x, out)
+        return out
+    return raw
 
 
 def gbt_classifier(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
                    learning_rate: float = 0.1, max_depth: int = 3, min_samples_leaf: int = 1,
                    classes: Sequence | None = None, max_bins: int = 256,
-                   name: str = "gradient_boosting") -> BoostedModel:
+                   name: str = "gradient_boosting", min_samples_split: int = 2) -> BoostedModel:
     """Log-loss gradient boosting with prior initialisation, one regression
-    tree per class and round (one for binary), Newton leaf values
-    sum(r) / sum(|r| (1-|r|)) (x (K-1)/K for K > 2), as in the published
-    multinomial deviance algorithm. Each tree is a ``hist_tree`` on the
-    residual column; leaf values come from one grouped aggregate."""
+    tree per class and round (one for binary), all trees of a round grown
+    together, Newton leaf values sum(r) / sum(|r| (1-|r|)) (x (K-1)/K for
+    K > 2), as in the published multinomial deviance algorithm. The sums of a
+    leaf come with its cut, so a round is one job per level."""
     features = list(features)
     classes = list(classes) if classes is not None else _classes_of(train, label)
-    K = len(classes)
-    n_out = 1 if K == 2 else K
+    k = len(classes)
     cuts = fit_cuts(train, features, max_bins)
     prior = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
     n = sum(prior.values())
-    if K == 2:
+    if k == 2:
         p = prior.get(classes[1], 0) / n
         init = [math.log(p / (1 - p))]
     else:
         init = [math.log(max(prior.get(c, 0), 1e-300) / n) for c in classes]
-    model = BoostedModel(name, "classification", features, classes, init, [], learning_rate)
-    y = [F.when(F.col(label) == F.lit(c), 1.0).otherwise(0.0) for c in classes]
-    # binned rows + one raw-score column per output, updated every round
-    data = bin_rows(train.select(*features, label), features, cuts)
-    data = data.select("*", *[F.lit(v).alias(f"_F{k}") for k, v in enumerate(init)])
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    prev = None
-    factor = (K - 1) / K if K > 2 else 1.0
-    for it in range(n_estimators):
-        raw = [F.col(f"_F{k}") for k in range(n_out)]
-        if K == 2:
-            probs = [1.0 / (1.0 + F.exp(-raw[0]))]
-            targets = [y[1]]
-        else:
-            mx = F.greatest(*raw)
-            ex = [F.exp(r - mx) for r in raw]
-            tot = sum(ex[1:], ex[0])
-            probs = [e / tot for e in ex]
-            targets = y
-        step = data.select("*", *[(t - p).alias(f"_r{k}") for k, (t, p) in enumerate(zip(targets, probs))])
-        trees = []
-        updates = {}
-        for k in range(n_out):
-            tree = fit_tree(step, features, f"_r{k}", "regression", "friedman_mse", max_depth, 2,
-                            min_samples_leaf, cuts=cuts, prebinned=True)
-            if prev is not None:       # the new round's rows are cached now
-                prev.unpersist()
-                prev = None
-            r = F.col(f"_r{k}")
-            agg = (step.withColumn("_leaf", tree.leaf_column()).groupBy("_leaf")
-                   .agg(F.sum(r).alias("num"), F.sum(F.abs(r) * (1 - F.abs(r))).alias("den")).collect())
-            values = {row["_leaf"]: (factor * row["num"] / row["den"] if abs(row["den"]) > 1e-150 else 0.0)
-                      for row in agg}
-            trees.append((tree, values))
-            updates[f"_F{k}"] = F.col(f"_F{k}") + F.lit(learning_rate) * _leaf_value_column(tree, values)
-        model.rounds.append(trees)
-        prev, data = data, _checkpoint(data.withColumns(updates), it + 1)
-    data.unpersist()
-    if prev is not None:
-        prev.unpersist()
-    return model
-
-
-def gbt_classifier_binary_mllib(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
-                                learning_rate: float = 0.1, max_depth: int = 3, seed: int = 42,
-                                classes: Sequence | None = None, max_bins: int = 256,
-                                name: str = "gradient_boosting") -> SparkMLModel:
-    """Fast path for two classes: Spark's GBT classifier (logistic loss)."""
-    classes = list(classes) if classes is not None else _classes_of(train, label)
-    if len(classes) != 2:
-        raise ValueError("the MLlib GBT path needs exactly two classes")
-    d = _assemble(train.withColumn("_y", _class_index(label, classes)), features)
-    m = GBTClassifier(featuresCol=_VEC, labelCol="_y", maxIter=n_estimators, stepSize=learning_rate,
-                      maxDepth=max_depth, seed=seed, maxBins=max_bins).fit(d)
-    return SparkMLModel(name, "classification", list(features), classes, m)
-
-
-@dataclass
-class BoostedRegressorModel:
-    """init + sum of lr x leaf values of ``hist_tree`` regressors."""
-    name: str
-    features: list[str]
-    init: float
-    learning_rate: float
-    rounds: list[tuple[TreeModel, dict]] = field(default_factory=list)
-    task: str = "regression"
-    classes: list | None = None
-
-    def raw_column(self) -> Column:
-        e = F.lit(self.init)
-        for tree, values in self.rounds:
-            e = e + F.lit(self.learning_rate) * _leaf_value_column(tree, values)
-        return e
-
-    def transform(self, df: DataFrame, prediction: str = "prediction", probability: str | None = None,
-                  leaf: str | None = None) -> DataFrame:
-        return df.withColumn(prediction, self.raw_column())
-
+    state = _State(pack(train, features, _class_index(label, classes), cuts, init), _add_scores)
+    factor, outputs, rounds = (k - 1) / k if k > 2 else 1.0, len(init), []
+    for _ in range(n_estimators):
+        now = state.current()
+
+        def stats(x, y, key, given, now=now):
+            raw = now(x, y, given)
+            if outputs == 1:
+                r = (y - 1 / (1 + np.exp(-raw[:, 0])))[:, None]
+            else:
+                r = (y[:, None] == np.arange(outputs)) - _softmax(raw)
+            return lambda t: np.stack([np.ones(len(y)), r[:, t], r[:, t] ** 2, np.abs(r[:, t]) * (1 - np.abs(r[:, t]))])
+        trees = grow(state.packed, outputs, stats, 4, 3, "regression", "friedman_mse", max_depth, min_samples_split, min_samples_leaf)
+        values = [{i: factor * m.stats[1] / m.stats[3] if abs(m.stats[3]) > 1e-150 else 0.0 for i, m in t.nodes.items() if m.is_leaf}
+                  for t in trees]
+        rounds.append(list(zip(trees, values)))
+        state.add(_round_forest(trees, values, learning_rate, cuts))
+    raw = _raw_of(init, rounds, learning_rate)
+
+    def probabilities(x: np.ndarray) -> np.ndarray:
+        out = raw(x)
+        if outputs > 1:
+            return _softmax(out)
+        p1 = 1 / (1 + np.exp(-out[:, 0]))
+        return np.stack([1 - p1, p1], 1)
+    return BoostedModel(name, "classification", features, classes, probabilities, [t for r in rounds for t, _ in r], init, rounds)
 
-def _leaf_quantiles(data: DataFrame, leaf: Column, value: Column, leaves: list[int], prob: float) -> dict:
-    """Exact ``prob`` quantile of ``value`` inside each leaf: one column per
-    leaf (leaves are few: at most 2^depth) through the distributed
-    exact-quantile core, so no leaf is gathered in one task."""
-    from tabscope.plans.ordering import exact_quantiles
-    wide = data.select(*[F.when(leaf == F.lit(k), value).alias(f"_l{k}") for k in leaves])
-    rows = exact_quantiles(wide, [f"_l{k}" for k in leaves], [prob]).collect()
-    return {int(r["column_name"][2:]): r["quantile"] for r in rows}
 
-
-def gbt_regressor_loop(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
-                       learning_rate: float = 0.1, max_depth: int = 3, loss: str = "huber",
-                       alpha: float = 0.9, min_samples_leaf: int = 1, max_bins: int = 256,
-                       name: str = "gradient_boosting") -> BoostedRegressorModel:
+def gbt_regressor(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
+                  learning_rate: float = 0.1, max_depth: int = 3, loss: str = "squared_error",
+                  seed: int = 42, max_bins: int = 256, name: str = "gradient_boosting", alpha: float = 0.9,
+                  min_samples_leaf: int = 1, min_samples_split: int = 2) -> BoostedModel:
     """Gradient boosting for squared_error, absolute_error, huber and quantile losses.
 
     Squared error starts at the mean and keeps the leaves' mean residuals.
     Else init: median (absolute, huber) or alpha-quantile (quantile). Each round
-    fits a friedman-MSE ``hist_tree`` to the negative gradient, then sets
-    each leaf to: the median of the residuals (absolute); the median plus the
-    mean of the residuals' deviations clipped at the huber delta, delta being
-    the alpha-quantile of |residual| (huber); the alpha-quantile of the
-    residuals (quantile). Quantiles are exact and distributed."""
-    from tabscope.plans.ordering import exact_quantiles
+    fits a friedman-MSE tree to the negative gradient, then sets each leaf to:
+    the median of the residuals (absolute); the median plus the mean of the
+    residuals' deviations clipped at the huber delta, delta being the
+    alpha-quantile of |residual| (huber); the alpha-quantile of the residuals
+    (quantile). Quantiles are exact and distributed (``group_quantiles``)."""
     features = list(features)
     if loss not in ("squared_error", "absolute_error", "huber", "quantile"):
         raise ValueError(f"unsupported loss {loss!r}")
     cuts = fit_cuts(train, features, max_bins)
-    y = F.col(label).cast("double")
-    q0 = alpha if loss == "quantile" else 0.5
+    start = pack(train, features, F.col(label), cuts, [0.0])
+    everything = lambda x, y, key, given: (np.zeros(len(y), np.int64), y)
     if loss == "squared_error":
-        init = train.agg(F.avg(y)).first()[0]
+        total, n = group_sums(start, everything).get(0, (0.0, 0))
+        init = total / max(1, n)
     else:
-        init = exact_quantiles(train.select(y.alias("_y")), ["_y"], [q0]).first()["quantile"]
-    model = BoostedRegressorModel(name, features, init, learning_rate)
-    data = bin_rows(train.select(*features, y.alias(label)), features, cuts).withColumn("_F", F.lit(init))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    prev = None
-    for it in range(n_estimators):
-        diff = F.col(label) - F.col("_F")
-        if loss == "squared_error":
-            grad = diff
-        elif loss == "absolute_error":
-            grad = F.signum(diff)
-        elif loss == "quantile":
-            grad = F.when(diff > 0, F.lit(alpha)).otherwise(F.lit(-(1 - alpha)))
-        else:
-            delta = exact_quantiles(data.select(F.abs(diff).alias("_a")), ["_a"], [alpha]).first()["quantile"]
-            grad = F.when(F.abs(diff) <= delta, diff).otherwise(F.lit(delta) * F.signum(diff))
-        step = data.withColumn("_g", grad)
-        tree = fit_tree(step, features, "_g", "regression", "friedman_mse", max_depth, 2, min_samples_leaf,
-                        cuts=cuts, prebinned=True)
-        if prev is not None:
-            prev.unpersist()
-            prev = None
-        leaf = tree.leaf_column()
-        leaves = [n.node_id for n in tree.nodes.values() if n.is_leaf]
+        init = group_quantiles(start, everything, alpha if loss == "quantile" else 0.5).get(0, 0.0)
+    state, rounds = _State(start, _add_scores), []
+    for _ in range(n_estimators):
+        now = state.current()
+
+        def diff(x, y, given, now=now):
+            return y - init - now(x, y, given)[:, 0]
+        delta = None
+        if loss == "huber":
+            delta = group_quantiles(state.packed, lambda x, y, key, given: (np.zeros(len(y), np.int64), np.abs(diff(x, y, given))), alpha).get(0, 0.0)
+
+        def stats(x, y, key, given, diff=diff, delta=delta):
+            d = diff(x, y, given)
+            g = (d if loss == "squared_error" else np.sign(d) if loss == "absolute_error"
+                 else np.where(d > 0, alpha, alpha - 1) if loss == "quantile" else np.clip(d, -delta, delta))
+            return lambda t: np.stack([np.ones(len(y)), g, g * g])
+        tree = grow(state.packed, 1, stats, 3, 3, "regression", "friedman_mse", max_depth, min_samples_split, min_samples_leaf)[0]
         if loss == "squared_error":
-            values = {n.node_id: n.stats[1] / n.weight for n in tree.nodes.values() if n.is_leaf}
-        elif loss == "huber":
-            med = _leaf_quantiles(step, leaf, diff, leaves, 0.5)
-            medc = _leaf_value_column(tree, med)
-            dev = diff - medc
-            clip = F.signum(dev) * F.least(F.abs(dev), F.lit(delta))
-            extra = {r["_leaf"]: r["m"] for r in step.withColumn("_leaf", leaf).groupBy("_leaf")
-                     .agg(F.avg(clip).alias("m")).collect()}
-            values = {k: med.get(k, 0.0) + (extra.get(k) or 0.0) for k in leaves}
+            values = {i: m.stats[1] / m.weight if m.weight else 0.0 for i, m in tree.nodes.items() if m.is_leaf}
         else:
-            values = _leaf_quantiles(step, leaf, diff, leaves, 0.5 if loss == "absolute_error" else alpha)
-        model.rounds.append((tree, values))
-        nxt = data.withColumn("_F", F.col("_F") + F.lit(learning_rate) * _leaf_value_column(tree, values))
-        prev, data = data, _checkpoint(nxt, it + 1)
-    data.unpersist()
-    if prev is not None:
-        prev.unpersist()
-    return model
+            ids = sorted(tree.nodes)
+            place = Forest([tree], lambda t, s, ids: np.array(ids, float)[:, None], cuts)
 
+            def by_leaf(x, y, key, given, diff=diff, place=place):
+                return place.each(x)[:, 0].astype(np.int64), diff(x, y, given)
+            values = group_quantiles(state.packed, by_leaf, alpha if loss == "quantile" else 0.5)
+            if loss == "huber":
+                middle = np.array([values.get(i, 0.0) for i in ids])
+                order = np.array(ids)
 
-# ------------------------------------------------------------------ M5 / M6 AdaBoost
+                def clipped(x, y, key, given, by_leaf=by_leaf, middle=middle, order=order, delta=delta):
+                    leaf, d = by_leaf(x, y, key, given)
+                    return leaf, np.clip(d - middle[np.searchsorted(order, leaf)], -delta, delta)
+                values = {i: values.get(i, 0.0) + s / n for i, (s, n) in group_sums(state.packed, clipped).items()}
+        rounds.append([(tree, values)])
+        state.add(_round_forest([tree], [values], learning_rate, cuts))
+    return BoostedModel(name, "regression", features, None, _raw_of([init], rounds, learning_rate), [r[0][0] for r in rounds], [init], rounds)
 
-@dataclass
-class AdaBoostClassifierModel:
-    name: str
-    features: list[str]
-    classes: list
-    stumps: list[tuple[TreeModel, float]] = field(default_factory=list)
-    task: str = "classification"
-
-    def transform(self, df: DataFrame, prediction: str = "prediction", probability: str | None = "probability",
-                  leaf: str | None = None) -> DataFrame:
-        K = len(self.classes)
-        total = sum(a for _, a in self.stumps) or 1.0
-        dec = []
-        for k, c in enumerate(self.classes):
-            e = F.lit(0.0)
-            for tree, alpha in self.stumps:
-                vote = tree.prediction_column()
-                e = e + F.when(vote == F.lit(c), F.lit(alpha)).otherwise(F.lit(-alpha / (K - 1)))
-            dec.append(e / total)
-        if K == 2:
-            d1 = (dec[1] - dec[0]) / 2.0
-            z = [-d1, d1]
-        else:
-            z = [d / (K - 1) for d in dec]
-        mx = F.greatest(*z)
-        ex = [F.exp(v - mx) for v in z]
-        tot = sum(ex[1:], ex[0])
-        prob = F.array(*[e / tot for e in ex])
-        out = df.withColumn("_prob", prob).withColumn(prediction, _argmax_label(F.col("_prob"), self.classes))
-        return out.withColumnRenamed("_prob", probability) if probability else out.drop("_prob")
 
+# ------------------------------------------------------------------ M5 / M6 AdaBoost
 
 def adaboost_classifier(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 50,
                         learning_rate: float = 0.1, classes: Sequence | None = None, max_bins: int = 256,
-                        name: str = "adaboost") -> AdaBoostClassifierModel:
-    """SAMME with weighted depth-1 ``hist_tree`` stumps:
-    err = sum(w miss) / sum(w); alpha = lr (ln((1-err)/err) + ln(K-1));
-    w *= exp(alpha miss); stops at err = 0 or err >= 1 - 1/K."""
+                        name: str = "adaboost") -> MatrixModel:
+    """SAMME with weighted depth-1 trees: err = sum(w miss) / sum(w), read off
+    the leaves' class weights; alpha = lr (ln((1-err)/err) + ln(K-1));
+    w *= exp(alpha miss), then normalised; stops at err = 0 or err >= 1 - 1/K.
+    A round is one job."""
     features = list(features)
     classes = list(classes) if classes is not None else _classes_of(train, label)
-    K = len(classes)
+    k = len(classes)
     cuts = fit_cuts(train, features, max_bins)
-    model = AdaBoostClassifierModel(name, features, classes)
-    n = train.count()
-    data = bin_rows(train.select(*features, label), features, cuts).withColumn("_w", F.lit(1.0 / n))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    prev = None
-    for it in range(n_estimators):
-        stump = fit_tree(data, features, label, "classification", "gini", 1, 2, 1, weight="_w",
-                         classes=classes, cuts=cuts, prebinned=True)
-        if prev is not None:           # the new weights are cached now
-            prev.unpersist()
-            prev = None
-        miss = (stump.prediction_column() != F.col(label)).cast("double")
-        row = data.agg(F.sum(F.col("_w") * miss).alias("e"), F.sum("_w").alias("t")).first()
-        err = row["e"] / row["t"]
-        if err <= 0:
-            model.stumps.append((stump, 1.0))
+    start = pack(train, features, _class_index(label, classes), cuts, [1.0])
+
+    def advance(step, x, y, state):
+        votes, alpha, scale = step
+        return state * np.where(votes.each(x)[:, 0] != y, math.exp(alpha), 1.0)[:, None] * scale
+
+    state, stumps, norm = _State(start, advance), [], None
+    top = lambda t, stats, ids: stats.argmax(1)[:, None].astype(float)
+    for _ in range(n_estimators):
+        now = state.current()
+
+        def stats(x, y, key, given, now=now):
+            w = now(x, y, given)[:, 0]
+            return lambda t: (y[None, :] == np.arange(k)[:, None]) * w
+        stump = grow(state.packed, 1, stats, k, k, "classification", "gini", 1, 2, 1, classes)[0]
+        leaves = [n for n in stump.nodes.values() if n.is_leaf]
+        total = sum(sum(n.stats) for n in leaves)
+        err = sum(sum(n.stats) - max(n.stats) for n in leaves) / total
+        norm = norm or total
+        if err <= 1e-15:
+            stumps.append((stump, 1.0))
             break
-        if err >= 1.0 - 1.0 / K:
-            if not model.stumps:
+        if err >= 1.0 - 1.0 / k:
+            if not stumps:
                 raise ValueError("the first weak learner is no better than chance")
             break
-        alpha = learning_rate * (math.log((1 - err) / err) + math.log(K - 1))
-        model.stumps.append((stump, alpha))
-        nxt = data.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * miss))
-        prev, data = data, _checkpoint(nxt, it + 1)
-    data.unpersist()
-    if prev is not None:
-        prev.unpersist()
-    return model
-
-
-@dataclass
-class AdaBoostRegressorModel:
-    name: str
-    features: list[str]
-    trees: list[tuple[TreeModel, float]] = field(default_factory=list)
-    task: str = "regression"
-    classes: list | None = None
-
-    def transform(self, df: DataFrame, prediction: str = "prediction", probability: str | None = None,
-                  leaf: str | None = None) -> DataFrame:
-        """Weighted median of the estimators' predictions (per row, an array
-        of T structs sorted by value; T is the model size)."""
-        items = F.array(*[F.struct(t.prediction_column().alias("v"), F.lit(w).alias("w")) for t, w in self.trees])
-        total = sum(w for _, w in self.trees)
-        srt = F.array_sort(items)
-        cum = F.transform(srt, lambda x, i: F.struct(
-            x["v"].alias("v"),
-            F.aggregate(F.slice(srt, 1, i + 1), F.lit(0.0), lambda acc, y: acc + y["w"]).alias("c")))
-        med = F.filter(cum, lambda x: x["c"] >= F.lit(0.5 * total))
-        return df.withColumn(prediction, F.element_at(med, 1)["v"])
+        alpha = learning_rate * (math.log((1 - err) / err) + math.log(k - 1))
+        stumps.append((stump, alpha))
+        # the next total is known from the leaves, so weights keep the sum they started with
+        nxt = total * (1 - err + err * math.exp(alpha))
+        state.add((Forest([stump], top, cuts), alpha, norm / nxt))
+    weight = sum(a for _, a in stumps) or 1.0
+
+    def votes(t, stats, ids):
+        out = np.full((len(stats), k), -stumps[t][1] / (k - 1))
+        out[np.arange(len(stats)), stats.argmax(1)] = stumps[t][1]
+        return out / weight
+    forest = Forest([s for s, _ in stumps], votes)
+
+    def probabilities(x: np.ndarray) -> np.ndarray:
+        d = forest.add(x, np.zeros((len(x), k)))
+        half = (d[:, 1] - d[:, 0]) / 2 if k == 2 else None
+        return _softmax(np.stack([-half, half], 1) if k == 2 else d / (k - 1))
+    return MatrixModel(name, "classification", features, classes, probabilities, stumps)
 
 
 def adaboost_regressor(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 50,
                        learning_rate: float = 0.1, loss: str = "linear", max_depth: int = 3,
-                       max_bins: int = 256, name: str = "adaboost") -> AdaBoostRegressorModel:
+                       max_bins: int = 256, name: str = "adaboost") -> MatrixModel:
     """AdaBoost.R2 with sample weights in place of weighted resampling (a
     deterministic, documented divergence): loss linear / square /
     exponential of |error| / max|error|; stop at average loss >= 0.5;
-    beta = err / (1 - err); w *= beta^((1 - loss) lr); weight lr ln(1/beta)."""
+    beta = err / (1 - err); w *= beta^((1 - loss) lr), then normalised; weight
+    lr ln(1/beta); the prediction is the weighted median of the trees."""
     features = list(features)
+    if loss not in ("linear", "square", "exponential"):
+        raise ValueError(f"unsupported loss {loss!r}")
     cuts = fit_cuts(train, features, max_bins)
-    model = AdaBoostRegressorModel(name, features)
-    n = train.count()
-    data = bin_rows(train.select(*features, F.col(label).cast("double").alias(label)), features, cuts) \
-        .withColumn("_w", F.lit(1.0 / n))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    prev = None
-    for it in range(n_estimators):
-        tree = fit_tree(data, features, label, "regression", "squared_error", max_depth, 2, 1,
-                        weight="_w", cuts=cuts, prebinned=True)
-        if prev is not None:
-            prev.unpersist()
-            prev = None
-        err_abs = F.abs(tree.prediction_column() - F.col(label))
-        mx = data.agg(F.max(err_abs).alias("m")).first()["m"] or 0.0
-        if mx <= 0:
-            model.trees.append((tree, 1.0))
+    start = pack(train, features, F.col(label), cuts, [1.0])
+
+    def losses(error: np.ndarray, most: float) -> np.ndarray:
+        rel = error / most
+        return rel if loss == "linear" else rel * rel if loss == "square" else 1 - np.exp(-rel)
+
+    def advance(step, x, y, state):
+        values, most, beta, scale = step
+        return state * (beta ** (learning_rate * (1 - losses(np.abs(values.each(x)[:, 0] - y), most))) * scale)[:, None]
+
+    state, trees = _State(start, advance), []
+    for _ in range(n_estimators):
+        now = state.current()
+
+        def stats(x, y, key, given, now=now):
+            w = now(x, y, given)[:, 0]
+            return lambda t: np.stack([w, w * y, w * y * y])
+        tree = grow(state.packed, 1, stats, 3, 3, "regression", "squared_error", max_depth)[0]
+        values = Forest([tree], _means, cuts)
+        error = lambda x, y, values=values: np.abs(values.each(x)[:, 0] - y)
+        power = {"linear": 1, "square": 2}.get(loss)
+
+        def moments(x, y, key, given, now=now, error=error):
+            """Sums of the weights and of the weighted errors to the loss's power, as groups 0 and 1."""
+            w = now(x, y, given)[:, 0]
+            return np.repeat([0, 1], len(y)), np.concatenate([w, w * error(x, y) ** power])
+
+        def weighed(x, y, key, given, now=now, error=error):
+            w = now(x, y, given)[:, 0]
+            return np.repeat([0, 1], len(y)), np.concatenate([w, w * losses(error(x, y), most)])
+        most = group_most(state.packed, lambda x, y, key, given: (np.zeros(len(y), np.int64), error(x, y))).get(0, 0.0)
+        if most <= 0:
+            trees.append((tree, 1.0))
+            break
+        sums = group_sums(state.packed, moments if power else weighed)
+        average = sums[1][0] / sums[0][0] / (most ** power if power else 1)
+        if average >= 0.5:
+            if not trees:
+                trees.append((tree, 1.0))
             break
-        rel = err_abs / F.lit(mx)
-        lo = rel if loss == "linear" else (rel * rel if loss == "square" else 1.0 - F.exp(-rel))
-        row = data.agg(F.sum(F.col("_w") * lo).alias("e"), F.sum("_w").alias("t")).first()
-        avg_loss = row["e"] / row["t"]
-        if avg_loss >= 0.5:
-            if not model.trees:
-                model.trees.append((tree, 1.0))
+        if average <= 0:
+            trees.append((tree, 1.0))
             break
-        beta = avg_loss / (1.0 - avg_loss)
-        model.trees.append((tree, learning_rate * math.log(1.0 / beta)))
-        nxt = data.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), (1.0 - lo) * learning_rate))
-        prev, data = data, _checkpoint(nxt, it + 1)
-    data.unpersist()
-    if prev is not None:
-        prev.unpersist()
-    return model
+        beta = average / (1.0 - average)
+        trees.append((tree, learning_rate * math.log(1.0 / beta)))
+        state.add((values, most, beta, sums[0][1] / sums[0][0]))
+    forest, weight = Forest([t for t, _ in trees], _means), np.array([w for _, w in trees])
+
+    def median(x: np.ndarray) -> np.ndarray:
+        each = forest.each(x)
+        order = np.argsort(each, 1, kind="stable")
+        reached = np.cumsum(weight[order], 1) >= 0.5 * weight.sum()
+        return np.take_along_axis(each, np.take_along_axis(order, reached.argmax(1)[:, None], 1), 1)
+    return MatrixModel(name, "regression", features, None, median, trees)
 
 
 # ------------------------------------------------------------------ M11
 
 def fit_and_compare(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-                    configs: dict[str, callable], key: str) -> tuple[dict, DataFrame, dict]:
-    """Fit every configured estimator on the same (cached) training rows; a
-    failing estimator is reported and the others continue. Returns the
-    models, the long predictions table ``(model, key, y, prediction[,
-    probability])`` and the errors."""
+                    configs: dict[str, Callable], key: str, threads: int = 4) -> tuple[dict, DataFrame, dict]:
+    """Fit every configured estimator on the same (cached) training rows, a few
+    at a time: their small jobs share the cluster. A failing estimator is
+    reported and the others continue. Returns the models, the long predictions
+    table ``(model, key, y, prediction[, probability])`` - without rows if every
+    fit failed - and the errors by model."""
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    models, errors, parts = {}, {}, []
-    for name, fit in configs.items():
+
+    def attempt(fit):
         try:
-            m = fit(train)
-            models[name] = m
-            p = m.transform(test).select(F.lit(name).alias("model"), F.col(key), F.col(label).alias("y"),
-                                         F.col("prediction").cast("string" if m.task == "classification" else "double")
-                                         .alias("prediction"),
-                                         *([F.col("probability")] if m.task == "classification" else []))
-            parts.append(p)
+            return fit(train), None
         except Exception as exc:  # noqa: BLE001 - reported per model, as the reference
-            errors[name] = str(exc)
+            return None, str(exc)
+    with ThreadPoolExecutor(threads) as pool:
+        results = dict(zip(configs, pool.map(attempt, configs.values())))
     train.unpersist()
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
+    models = {name: m for name, (m, _) in results.items() if m is not None}
+    errors = {name: e for name, (m, e) in results.items() if m is None}
+    preds = None
+    for name, m in models.items():
+        p = m.transform(test).select(F.lit(name).alias("model"), F.col(key), F.col(label).alias("y"),
+                                     F.col("prediction").cast("string" if m.task == "classification" else "double").alias("prediction"),
+                                     *([F.col("probability")] if m.task == "classification" else []))
+        preds = p if preds is None else preds.unionByName(p)
+    if preds is None:
+        preds = test.limit(0).select(F.lit("").alias("model"), F.col(key), F.col(label).alias("y"),
+                                     F.lit(None).cast("string").alias("prediction"))
     return models, preds, errors
+
+
+def error_table(spark, configs: Sequence[str], errors: dict[str, str]) -> DataFrame:
+    """(model, fitted, error) per configured estimator."""
+    return spark.createDataFrame([(c, c not in errors, errors.get(c)) for c in configs], "model string, fitted boolean, error string")

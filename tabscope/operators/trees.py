@@ -56,6 +56,8 @@ class TreeModel:
     criterion: str
     classes: list | None
     nodes: dict[int, Node] = field(default_factory=dict)
+    #: Parts grown below bounded nodes by ``joint_trees``; single trees have none.
+    tails: dict[int, object] = field(default_factory=dict)
 
     # ------------------------------------------------------------- values
     def leaf_value(self, node: Node):
