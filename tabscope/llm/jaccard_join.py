@@ -4,17 +4,21 @@ Two documents link when the Jaccard similarity of their shingle sets is at
 least ``percent`` / 100. The steps:
 
 1. equal sets (exact copies and the like) become one *unit*; a bounded sketch
-   of hash cells that many documents share gives the global shingle order: rare
-   first, then by hash;
+   of hash cells that many documents share gives a first shingle order: rare
+   first, then by hash. Shingles that this order puts into the prefixes of more
+   than ``OFTEN`` documents are counted exactly and move behind all others, by
+   their count, so that passages which many documents share leave the prefixes
+   and index lists stay short however large the corpus;
 2. a unit's *prefix* is its first ``n - ceil(t n) + 1`` shingles; linked units
    share one. Units with the same prefix and size form one *group*, and the
    inverted index holds groups, not documents;
 3. in every index list one pivot is verified against the other members first.
    Large groups of near copies collapse into one class there, at a cost linear
    in their size;
-4. the remaining group pairs, of lists that still hold several classes, pass
-   the size and position filters, are expanded to members and verified
-   exactly. Pairs inside one class are known to be connected and not formed.
+4. lists that still hold several classes are expanded to their groups' members
+   and joined; members meet if they pass the size, position and parity filters,
+   and are verified exactly. Pairs inside one class are known to be connected
+   and not formed, nor are pairs whose parity bits differ in too many places.
 
 A set's bytes are recomputed from the text and shuffled for candidate units
 only. Every step covers all documents; nothing is capped.
@@ -41,8 +45,14 @@ from tabscope.llm.hashing import shingle_sets
 
 CELL_BITS = 20
 MIN_PARITY, MAX_PARITY = 512, 1 << 16
+#: Longs of parity bits that rows carry into the join of lists; MIN_PARITY / 64.
+FOLDED = 8
 TOKEN_BITS = 25
 SALTS = 16
+#: Prefixes that a shingle may stand in before it moves behind rarer ones, and the hash cells of those that do.
+OFTEN = 8
+OFTEN_BITS = 22
+ORDER_ROUNDS = 2
 
 
 def _unit(shingles: np.ndarray) -> int:
@@ -79,21 +89,51 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _scan_prefixes(gram: int, percent: int, rank):
-    """Rows (u, n, prefix, bits): a token is the rank of its cell (8 bits) before 56 bits of its hash.
+def _tokens(s: np.ndarray, order: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+    """The rank of a shingle (8 bits) before 56 bits of its hash."""
+    low, rank = s >> np.uint64(8), order[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
+    if often is not None:
+        count = often[(low & np.uint64(len(often) - 1)).astype(np.int64)].astype(np.uint64)
+        rank = np.where(count > 0, np.uint64(128) + count, rank)
+    return (rank << np.uint64(56)) | low
+
+
+def _scan_prefix_tokens(gram: int, percent: int, rank, frequent):
+    """The shingles (56 bits) of all prefixes by the order known so far."""
+    def run(batches):
+        order, often = rank.value, frequent.value
+        for b in batches:
+            found = [np.empty(0, np.uint64)]
+            for s in shingle_sets(b.column(0), gram):
+                if len(s):
+                    p = _prefix_size(len(s), percent)
+                    found.append(np.partition(_tokens(s, order, often), p - 1)[:p])
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) & np.uint64((1 << 56) - 1)).view(np.int64))], ["token"])
+    return run
+
+
+def _often_cells(batches):
+    """(cell, class) of frequent shingles; the class is the logarithm of their count."""
+    for b in batches:
+        cell = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << OFTEN_BITS) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.log2(b.column(1).to_numpy()).astype(np.int32))], ["cell", "c"])
+
+
+def _scan_prefixes(gram: int, percent: int, rank, frequent):
+    """Rows (u, n, prefix, bits); tokens as in ``_tokens``.
 
     ``bits`` holds the parity of the number of shingles per low hash bits, at
     about one bit per shingle: two sets differ in at least as many shingles as
     their bits differ in places. A longer field folds to a shorter one by xor.
     """
     def run(batches):
-        order = rank.value
+        order, often = rank.value, frequent.value
         for b in batches:
             units, sizes, prefixes, parity = [], [], [], []
             for s in shingle_sets(b.column(0), gram):
                 if not len(s):
                     continue
-                token = (order[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                token = _tokens(s, order, often)
                 p = _prefix_size(len(s), percent)
                 units.append(_unit(s))
                 sizes.append(len(s))
@@ -140,6 +180,14 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
+def _folded(batches):
+    """(u, q0, q1, ...): the parity bits folded to ``FOLDED`` longs."""
+    for b in batches:
+        q = np.array([_fold(np.frombuffer(x.as_buffer(), np.uint8), 8 * FOLDED).view(np.int64) for x in b.column(1)]).reshape(-1, FOLDED)
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(q[:, j])) for j in range(FOLDED)]],
+                                         ["u", *[f"q{j}" for j in range(FOLDED)]])
+
+
 def _plausible(percent: int):
     def run(batches):
         for b in batches:
@@ -186,15 +234,32 @@ class _Join:
         rank = np.zeros(1 << CELL_BITS, np.uint8)
         heavy = rows.filter("cell is not null").groupBy("cell").agg(F.sum("c").alias("c"))
         for r in heavy.select("cell", F.floor(F.log2("c")).alias("r")).toLocalIterator():  # at most 2^CELL_BITS rows
-            rank[r["cell"]] = min(255, r["r"])
+            rank[r["cell"]] = min(127, r["r"])
         self.rank = self.spark.sparkContext.broadcast(rank)  # 1 MB
         units = materialise(self.members.filter("u is not null").groupBy("u").agg(
             F.min("id").alias("id"), F.count("*").alias("n_rows"), F.first("n").alias("n")))
         self.n_units = units.count()
         self.units = narrow(units, self.n_units)
 
+    def frequent(self):
+        """Broadcast classes of the shingles that many prefixes hold, by hash cell: 4 MB whatever the input.
+
+        Shingles that move back let others of the same passage into the
+        prefixes, so the next round counts the prefixes by the new order.
+        """
+        classes = np.zeros(1 << OFTEN_BITS, np.uint8)
+        for _ in range(ORDER_ROUNDS):
+            known = self.spark.sparkContext.broadcast(classes)
+            tokens = self.docs.select("text").mapInArrow(_scan_prefix_tokens(self.gram, self.percent, self.rank, known), "token long")
+            often = tokens.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > OFTEN)
+            cells = often.mapInArrow(_often_cells, "cell int, c int").groupBy("cell").agg(F.max("c").alias("c")).toArrow()
+            classes = classes.copy()
+            at = cells.column("cell").to_numpy()
+            classes[at] = np.maximum(classes[at], np.minimum(cells.column("c").to_numpy(), 126).astype(np.uint8))
+        return self.spark.sparkContext.broadcast(classes)
+
     def index(self) -> None:
-        rows = self.docs.select("text").mapInArrow(_scan_prefixes(self.gram, self.percent, self.rank), "u long, n long, prefix array<long>, bits binary")
+        rows = self.docs.select("text").mapInArrow(_scan_prefixes(self.gram, self.percent, self.rank, self.frequent()), "u long, n long, prefix array<long>, bits binary")
         rows = rows.groupBy("u").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
         rows = materialise(rows.select("u", F.xxhash64("prefix", "n").alias("g"), "n", "prefix", "bits"))
         self.bits = rows.select("u", "n", "bits")
@@ -271,8 +336,16 @@ class _Join:
         inside = self.in_group.join(first.filter("m > 1").select("g", F.col("u").alias("a")), "g").filter("u <> a").select("a", F.col("u").alias("b"))
         return across.unionByName(inside).distinct()
 
+    def apart(self, x: str, y: str):
+        """Places in which the folded parity bits of two rows differ."""
+        return sum((F.bit_count(F.col(f"{x}.q{j}").bitwiseXOR(F.col(f"{y}.q{j}"))) for j in range(FOLDED)), F.lit(0))
+
     def rest_pairs(self, comp: DataFrame) -> DataFrame:
-        """Unit pairs of different classes whose groups share a token and pass the filters."""
+        """Unit pairs of different classes whose groups share a token and that pass the filters.
+
+        The parity bits, folded to a few longs, are compared in the join: pairs
+        of near copies that stay below the threshold are not formed.
+        """
         unit = self.in_group.join(comp.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("comp", "u"))
         unit = materialise(narrow(unit, self.n_units))
         nodes = unit.groupBy("g", "comp").agg(F.count("*").alias("m"))
@@ -280,17 +353,25 @@ class _Join:
         mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).filter("lo <> hi")
         mixed = materialise(mixed.select("token", "w"))
         rows = materialise(attach(materialise(rows), mixed, ["token"], "w").select("token", "pos", "n", "g", "comp"))
+        folded = self.bits.select("u", "bits").mapInArrow(_folded, "u long, " + ", ".join(f"q{j} long" for j in range(FOLDED)))
+        # units of one group that fell into different classes; sets that must agree in every shingle are one unit already
+        several = nodes.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
+        same = unit.filter(self.overlap(F.col("n"), F.col("n")) < F.col("n")).join(several, "g").select("g", "n", "comp", "u")
+        wanted = rows.select("g", "comp").distinct().join(unit.select("g", "comp", "u"), ["g", "comp"]).select("u").unionByName(same.select("u")).distinct()
+        folded = materialise(folded.join(wanted, "u"))
+        q = [f"q{j}" for j in range(FOLDED)]
+        members = materialise(folded.join(unit.select("u", "g", "comp"), "u"))
+        rows = materialise(rows.join(members, ["g", "comp"]).select("token", "pos", "n", "comp", "u", *q))
         x, y = rows.alias("x"), rows.alias("y")
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & self.near("x", "y"))
-        pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.comp").alias("comp"), F.col("y.g").alias("g2"), F.col("y.comp").alias("comp2")).distinct()
-        # units of one group that fell into different classes
-        same = nodes.select("g", "comp").join(nodes.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "g")
+        n, m = F.col("x.n"), F.col("y.n")
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & self.near("x", "y")
+                       & (self.apart("x", "y") <= n + m - 2 * self.overlap(n, m)))
+        pairs = pairs.select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
+        same = same.join(folded, "u")
         s, t = same.alias("s"), same.alias("t")
-        same = s.join(t, (F.col("s.g") == F.col("t.g")) & (F.col("s.comp") < F.col("t.comp"))).select(
-            F.col("s.g").alias("g"), F.col("s.comp").alias("comp"), F.col("t.g").alias("g2"), F.col("t.comp").alias("comp2"))
-        left = pairs.unionByName(same).distinct().join(unit.select("g", "comp", F.col("u").alias("a")), ["g", "comp"])
-        return left.select("a", F.col("g2").alias("g"), F.col("comp2").alias("comp")).join(
-            unit.select("g", "comp", F.col("u").alias("b")), ["g", "comp"]).select("a", "b")
+        n = F.col("s.n")
+        same = s.join(t, (F.col("s.g") == F.col("t.g")) & (F.col("s.comp") < F.col("t.comp")) & (self.apart("s", "t") <= 2 * (n - self.overlap(n, n))))
+        return pairs.unionByName(same.select(F.col("s.u").alias("a"), F.col("t.u").alias("b"))).distinct()
 
     def classes(self) -> DataFrame:
         """(node, comp) over units with a link."""

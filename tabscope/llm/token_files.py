@@ -50,6 +50,7 @@ BLOCK = 512
 ROLL = 1 << 22
 PART_BYTES = 32 << 20
 CACHE = 1 << 18
+LINE = 64
 _TYPES = {8: np.dtype("u1"), 16: np.dtype("<u2"), 32: np.dtype("<u4")}
 
 
@@ -164,12 +165,32 @@ class WordEncoder:
         self.tokenizer = tokenizer
         self.known, self.flat, self.size = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64)
 
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Plain ASCII words go to the tokenizer in lines of ``LINE``; a token's place in the line tells its word."""
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        one, other = words.filter(plain).to_pylist(), words.filter(pc.invert(plain))
+        start = np.concatenate([[0], np.cumsum([len(w) + 1 for w in one])]).astype(np.int64)
+        lines = [" ".join(one[i:i + LINE]) for i in range(0, len(one), LINE)]
+        found = self.tokenizer.encode_batch(lines, add_special_tokens=False)
+        n = [len(e.ids) for e in found]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, sum(n))
+        at = np.fromiter((o[0] for e in found for o in e.offsets), np.int64, sum(n)) + np.repeat(start[:-1][::LINE], n)
+        size = np.empty(len(words), np.int64)
+        rest, size_rest = TextEncoder(self.tokenizer)(other)
+        here = plain.to_numpy(zero_copy_only=False)
+        size[here] = np.bincount(np.searchsorted(start, at, "right") - 1, minlength=len(one) + 1)[:len(one)]
+        size[~here] = size_rest
+        out = np.empty(int(size.sum()), np.uint32)
+        side = np.repeat(here, size)
+        out[side], out[~side] = flat, rest
+        return out, size
+
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Id buffer, and the first place and number of ids of every word; all words differ."""
         place = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy(zero_copy_only=False).copy()
         new = np.flatnonzero(place < 0)
         unseen = words.take(pa.array(new))
-        flat, size = TextEncoder(self.tokenizer)(unseen)
+        flat, size = self._encode(unseen)
         flat, size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
         place[new] = len(self.size) + np.arange(len(new))
         first = np.cumsum(size) - size
