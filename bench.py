@@ -1,6 +1,7 @@
 """Benchmark: headline operators at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints ONE JSON line: {"metric", "value" (total sec), "unit", "queries", "sf"}.
+A step that fails is named on stderr and the run ends with its error.
 Each query runs once to warm the JVM and code caches, then is timed
 $BENCH_REPS times (default 2) and the best run is reported, which damps
 noise from other load on the machine; results are fully computed with the
@@ -35,18 +36,23 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPS", "2"))
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+                        extra={"spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")})
     Q = catalog.QUERIES
 
     state = {}
 
     def prepare():
+        if "split" in state:
+            state["split"].unpersist()
         spec, split, _ = QM.prepared(spark, sf_dir)
         split.count()
         state["spec"], state["split"] = spec, split
         state["train"], state["test"] = QM._sides(split)
 
     def prepare_reg():
+        if "rsplit" in state:
+            state["rsplit"].unpersist()
         spec, split, _ = QM.prepared(spark, sf_dir, "regression")
         split.count()
         state["rspec"], state["rsplit"] = spec, split
@@ -62,6 +68,9 @@ def main():
     def gbt_fit():
         EN.gbt_regressor(state["rtrain"], state["rspec"].x_columns, LABEL, 10, 0.1, 3)
 
+    def adaboost_fit():
+        EN.adaboost_classifier(state["train"], state["spec"].x_columns, LABEL, 10, 0.5, classes=state["spec"].classes)
+
     def score():
         _run(B.score_classification(QM._new_rows(spark, sf_dir), state["spec"], state["tree"], keep=["row_key"]))
 
@@ -79,16 +88,21 @@ def main():
         ("tree_classifier_fit", tree_fit),
         ("forest_classifier_fit", forest_fit),
         ("gbt_regressor_fit", gbt_fit),
+        ("adaboost_classifier_fit", adaboost_fit),
         ("score_classification", score),
     ]
     times = {}
     for name, fn in plan:
-        fn()  # warm-up
         runs = []
-        for _ in range(reps):
-            t0 = time.perf_counter()
-            fn()
-            runs.append(time.perf_counter() - t0)
+        try:
+            fn()  # warm-up
+            for _ in range(reps):
+                t0 = time.perf_counter()
+                fn()
+                runs.append(time.perf_counter() - t0)
+        except Exception:
+            print(f"bench: {name} failed", file=sys.stderr, flush=True)
+            raise
         times[name] = round(min(runs), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
