@@ -9,16 +9,17 @@ copies of one text count once. Examples become TF-IDF vectors, equal vectors are
 merged, and the index stores posting lists in blocks of 64 examples with the
 largest weight of each term in each block.
 
-Search is exact: the block maxima bound every block's best cosine, blocks are
-scored by falling bound until the k-th best similarity is at least the next
-bound. The vote of the k nearest, weighted by squared similarity, is mapped to
+Search is exact: rare words find the examples, block maxima bound what frequent
+words can add to a block, blocks are completed by falling bound, in doubling
+steps, until the k-th best similarity is above the next bound; texts are
+searched a few at a time and equal texts of a batch once. The vote of the k nearest, weighted by squared similarity, is mapped to
 a probability by an isotonic fit on leave-one-out votes with the class shares
 of all training rows. Every document of the corpus is scored from its whole
 text; the nearest examples are its evidence.
 
 Edge cases: a null or empty text, or one that shares no word with the examples,
 gets the toxic share of such examples; null labels or ids never train; a doc_id labelled twice trains with
-its largest label; without training rows of both classes every score is the
+its largest label, one with several texts with the first in order; without training rows of both classes every score is the
 toxic share (0 if nothing is labelled); repeated rows repeat their score.
 """
 
@@ -49,10 +50,25 @@ K = 16
 BLOCK = 64
 #: Blocks scored before the k-th best cosine is held against the bounds of the others.
 FIRST_BLOCKS = 4
+#: Terms of more than one in so many examples only complete cosines.
+FREQUENT = 16
+#: Texts that are searched together.
+TOGETHER = 64
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """The one tokeniser of examples and documents: runs of letters, lower-cased."""
+    return _TOKEN.findall(text.lower())
+
+
+def _tokenised(batches):
+    for b in batches:
+        words = [words_of(t.as_py() or "") for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "y", "w"])
+
+
 def _weights(tf: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms = np.array(sorted(tf), np.int64)
     w = (1 + np.log([tf[t] for t in terms.tolist()])) * idf[terms] if len(terms) else np.empty(0)
@@ -66,7 +82,12 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Posting lists of unit vectors in blocks, with the largest weight per term and block, as flat arrays."""
+    """Posting lists of unit vectors in blocks, with the largest weight per term and block.
+
+    Rare terms (the essential ones) have flat posting lists. Frequent terms
+    are kept per block as a small matrix: they never find a vector, they only
+    complete the cosines of blocks whose bound is high enough.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
@@ -75,42 +96,64 @@ class BlockMaxIndex:
         term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
         w = np.concatenate([np.empty(0), *(w for _, w in vectors)])
         row = np.repeat(np.arange(self.n), lengths)
-        order = np.lexsort((row, term))
-        term, self.row, self.w = term[order], row[order].astype(np.int32), w[order]
-        cell = term * self.blocks + self.row // BLOCK
-        self.start = np.flatnonzero(np.diff(cell, prepend=-1))  # first posting of each term and block
-        self.count = np.diff(self.start, append=len(cell))
-        self.block = (cell[self.start] % self.blocks).astype(np.int32)
-        self.top = np.maximum.reduceat(self.w, self.start) if len(cell) else np.empty(0)
-        self.first = np.searchsorted(cell[self.start], np.arange(n_terms + 1) * self.blocks)  # first cell of each term
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Rows and cosines of the k most similar vectors (cosine over 0; ties by row), and the blocks scored."""
+        df = np.bincount(term, minlength=n_terms)
+        often = np.flatnonzero(df > max(BLOCK // 4, self.n // FREQUENT))
+        self.place = np.full(n_terms, -1, np.int32)  # of a frequent term among the frequent ones
+        self.place[often] = np.arange(len(often))
+        rare = self.place[term] < 0
+        order = np.lexsort((row[rare], term[rare]))
+        self.first = np.searchsorted(term[rare][order], np.arange(n_terms + 1))
+        self.row, self.w = row[rare][order].astype(np.int32), w[rare][order]
+        full = np.zeros((len(often), self.blocks * BLOCK))
+        full[self.place[term[~rare]], row[~rare]] = w[~rare]
+        self.full = np.ascontiguousarray(full.reshape(len(often), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.top = self.full.max(2).T  # (frequent terms, blocks)
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Per query: rows and cosines of the k most similar vectors (cosine over 0; ties by row), and the blocks scored."""
+        m, width = len(queries), self.blocks * BLOCK
+        terms = np.concatenate([np.empty(0, np.int64), *(t for t, _ in queries)])
+        w = np.concatenate([np.empty(0), *(w for _, w in queries)])
+        who = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        place = self.place[terms]
+        x = np.zeros((m, self.full.shape[1]))
+        x[who[place >= 0], place[place >= 0]] = w[place >= 0]
         n = self.first[terms + 1] - self.first[terms]
-        cells, x = _spans(self.first[terms], n), np.repeat(w, n)
-        bound = np.bincount(self.block[cells], x * self.top[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rows, sims, worst, scored, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, FIRST_BLOCKS
-        while scored < len(order):
-            todo = order[scored:scored + step]
+        at = _spans(self.first[terms], n)
+        sims = np.bincount(np.repeat(who * width, n) + self.row[at], np.repeat(w, n) * self.w[at], m * width).reshape(m, width).astype(float)
+        # a block's bound: its best sum over rare terms, and the block maxima of the frequent ones
+        bound = sims.reshape(m, self.blocks, BLOCK).max(2) + x @ self.top
+        order = np.argsort(-bound, axis=1, kind="stable")
+        ranked = np.take_along_axis(bound, order, 1)
+        done, worst, scored, lo, step = np.zeros((m, self.blocks), bool), np.zeros(m), np.zeros(m, int), 0, FIRST_BLOCKS
+        while lo < self.blocks:
             # a bound is a sum in another order than the cosine
-            todo = todo[bound[todo] >= worst - 1e-12] if len(rows) >= k else todo
-            if not len(todo):
+            take = (ranked[:, lo:lo + step] >= worst[:, None] - 1e-12) & (ranked[:, lo:lo + step] > 0)
+            if not take.any():
                 break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[todo] = True
-            here = chosen[self.block[cells]]
-            c = cells[here]
-            at = _spans(self.start[c], self.count[c])
-            acc = np.bincount(self.row[at], np.repeat(x[here], self.count[c]) * self.w[at], self.n)
-            hit = np.flatnonzero(acc > 0)
-            rows, sims = np.concatenate([rows, hit]), np.concatenate([sims, acc[hit]])
-            keep = np.lexsort((rows, -sims))[:k]
-            rows, sims = rows[keep], sims[keep]
-            worst = sims[-1] if len(rows) >= k else 0.0
-            scored, step = scored + len(todo), self.blocks
-        return rows, sims, scored
+            q, c = np.nonzero(take)
+            block = order[q, lo + c]
+            scored += take.sum(1)
+            by_block = np.argsort(block, kind="stable")
+            q, block = q[by_block], block[by_block]
+            edge = np.flatnonzero(np.diff(block, prepend=-1))
+            for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(block)]):
+                b = int(block[a])
+                sims[q[a:z], b * BLOCK:(b + 1) * BLOCK] += x[q[a:z]] @ self.full[b]
+            done[q, block] = True
+            if width >= k:
+                seen = np.where(np.repeat(done, BLOCK, 1), sims, 0.0)
+                worst = np.maximum(0.0, np.partition(seen, width - k, 1)[:, width - k])
+            lo, step = lo + step, 2 * step
+        out = []
+        for i in range(m):
+            rows = np.flatnonzero((sims[i] > 0) & (sims[i] >= worst[i]) & np.repeat(done[i], BLOCK))
+            rows = rows[np.lexsort((rows, -sims[i, rows]))[:k]]
+            out.append((rows, sims[i, rows], int(scored[i])))
+        return out
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        return self.nearest_many([(terms, w)], k)[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,30 +225,37 @@ class Model:
         zero_w = [(zero[c] + (0.5 if c == 0 else 0.0)) * weight[c] for c in (0, 1)]
         self.base = zero_w[1] / (zero_w[0] + zero_w[1]) if sum(zero_w) else prior
         x, y, w = [], [], []
-        for i, m in enumerate(rows):
+        every = [found for lo in range(0, len(rows), TOGETHER) for found in self.index.nearest_many([(m[0], m[1]) for m in rows[lo:lo + TOGETHER]], self.k)]
+        for i, (m, found) in enumerate(zip(rows, every)):
             for c in (0, 1):
                 if m[2][c]:
-                    x.append(self._vote(m[0], m[1], without=(i, c, weight[c]))[0])
+                    x.append(self._vote(found, without=(i, c, weight[c])))
                     y.append(c)
                     w.append(m[2][c] * weight[c])
         self.knots, self.values = isotonic(np.array(x), np.array(y, float), np.array(w)) if x else (np.zeros(1), np.full(1, prior))
 
-    def _vote(self, terms, w, without=None):
-        rows, sims, _ = self.index.nearest(terms, w, self.k)
+    def _vote(self, found, without=None) -> float:
+        rows, sims, _ = found
         votes = self.votes[rows].copy()
         if without:
             i, c, one = without
             votes[rows == i, c] = np.maximum(votes[rows == i, c] - one, 0)
         share = (sims * sims) @ votes if len(rows) else np.zeros(2)
-        return (float(share[1] / share.sum()) if share.sum() > 0 else 0.5), rows, sims
-
-    def score(self, text: str) -> tuple[float, str]:
-        terms, w = _weights(self.terms.counts(Counter(_TOKEN.findall(text.lower()))), self.idf)
-        if not len(terms):
-            return self.base, ""
-        vote, rows, sims = self._vote(terms, w)
-        p = 0.98 * float(np.interp(vote, self.knots, self.values)) + 0.02 * vote
-        return min(1.0, max(0.0, p)), ",".join(f"{self.docs[r]}:{s:.3f}" for r, s in zip(rows[:3].tolist(), sims[:3].tolist()))
+        return float(share[1] / share.sum()) if share.sum() > 0 else 0.5
+
+    def score_many(self, texts: list[str]) -> list[tuple[float, str]]:
+        """(score, evidence) per text."""
+        queries = [_weights(self.terms.counts(Counter(words_of(t))), self.idf) for t in texts]
+        out = []
+        for (terms, _), found in zip(queries, self.index.nearest_many(queries, self.k)):
+            if not len(terms):
+                out.append((self.base, ""))
+                continue
+            vote = self._vote(found)
+            p = 0.98 * float(np.interp(vote, self.knots, self.values)) + 0.02 * vote
+            best = zip(found[0][:3].tolist(), found[1][:3].tolist())
+            out.append((min(1.0, max(0.0, p)), ",".join(f"{self.docs[r]}:{s:.3f}" for r, s in best)))
+        return out
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -223,8 +273,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     chosen = materialise(half[0].unionByName(half[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(chosen), "doc_id")  # at most max_examples rows
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    rows = materialise(texts.select("doc_id", "y", words.alias("w")).dropDuplicates(["doc_id"]))
+    # an id with several texts counts with the first one in order
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = materialise(texts.mapInArrow(_tokenised, "doc_id long, y int, w array<string>"))
     texts = rows.dropDuplicates(["y", "w"])
     uses = texts.select("doc_id", "y", "w", F.posexplode("w").alias("i", "t")).select("doc_id", "y", "t", F.get("w", F.col("i") - 1).alias("before"))
     stems = [F.when(F.char_length("t") > n, F.concat(F.lit("~"), F.substring("t", 1, n))) for n in STEMS]
@@ -263,7 +314,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 def _score(model: Model):
     def run(batches):
         for b in batches:
-            got = [model.score(t.as_py() or "") for t in b.column(2)]
+            texts = [t.as_py() or "" for t in b.column(2)]
+            distinct = list(dict.fromkeys(texts))
+            known = {}
+            for lo in range(0, len(distinct), TOGETHER):
+                part = distinct[lo:lo + TOGETHER]
+                known.update(zip(part, model.score_many(part)))
+            got = [known[t] for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in got], pa.float64()),
                                               pa.array([e for _, e in got], pa.string())], ["doc_id", "held_out", "score", "evidence"])
     return run
