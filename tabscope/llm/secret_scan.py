@@ -13,6 +13,13 @@ log10 costs of the segments add up, plus a charge per segment. Brute force
 costs one step per character, so the search is linear in the value's length
 for any length.
 
+Words are ranked by the number of documents of the corpus that use them in
+running text: one pass counts them, the ``max_words`` most frequent ones found
+in at least ``min_docs`` documents are broadcast (a bound that does not grow
+with the corpus), after the fixed list of common password words. Values of a
+credential context are not counted, so a secret that many documents repeat
+never becomes a word.
+
 Edge cases: a null or empty text has no spans; a failing base match is
 consumed like any other (leftmost, non-overlapping per kind); spans of
 different kinds may overlap; rows are independent, so repeated rows repeat
@@ -22,6 +29,7 @@ their result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import sha256
 from math import log10
 
@@ -31,6 +39,11 @@ from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 10.0
+#: Words counted in the corpus that the segmentation may use at most, and the documents that must hold one.
+MAX_WORDS = 20_000
+MIN_DOCS = 2
+#: A longer run of letters is no word.
+MAX_LETTERS = 24
 
 _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -58,7 +71,8 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 SWAPS = str.maketrans("@4310$5!7", "aaeiossit")
 
 _RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
+# a lower-case word after another word or a comma, but not after what announces a credential
+_PROSE = re.compile(rf"(?<=[a-z,] )(?<!\b[Ii]s )(?<!earer )(?<!asic )[a-z]{{3,{MAX_LETTERS}}}+(?![\w=:/@+-])", re.A)
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 _SEGMENT = log10(2)
@@ -83,7 +97,7 @@ def _runs(value: str, step) -> list[int]:
     return out
 
 
-def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def segment(value: str, ranks: dict[str, int] = _RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """The cheapest segmentation: its cost and its parts (kind, start, end).
 
     ``best[e]`` is the cheapest way to cover the first e characters, and
@@ -111,9 +125,9 @@ def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if brute[e - 1] + c < brute[e]:
             brute[e], begin[e] = brute[e - 1] + c, begin[e - 1]
         cost, kind, start = brute[e], "brute", begin[e]
-        for s in range(max(0, e - _LONGEST), e - 2):
-            rank = _RANK.get(low[s:e])
-            swapped = rank is None and _RANK.get(plain[s:e])
+        for s in range(max(0, e - MAX_LETTERS), e - 2):
+            rank = ranks.get(low[s:e])
+            swapped = rank is None and ranks.get(plain[s:e])
             if rank or swapped:
                 c = best[s] + log10(1 + (rank or swapped)) + (log10(2) if value[s:e] != low[s:e] else 0) + (log10(4) if swapped else 0) + _SEGMENT
                 if c < cost:
@@ -138,11 +152,11 @@ def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], parts[::-1]
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for ``value`` and its parts; a value that repeats one block costs the block and the count."""
-    cost, parts = segment(value)
+    cost, parts = segment(value, ranks)
     for size in _periods(value.lower()):
-        c = guess_cost(value[:size])[0] + log10(len(value) // size) + _SEGMENT
+        c = guess_cost(value[:size], ranks)[0] + log10(len(value) // size) + _SEGMENT
         if c < cost:
             return c, [("repeat", 0, len(value))]
     return cost, parts
@@ -163,7 +177,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, min_log10: float) -> list[tuple[int, int, int, float]]:
+def guess_spans(text: str, min_log10: float, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, cost) of credential values that cost at least ``min_log10``; each value once."""
     low = text.lower()
     if not any(h in low for h in HINTS):
@@ -172,7 +186,7 @@ def guess_spans(text: str, min_log10: float) -> list[tuple[int, int, int, float]
     for p in CONTEXTS:
         for m in p.finditer(text):
             if m.span(1) not in found:
-                cost = guess_cost(m[1])[0]
+                cost = guess_cost(m[1], ranks)[0]
                 if cost >= min_log10:
                     found[m.span(1)] = (m.start(1), 3, m.end(1), cost)
     return sorted(found.values())
@@ -182,14 +196,30 @@ def _join(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan(min_log10: float):
+def _words_of_documents(batches):
+    for b in batches:
+        seen: Counter[str] = Counter()
+        for text in b.column(0):
+            seen.update(set(_PROSE.findall(text.as_py() or "")))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+
+def word_ranks(docs: DataFrame, max_words: int = MAX_WORDS, min_docs: int = MIN_DOCS) -> dict[str, int]:
+    """Rank per word: the fixed list, then the corpus's words by documents, ties by the word."""
+    counts = docs.select("text").mapInArrow(_words_of_documents, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= min_docs).orderBy(F.desc("n"), "word").limit(max_words).collect()  # the stated bound
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *(r["word"] for r in top)]))}
+
+
+def _scan(min_log10: float, shared):
     def run(batches):
+        ranks = shared.value
         for b in batches:
             rows = []
             for text in b.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                extra = guess_spans(text, min_log10)
+                extra = guess_spans(text, min_log10, ranks)
                 count = [sum(k == x for _, k, _ in base) for x in range(3)]
                 every = sorted(base + [x[:3] for x in extra])
                 rows.append((*count, sha256(_join(base).encode()).hexdigest(), _join(every), len(extra), max((x[3] for x in extra), default=None)))
@@ -200,8 +230,9 @@ def _scan(min_log10: float):
     return run
 
 
-def scan_secrets(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, max_words: int = MAX_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, max_log10_guesses) per row."""
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, max_words, min_docs))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _scan(min_log10), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
+        _scan(min_log10, shared), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
         "n_guess long, max_log10_guesses double")
