@@ -18,6 +18,9 @@ token total, then the document count, is missed least.
 
 Everything is a function of the rows alone: order and buckets come from
 hashes of (doc_id, size), the random numbers from a seeded hash of the block.
+Rows equal in id, source and size are counted first and dealt out again in runs
+of at most one block, each run with a hash of its own, so that any number of
+repeated rows (null ids with empty texts, say) never fills one bucket.
 
 Edge cases: a null or empty text has size 0 and takes 0 words; a null source
 is a source of its own, last in order; sources of size 0 get target 0; rows
@@ -126,12 +129,22 @@ def _walk(seed: int, last: bool):
     return run
 
 
+def _in_runs(units: DataFrame, block: int) -> DataFrame:
+    """The same rows with ``run``: rows that are equal to each other share a run with fewer than ``block`` others."""
+    counted = units.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / block))))
+    # the runs after the first of a hot row are spread before its rows are dealt out
+    runs = runs.filter("run = 0").unionByName(runs.filter("run > 0").repartition("doc_id", "size", "run"))
+    copies = F.least(F.lit(block).cast("long"), F.col("m") - F.col("run") * block)
+    return runs.select("doc_id", "source", "size", "run", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("k")).drop("k")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
                 seed: int = 17, block: int = BLOCK) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, taken) per document row."""
-    units = materialise(docs.select(
+    units = materialise(_in_runs(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_CLASS + "+")).cast("long").alias("size")))
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_CLASS + "+")).cast("long").alias("size")), block))
     sources = source_targets(units, weights, share, cap).withColumn("skey", F.xxhash64("source"))
     sources = materialise(sources.withColumn("p0", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
                           .withColumn("p0", F.when(F.abs(F.col("p0") - F.round("p0")) < 1e-9, F.round("p0")).otherwise(F.col("p0"))))
@@ -140,7 +153,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     info = sources.withColumn("sk", key).select("sk", "n", "source_size", "target", "p0")
     rows = attach(units.withColumn("sk", key), info, ["sk"], "n")
     rows = (rows.withColumn("whole", F.floor("p0").cast("long")).withColumn("p", F.col("p0") - F.floor("p0"))
-            .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")))
+            .withColumn("h", F.when(F.col("run") == 0, F.xxhash64(F.lit(seed), "doc_id", "size"))
+                        .otherwise(F.xxhash64(F.lit(seed), "doc_id", "size", "run"))).drop("run"))
     final = rows.filter(F.col("p") == 0).drop("n")
     open_ = rows.filter(F.col("p") > 0)
     cols = ["doc_id", "source", "size", "sk", "source_size", "target", "p0", "whole", "p", "h"]
