@@ -5,7 +5,8 @@ Conventions of every operator in this package:
 * a null ``doc_id`` sorts after every other id (and all null ids are one
   document); a null text is treated as the empty text unless stated otherwise;
 * operators read the columns they name and nothing else, so further columns,
-  whatever their names, neither matter nor reach the result;
+  whatever their names, neither matter nor reach the result; filters carry whole
+  rows as one struct (``packed``) and return all columns as they came;
 * rows that repeat an id with the same text give the same result row each.
 """
 
@@ -95,6 +96,11 @@ def has_bits(bitset: Column, x: Column, bits: int) -> Column:
     return one(a) & one(b) & one(c)
 
 
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one struct, so that no name of theirs meets a name of the operator's."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias(name)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and no other letter."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(

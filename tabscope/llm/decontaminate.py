@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import ascii_lower, bit_set, has_bits, id_key, materialise
+from tabscope.llm.common import ascii_lower, bit_set, has_bits, id_key, materialise, packed
 
 #: All characters that are no part of a word, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -129,6 +129,6 @@ def decontamination_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW
 def keep_clean(docs: DataFrame, items: DataFrame, max_hit_share: float = 0.0) -> DataFrame:
     """Documents whose share of hit words is at most ``max_hit_share``, all columns."""
     bad = (decontamination_hits(docs, items).filter(F.col("n_hit") > F.lit(max_hit_share) * F.col("n_words"))
-           .select(id_key().alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return (docs.withColumn("__id", id_key()).withColumn("__hash", F.xxhash64("text"))
-            .join(bad, ["__id", "__hash"], "left_anti").select(docs.columns))
+           .select(id_key().alias("id"), "text_hash").distinct())
+    return (docs.select(id_key().alias("id"), F.xxhash64("text").alias("text_hash"), packed(docs))
+            .join(bad, ["id", "text_hash"], "left_anti").select("row.*"))

@@ -39,7 +39,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import attach, bit_set, has_bits, id_back, id_key, materialise, narrow
+from tabscope.llm.common import attach, bit_set, has_bits, id_back, id_key, materialise, narrow, packed
 from tabscope.llm.components import components
 from tabscope.llm.hashing import shingle_sets
 
@@ -402,6 +402,6 @@ def jaccard_classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFr
 
 def keep_one(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the smallest id of their class, all columns."""
-    gone = jaccard_classes(docs, gram, percent).select(id_key("doc_id").alias("__id"), id_key("component_id").alias("c"))
-    gone = gone.filter("__id <> c").select("__id").distinct()
-    return docs.withColumn("__id", id_key()).join(gone, "__id", "left_anti").select(docs.columns)
+    gone = jaccard_classes(docs, gram, percent).select(id_key("doc_id").alias("id"), id_key("component_id").alias("c"))
+    gone = gone.filter("id <> c").select("id").distinct()
+    return docs.select(id_key().alias("id"), packed(docs)).join(gone, "id", "left_anti").select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.llm.common import WS_CHARS, attach, id_key, materialise
+from tabscope.llm.common import WS_CHARS, attach, id_key, materialise, packed
 
 _WS = WS_CHARS.encode()
 
@@ -54,19 +54,19 @@ def _keys_of_documents(min_chars: int):
     return run
 
 
-def _reassemble(min_chars: int, schema: list[str]):
+def _reassemble(min_chars: int, text_at: int, names: list[str], counts: bool):
     def run(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).cast(pa.binary())
-            drop = b.column(b.schema.get_field_index("__drop"))
+            columns = b.column(0).flatten()  # the rows as they came, in their order
+            texts, drop = columns[text_at].cast(pa.binary()), b.column(1)
             n_lines, n_dropped, kept = [], [], []
             for text, d in zip(texts, drop):
                 raw = text.as_py()
                 gone = set()
                 if d.is_valid:
                     k1, k2 = d.values.field(0).to_numpy(), d.values.field(1).to_numpy()
-                    packed = np.stack([k1, k2], 1).astype("<i8").tobytes()
-                    gone = {packed[i:i + 16] for i in range(0, len(packed), 16)}
+                    found = np.stack([k1, k2], 1).astype("<i8").tobytes()
+                    gone = {found[i:i + 16] for i in range(0, len(found), 16)}
                 lines = (raw or b"").split(b"\n")
                 if gone:
                     stay = [ln for ln, key in line_keys(raw, min_chars) if key not in gone]
@@ -76,15 +76,15 @@ def _reassemble(min_chars: int, schema: list[str]):
                     kept.append(raw or b"")
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
-            new = {"text": pa.array(kept, pa.binary()).cast(pa.string()), "__n_lines": pa.array(n_lines, pa.int64()),
-                   "__n_dropped": pa.array(n_dropped, pa.int64())}
-            yield pa.RecordBatch.from_arrays(
-                [new[c] if c in new else b.column(b.schema.get_field_index(c)) for c in schema], schema)
+            columns[text_at] = pa.array(kept, pa.binary()).cast(pa.string())
+            if counts:
+                columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
     return run
 
 
-def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """All columns of ``docs`` with the shortened text, plus ``__n_lines`` and ``__n_dropped``."""
+def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, counts: bool = False) -> DataFrame:
+    """All columns of ``docs`` with the shortened text, whatever their names; with ``counts`` also ``n_lines`` and ``n_dropped``."""
     keys = materialise(docs.select(id_key().alias("id"), "text").mapInArrow(
         _keys_of_documents(min_chars), "k1 long, k2 long, id long"))
     found = keys.groupBy("k1", "k2").agg(F.min("id").alias("keep"), F.max("id").alias("top"), F.count("*").alias("n"))
@@ -94,13 +94,15 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
         found = found.filter(F.col("n") >= min_docs)
     found = materialise(found)
     drops = attach(keys, found, ["k1", "k2"], "n").filter(F.col("id") != F.col("keep"))
-    per_doc = drops.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("k1", "k2")).alias("__drop"))
-    both = docs.withColumn("__id", id_key()).join(per_doc, "__id", "left").drop("__id")
-    fields = list(docs.schema.fields) + [T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())]
-    return both.mapInArrow(_reassemble(min_chars, [f.name for f in fields]), T.StructType(fields))
+    per_doc = drops.groupBy("id").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
+    both = docs.select(id_key().alias("id"), packed(docs)).join(per_doc, "id", "left").select("row", "drop")
+    fields = list(docs.schema.fields)
+    if counts:
+        fields += [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    text_at = [f.name.lower() for f in docs.schema.fields].index("text")
+    return both.mapInArrow(_reassemble(min_chars, text_at, [f.name for f in fields], counts), T.StructType(fields))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) per document row."""
-    out = drop_shared_lines(docs.select("doc_id", "text"), min_chars, min_docs)
-    return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
+    return drop_shared_lines(docs.select("doc_id", "text"), min_chars, min_docs, counts=True)

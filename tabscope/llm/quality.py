@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import WS_CHARS, attach, id_key, materialise
+from tabscope.llm.common import WS_CHARS, attach, id_key, materialise, packed
 
 #: Character classes counted by pattern; white space is counted by length, all else counts as letters.
 CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "symbol": r"[#*$%&|<>]", "punct": r"[.,;:!?'\"()\[\]{}/\\-]"}
@@ -209,7 +209,6 @@ def quality_rules(docs: DataFrame, common_share: float = COMMON_SHARE, max_commo
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents that ``quality_rules`` keeps, all columns; documents are met by id and text hash."""
-    good = (quality_rules(docs, **limits).filter("kept")
-            .select(id_key().alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return (docs.withColumn("__id", id_key()).withColumn("__hash", F.xxhash64("text"))
-            .join(good, ["__id", "__hash"], "left_semi").select(docs.columns))
+    good = quality_rules(docs, **limits).filter("kept").select(id_key().alias("id"), "text_hash").distinct()
+    return (docs.select(id_key().alias("id"), F.xxhash64("text").alias("text_hash"), packed(docs))
+            .join(good, ["id", "text_hash"], "left_semi").select("row.*"))

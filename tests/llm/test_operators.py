@@ -247,6 +247,54 @@ def test_guess_cost_is_the_cheapest_segmentation():
                 assert whole <= sum(segment(p)[0] for p in parts) + 1e-9
 
 
+def test_segmentation_matches_all_segmentations():
+    """The cheapest of all 2^(n-1) segmentations, each piece priced by a rule of its own."""
+    from itertools import combinations
+    from math import log10
+    from tabscope.llm.secret_scan import ROWS, SWAPS, segment
+    ranks = {"pass": 1, "word": 2, "required": 7, "sun": 900}
+    place = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
+
+    def near(a, b):
+        return a != b and a in place and b in place and max(abs(place[a][0] - place[b][0]), abs(place[a][1] - place[b][1])) == 1
+
+    def piece(v):
+        low, k = v.lower(), len(v)
+        best = sum(log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000) for c in v)
+        plain = low.translate(SWAPS)
+        for w, extra in ((low, 0), (plain, log10(4))):
+            if w in ranks and not (extra and low in ranks):
+                best = min(best, log10(1 + ranks[w]) + (log10(2) if v != low else 0) + extra)
+        if k >= 3:
+            steps = [ord(b) - ord(a) for a, b in zip(low, low[1:])]
+            if set(steps) == {1}:
+                best = min(best, log10(20 * k))
+            if set(steps) == {-1}:
+                best = min(best, log10(30 * k))
+            if set(steps) == {0}:
+                best = min(best, log10(12 * k))
+            if all(near(a, b) for a, b in zip(low, low[1:])):
+                best = min(best, log10(47) + 0.5 * k)
+        return best + log10(2)
+
+    for v in ("password", "Required", "p4ssw0rd", "qwerrrrt", "sunabc9", "zxcvSUN1", "xkqzvbtr", "aaab", "Éab", "cba", "w0rd+=", ""):
+        every = (sum(piece(v[a:b]) for a, b in zip((0, *c), (*c, len(v))))
+                 for r in range(len(v)) for c in combinations(range(1, len(v)), r))
+        assert abs(segment(v, ranks)[0] - min(every, default=0.0)) < 1e-9, v
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    from tabscope.llm.secret_scan import scan_secrets, word_ranks
+    prose = ["a field is marked required when it must not be empty, while undefined and different values are refused"] * 3
+    asked = ["password: required", "token: undefined", "password: different", "password: xkqzvbtr", "password is xkqzvbtr", "secret: xkqzvbtr now"]
+    docs = spark.createDataFrame(list(enumerate(prose + asked)), "doc_id long, text string")
+    ranks = word_ranks(docs)
+    assert {"required", "undefined", "different"} <= set(ranks) and "xkqzvbtr" not in ranks
+    assert len(word_ranks(docs, max_words=2)) < len(ranks)
+    got = {r.doc_id: r.n_guess for r in scan_secrets(docs).collect()}
+    assert [got[i] for i in range(3, 9)] == [0, 0, 0, 1, 1, 1]
+
+
 def test_toxicity_separates_and_survives_missing_labels(spark, docs, empty):
     from tabscope.llm.toxicity import score_toxicity
     name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
@@ -309,6 +357,23 @@ def test_mixing_targets_and_totals(docs, empty):
     assert mix_sources(empty).count() == 0
 
 
+def test_mixing_deals_repeated_rows_in_bounded_runs(spark):
+    from tabscope.llm.mixing import _in_runs, mix_sources
+    rows = [(None, "", "s0")] * 500 + [(7, "a b c", "s0")] * 333 + [(None, "one two", None)] * 64 + [(i, "x " * (i % 9), "s1") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    units = spark.createDataFrame([(i, s, len((t or "").split())) for i, t, s in rows], "doc_id long, source string, size long")
+    dealt = _in_runs(units, 64)
+    want = Counter((i, s, len(t.split())) for i, t, s in rows)
+    assert Counter((r.doc_id, r.source, r.size) for r in dealt.collect()) == want
+    assert dealt.groupBy("doc_id", "source", "size", "run").count().agg(F.max("count")).first()[0] <= 64
+    got = mix_sources(docs, block=64).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == want
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mix_sources(docs.repartition(3), block=64).collect()))
+    for source in ("s0", None):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+
+
 def test_cube_walk_keeps_totals(spark):
     import random
 
@@ -423,5 +488,29 @@ def test_pipeline_stages(spark, tmp_path, empty):
     assert {r.doc_id for r in got} == clean and len(got) == len(clean)
     sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in d3.collect()}
     assert all(r["size"] == sizes[r.doc_id] for r in got)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, empty, sf).columns == empty.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, sf)
+        assert out.collect() == [] and (name == "source_mixing" or out.columns == empty.columns)
+
+
+def test_stage_filters_keep_columns_of_any_name(spark):
+    from tabscope.llm.decontaminate import keep_clean
+    from tabscope.llm.jaccard_join import keep_one
+    from tabscope.llm.line_dedup import drop_shared_lines
+    from tabscope.llm.quality import keep_good
+    names = ["__id", "__hash", "__drop", "id", "row", "drop", "text_hash", "n_lines", "a.b"]
+    base = spark.createDataFrame([(1, LONG), (2, LONG), (3, "a line of its own\nshared line here"), (4, "shared line here"), (None, None)], "doc_id long, text string")
+    docs = base.select("doc_id", *[F.concat(F.lit(n), F.coalesce("doc_id", F.lit(0))).alias(n) for n in names], F.lit("en").alias("lang"), "text")
+    items = spark.createDataFrame([("i", "a line of its own")], "item_id string, text string")
+    whole = {r["doc_id"]: tuple(r) for r in docs.collect()}
+
+    def check(out, ids):
+        rows = out.collect()
+        assert out.columns == docs.columns and Counter(r["doc_id"] for r in rows) == Counter(ids)
+        assert all(tuple(r)[:-1] == whole[r["doc_id"]][:-1] for r in rows)
+        return {r["doc_id"]: r["text"] for r in rows}
+    assert check(keep_one(docs), [1, 3, 4, None])[1] == LONG
+    check(keep_clean(docs, items), [1, 2, 4, None])
+    check(keep_good(docs), [r["doc_id"] for r in keep_good(base.withColumn("lang", F.lit("en"))).collect()])
+    texts = check(drop_shared_lines(docs), [1, 2, 3, 4, None])
+    assert texts == {1: LONG, 2: "", 3: "a line of its own\nshared line here", 4: "", None: ""}
