@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.llm.common import materialise
+
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 10.0
 #: Words counted in the corpus that the segmentation may use at most, and the documents that must hold one.
@@ -207,7 +209,15 @@ def _words_of_documents(batches):
 def word_ranks(docs: DataFrame, max_words: int = MAX_WORDS, min_docs: int = MIN_DOCS) -> dict[str, int]:
     """Rank per word: the fixed list, then the corpus's words by documents, ties by the word."""
     counts = docs.select("text").mapInArrow(_words_of_documents, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= min_docs).orderBy(F.desc("n"), "word").limit(max_words).collect()  # the stated bound
+    counts = materialise(counts.filter(F.col("n") >= min_docs))
+    # words per sixteenth of a power of two, so that only rows near the bound leave their partitions
+    level, total = 0, 0
+    step = F.floor(F.log2("n") * 16)
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 1,009 rows
+        level, total = r["step"], total + r["count"]
+        if total >= max_words:
+            break
+    top = counts.filter(step >= level).orderBy(F.desc("n"), "word").limit(max_words).collect()  # the stated bound
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *(r["word"] for r in top)]))}
 
 
