@@ -2,7 +2,9 @@
 
 Every model contributes columns to the same rows (a chain of projections,
 no join); long forms use ``unpivot`` / ``posexplode``. Every input row comes
-back with its ``STATUS``; refused rows have null predictions.
+back with its ``STATUS``; refused rows have null predictions. ``keep`` names the
+input columns of the result, features included (None: all of them, as they were
+read); an input column named like a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -26,21 +28,41 @@ def answered(c: F.Column | str) -> F.Column:
     return F.when(F.col(STATUS) != "refused", F.col(c) if isinstance(c, str) else c)
 
 
-def score_regression(new: DataFrame, spec: PreparationSpec, model, keep: Sequence[str] = ()) -> DataFrame:
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _carried(new: DataFrame, spec: PreparationSpec, keep: Sequence[str] | None) -> tuple[DataFrame, str, list[str]]:
+    """Design columns of the new rows beside their input columns, packed in one struct since both may share names."""
+    names = list(new.columns if keep is None else keep)
+    packed = "_input"
+    while packed in new.columns or packed in spec.x_columns:
+        packed += "_"
+    given = [c for c in spec.features if c in new.columns]
+    rows = new.select(F.struct(*[F.col(_quoted(c)) for c in names], F.lit(0).alias(packed)).alias(packed), *map(_quoted, given))
+    return spec.transform(rows, keep=[packed], with_label=False), packed, names
+
+
+def _with_input(out: DataFrame, packed: str, names: list[str], results: dict[str, F.Column]) -> DataFrame:
+    taken = {c.lower() for c in [*results, STATUS]}
+    kept = [F.col(packed).getField(c).alias(c) for c in names if c.lower() not in taken]
+    return out.select(*kept, *[c.alias(n) for n, c in results.items()], STATUS)
+
+
+def score_regression(new: DataFrame, spec: PreparationSpec, model, keep: Sequence[str] | None = None) -> DataFrame:
     """Input columns (``keep``) + ``PREDICCION_{target}`` and the row's status."""
-    d = spec.transform(new, keep=list(keep), with_label=False)
-    out = model.transform(d, prediction=PREDICTION_PREFIX + spec.target, probability=None)
-    pc = PREDICTION_PREFIX + spec.target
-    return out.select(*keep, answered(pc).alias(pc), STATUS)
+    d, packed, names = _carried(new, spec, keep)
+    out = model.transform(d, prediction="_said", probability=None)
+    return _with_input(out, packed, names, {PREDICTION_PREFIX + spec.target: answered("_said")})
 
 
-def score_classification(new: DataFrame, spec: PreparationSpec, model, keep: Sequence[str] = ()) -> DataFrame:
+def score_classification(new: DataFrame, spec: PreparationSpec, model, keep: Sequence[str] | None = None) -> DataFrame:
     """+ ``PREDICCION_{target}``, ``PROBABILIDAD_MAXIMA``, ``PROB_{class}`` and the row's status."""
-    d = spec.transform(new, keep=list(keep), with_label=False)
-    pc = PREDICTION_PREFIX + spec.target
-    out = model.transform(d, prediction=pc, probability="_prob")
-    probs = [answered(F.element_at("_prob", i + 1)).alias(f"{PROBABILITY_PREFIX}{c}") for i, c in enumerate(model.classes)]
-    return out.select(*keep, answered(pc).alias(pc), answered(F.array_max("_prob")).alias(MAX_PROBABILITY), *probs, STATUS)
+    d, packed, names = _carried(new, spec, keep)
+    out = model.transform(d, prediction="_said", probability="_prob")
+    results = {PREDICTION_PREFIX + spec.target: answered("_said"), MAX_PROBABILITY: answered(F.array_max("_prob"))}
+    results |= {f"{PROBABILITY_PREFIX}{c}": answered(F.element_at("_prob", i + 1)) for i, c in enumerate(model.classes)}
+    return _with_input(out, packed, names, results)
 
 
 def prediction_distribution(scored: DataFrame, prediction: str) -> DataFrame:
@@ -49,16 +71,15 @@ def prediction_distribution(scored: DataFrame, prediction: str) -> DataFrame:
             .orderBy(F.desc("n"), "prediction"))
 
 
-def score_many_models(new: DataFrame, spec: PreparationSpec, models: dict, keep: Sequence[str] = ()) -> DataFrame:
+def score_many_models(new: DataFrame, spec: PreparationSpec, models: dict, keep: Sequence[str] | None = None) -> DataFrame:
     """+ ``PREDICCION_{model}`` per model, all on the same prepared rows, and the row's status."""
-    d = spec.transform(new, keep=list(keep), with_label=False)
-    out = d
-    for name, m in models.items():
-        out = m.transform(out, prediction=PREDICTION_PREFIX + name, probability=None)
-    return out.select(*keep, *[answered(PREDICTION_PREFIX + n).alias(PREDICTION_PREFIX + n) for n in models], STATUS)
+    out, packed, names = _carried(new, spec, keep)
+    for i, m in enumerate(models.values()):
+        out = m.transform(out, prediction=f"_said{i}", probability=None)
+    return _with_input(out, packed, names, {PREDICTION_PREFIX + n: answered(f"_said{i}") for i, n in enumerate(models)})
 
 
-def score_points(points: DataFrame, spec: PreparationSpec, models: dict, keep: Sequence[str] = ()) -> DataFrame:
+def score_points(points: DataFrame, spec: PreparationSpec, models: dict, keep: Sequence[str] | None = None) -> DataFrame:
     """Score any DataFrame of feature points (e.g. a what-if table) by every
     model; the points go through the trained preparation like new rows."""
     return score_many_models(points, spec, models, keep)
@@ -66,11 +87,11 @@ def score_points(points: DataFrame, spec: PreparationSpec, models: dict, keep: S
 
 def score_with_probabilities(new: DataFrame, spec: PreparationSpec, models: dict, key: str) -> DataFrame:
     """Long form ``(model, key, prediction, probability)`` for classifiers."""
-    d = spec.transform(new, keep=[key], with_label=False)
+    d, packed, _ = _carried(new, spec, [key])
     parts = []
     for name, m in models.items():
         parts.append(m.transform(d, prediction="prediction", probability="probability")
-                     .select(F.lit(name).alias("model"), key, answered("prediction").cast("string").alias("prediction"),
+                     .select(F.lit(name).alias("model"), F.col(packed).getField(key).alias(key), answered("prediction").cast("string").alias("prediction"),
                              answered("probability").alias("probability")))
     out = parts[0]
     for p in parts[1:]:

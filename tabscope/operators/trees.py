@@ -123,6 +123,8 @@ class TreeModel:
         if self.task == "classification":
             tab = spark.createDataFrame([(a, str(b), c) for a, b, c in leaves],
                                         "_node long, _pred string, _prob array<double>")
+            # the class keeps the type that a compiled tree gives it
+            tab = tab.withColumn("_pred", F.col("_pred").cast(spark.range(0).select(F.lit(self.classes[0])).schema[0].dataType))
         else:
             tab = spark.createDataFrame([(a, float(b)) for a, b, _ in leaves], "_node long, _pred double")
         out = rows.join(F.broadcast(tab), "_node", "left").withColumnRenamed("_pred", prediction)

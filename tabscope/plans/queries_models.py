@@ -409,6 +409,25 @@ def q_prediction_distribution_rule(spark, sf):
     return B.prediction_distribution(scored, B.PREDICTION_PREFIX + spec.target)
 
 
+@register("scored_rows_file", f"""
+SELECT {_KEY_SQL} AS row_key, l_quantity, l_discount, l_tax, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag, l_linestatus, l_extendedprice,
+       {_P1} AS PREDICCION_demand, {_M1} AS PROBABILIDAD_MAXIMA, {_K1['high']} AS PROB_high, {_K1['low']} AS PROB_low, 'scored' AS row_status FROM lineitem
+""")
+def q_scored_rows_file(spark, sf):
+    """All new rows with all their input columns and scores, written as CSV and read back."""
+    from tabscope.plans.queries_prepare import scratch_dir
+    from tabscope.sources.files import csv_scan, csv_sink
+    spec = _cls_spec(spark, sf)
+    scored = B.score_classification(_new_rows(spark, sf), spec, _rule_classifier(spec, *_R1))
+    return csv_scan(spark, csv_sink(scored, scratch_dir(spark, "scored-rows")), schema=_long_numbers(scored.schema))
+
+
+def _long_numbers(schema):
+    """The same fields with every whole number as bigint."""
+    from pyspark.sql import types as T
+    return T.StructType([T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.IntegralType) else f.dataType) for f in schema.fields])
+
+
 @register("score_regression_rule", f"SELECT {_KEY_SQL} AS row_key, CASE WHEN l_extendedprice <= 30000.5e0 "
           f"THEN 15000.0e0 ELSE 52000.0e0 END AS PREDICCION_net_price FROM lineitem")
 def q_score_regression_rule(spark, sf):

@@ -59,7 +59,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         checks += [F.count(col).alias(f"n{i}"),
                    F.count(F.when(col.rlike(_INTEGER), col.try_cast("bigint"))).alias(f"l{i}"),
                    F.count(F.when(col.rlike(_NUMBER), col.try_cast("double"))).alias(f"d{i}")]
-    row = df.agg(*checks).first()
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *checks).first()
     out = []
     for i, c in enumerate(names):
         col = F.col(f"`{c}`")
@@ -68,6 +68,8 @@ def infer_types(df: DataFrame) -> DataFrame:
             out.append(col.try_cast("bigint").alias(c))
         elif n > 0 and row[f"d{i}"] == n:
             out.append(col.try_cast("double").alias(c))
+        elif n == 0 and row["rows"]:  # a column without any value counts as numeric
+            out.append(col.try_cast("double").alias(c))
         else:
             out.append(col.alias(c))
     return df.select(*out)

@@ -30,7 +30,7 @@ def read_new_rows(spark: SparkSession, folder: str, schema: T.StructType, fmt: s
     return reader.format(fmt).load(folder)
 
 
-def score_stream(stream: DataFrame, spec: PreparationSpec, model, keep: list[str]) -> DataFrame:
+def score_stream(stream: DataFrame, spec: PreparationSpec, model, keep: list[str] | None = None) -> DataFrame:
     """Streaming version of ``score_classification`` / ``score_regression``:
     stateless, so every micro-batch is one narrow projection."""
     score = score_regression if getattr(model, "task", "classification") == "regression" else score_classification

@@ -103,3 +103,32 @@ def test_scoring_returns_every_row(spark, strategy):
     spec.medians["x"] = None  # nothing to impute with
     got = {r["id"]: r for r in score_regression(new, spec, model, ["id"]).collect()}
     assert len(got) == 5 and [i for i, r in sorted(got.items()) if r["PREDICCION_y"] is None and r["row_status"] == "refused"] == [2, 3, 5]
+
+
+def test_scored_rows_keep_their_input_columns(spark):
+    from tabscope.operators.scoring import score_classification, score_many_models, score_regression
+    from tabscope.operators import trees as TR
+    rows = [(i, float(i % 7), "ab"[i % 2], "hi" if i % 7 > 3 else "lo") for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, y string")
+    spec = PreparationSpec.fit(df, "y", ["x", "c"])
+    model = TR.fit_tree(spec.transform(df), spec.x_columns, "label", "classification", classes=spec.classes)
+    new = spark.createDataFrame([(1, None, "a", "old", 5), (2, 6.0, "z", "old", 6)], "id long, x double, c string, PREDICCION_y string, `a.b` int")
+    got = score_classification(new, spec, model)
+    assert got.columns == ["id", "x", "c", "a.b", "PREDICCION_y", "PROBABILIDAD_MAXIMA", "PROB_hi", "PROB_lo", "row_status"]
+    by = {r["id"]: r for r in got.collect()}
+    assert (by[1]["x"], by[1]["c"], by[1]["a.b"], by[1]["row_status"]) == (None, "a", 5, "imputed")
+    assert (by[2]["x"], by[2]["c"], by[2]["PREDICCION_y"], by[2]["row_status"]) == (6.0, "z", "hi", "scored")
+    assert score_many_models(new, spec, {"m": model}, ["c"]).columns == ["c", "PREDICCION_m", "row_status"]
+    assert score_classification(new, spec, model, []).columns[0] == "PREDICCION_y"
+    codes = df.withColumn("label", F.when(F.col("y") == "hi", 7).otherwise(3)).select("label", "x")
+    small = TR.fit_tree(codes, ["x"], "label", "classification")
+    joined = small._transform_by_joins(codes, "prediction", None, None)
+    assert joined.schema["prediction"].dataType == small.transform(codes).schema["prediction"].dataType
+    assert joined.filter("prediction <> label").count() == 0
+
+
+def test_csv_columns_without_values_are_numeric(spark, tmp_path):
+    from tabscope.sources.files import csv_scan
+    (tmp_path / "t.csv").write_text("a,b,c\n1,,x\n2,NA,\n")
+    got = csv_scan(spark, str(tmp_path / "t.csv"))
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "double", "string"]
