@@ -1,6 +1,7 @@
 """Edge cases and brute-force comparisons of the text operators on small rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -195,6 +196,38 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
     assert keep_clean(docs, none).count() == docs.count()
 
 
+@pytest.mark.parametrize("window,k", [(10, 6), (5, 3), (4, 4), (6, 1)])
+def test_winnowed_hits_of_repetitive_texts(spark, window, k):
+    """Few different words, so k-gram hashes tie often and hits overlap; every shared window is found."""
+    from tabscope.llm.decontaminate import decontamination_hits
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("abc" if i % 2 else "abcdefgh") for _ in range(rng.randint(0, 60))) for i in range(40)]
+    items = [" ".join(rng.choice("abcdefgh" if i % 3 else "ab") for _ in range(rng.randint(0, 16))) for i in range(12)]
+    items += [" ".join(texts[0].split()[5:5 + window]), texts[1], " ".join(["a"] * (window + 3))]
+    texts += [f"x {items[-3]} y", " ".join(["a"] * 30)] + [texts[1]] * 50
+    wins = defaultdict(set)
+    for i, t in enumerate(items):
+        w = t.split()
+        n = min(window, len(w))
+        for s in range(len(w) - n + 1 if n else 0):
+            wins[tuple(w[s:s + n])].add(str(i))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination_hits(docs, bench, window, k).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w, hit, ids = t.split(), set(), set()
+        for n in {len(x) for x in wins}:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s:s + n]) in wins:
+                    hit |= set(range(s, s + n))
+                    ids |= wins[tuple(w[s:s + n])]
+        r = got[i]
+        assert (r.n_hit, r.item_ids) == (len(hit), sorted(ids))
+        assert [p for x in r.spans for p in range(x.s, x.e)] == sorted(hit)
+        assert all(x.e < y.s for x, y in zip(r.spans, r.spans[1:]))
+
+
 def test_personal_data(docs, empty, spark):
     from tabscope.llm.pii import find_personal_data
     got = {r.doc_id: r for r in find_personal_data(docs).collect()}
