@@ -128,6 +128,19 @@ def ols_trend(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
+def scatter_points(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The points of the scatter charts with their trend line: one row per pair
+    and complete row, with the fitted value (NULL where x is constant). One pass
+    for the lines and one for the points; only the lines, a row per pair, are broadcast."""
+    lines = ols_trend(df, pairs).select(F.col("x").alias("x_name"), F.col("y").alias("y_name"), "slope", "intercept")
+    d = _clean(df, sorted({c for p in pairs for c in p}))
+    points = [F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+              for x, y in pairs]
+    long = d.select(F.explode(F.array(*points)).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return long.join(F.broadcast(lines), ["x_name", "y_name"]).select(
+        "x_name", "y_name", "x", "y", (F.col("slope") * F.col("x") + F.col("intercept")).alias("fitted"))
+
+
 def all_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(cols, 2))
 

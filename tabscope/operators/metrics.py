@@ -291,6 +291,12 @@ def actual_vs_predicted_line(pred: DataFrame, y: str = "y", prediction: str = "p
     return pred.agg(F.least(F.min(a), F.min(p)).alias("lo"), F.greatest(F.max(a), F.max(p)).alias("hi"))
 
 
+def actual_vs_predicted_points(pred: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
+    """The points of the actual-vs-predicted and residual charts, one per row with both values."""
+    a, p = F.col(y).cast("double"), F.col(prediction).cast("double")
+    return pred.select(a.alias("y"), p.alias("prediction"), (a - p).alias("residual")).where(F.col("residual").isNotNull())
+
+
 def flag_regression(m: DataFrame, by: str = "model") -> DataFrame:
     """Best flags over a per-model table (errors: lowest, R^2: highest).
     The window spans the model table only (one row per model)."""

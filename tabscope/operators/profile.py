@@ -7,6 +7,7 @@ from the distributed ordering core instead of a single-task percentile.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -161,40 +162,70 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------- U4
 
+#: Cells per bandwidth, moments per cell and reach of the kernel in bandwidths.
+DENSITY_CELLS = 4
+DENSITY_MOMENTS = 12
+DENSITY_REACH = 9.0
+
+
+def _kernel_series(z: F.Column, moments: Sequence[F.Column]) -> F.Column:
+    """Sum of exp(-(z - u)^2 / 2) over a cell with ``moments[k]`` = sum of u^k:
+    exp(-z^2 / 2) times the sum of He_k(z) moments[k] / k! (Hermite polynomials)."""
+    out = F.lit(0.0)
+    for k, m in enumerate(moments):
+        # He_k(z) / k! = sum over j of (-1/2)^j z^(k-2j) / (j! (k-2j)!), in Horner form over z^2
+        coef = [(-0.5) ** j / (math.factorial(j) * math.factorial(k - 2 * j)) for j in range(k // 2 + 1)]
+        he = F.lit(coef[0])
+        for c in coef[1:]:
+            he = he * z * z + F.lit(c)
+        out = out + (he * z if k % 2 else he) * m
+    return F.exp(-0.5 * z * z) * out
+
+
 def density_curve(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth (std * n^-1/5), evaluated on
     ``grid_size`` points spanning [min - cut*bw, max + cut*bw].
 
-    Rows are first reduced to distinct values with counts; each distinct value
-    then emits its ``grid_size`` kernel terms (a generator, not a join), which
-    are summed per grid point with map-side partial aggregation.
+    Rows are summed into cells a quarter of a bandwidth wide, each with its count
+    and the powers of the distances to its centre (map-side combined, so distinct
+    values are never shuffled). A cell adds a Hermite series to the grid points
+    within nine bandwidths. Against the exact sum a kernel of height 1 is off by at
+    most 1e-16 from the series and 1e-17 from the reach.
+
+    A column without two different values has no bandwidth and gives no rows.
     """
     x = _null_aware(df, col).cast("double")
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
-    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     stats = vals.agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"),
                      F.min("x").alias("mn"), F.max("x").alias("mx"))
-    stats = stats.select(
-        "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"),
-        "mn", "mx", F.lit(0).alias("_k"))
-    stats = stats.select("n", "bw", (F.col("mn") - cut * F.col("bw")).alias("g0"),
+    stats = stats.where((F.col("mn") < F.col("mx")) & (F.col("sd") > 0)).select(
+        "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"), "mn", "mx", F.lit(0).alias("_k"))
+    stats = stats.select("n", "bw", "mn", (F.col("mn") - cut * F.col("bw")).alias("g0"),
                          (F.col("mx") + cut * F.col("bw")).alias("g1"), "_k")
-    step = (F.col("g1") - F.col("g0")) / (grid_size - 1)
-    terms = (_const_key(counts).join(F.broadcast(stats), "_k")
-             .select("c", "x", "bw", "g0", "g1", "n",
-                     F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("i")))
-    gx = F.when(F.col("i") == grid_size - 1, F.col("g1")).otherwise(F.col("g0") + F.col("i") * step)
-    z = (gx - F.col("x")) / F.col("bw")
-    dens = (terms.groupBy("i").agg(
-        F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("_s"),
-        F.first("bw").alias("bw"), F.first("n").alias("n"),
-        F.first("g0").alias("g0"), F.first("g1").alias("g1")))
-    step2 = (F.col("g1") - F.col("g0")) / (grid_size - 1)
-    gx2 = F.when(F.col("i") == grid_size - 1, F.col("g1")).otherwise(F.col("g0") + F.col("i") * step2)
-    return dens.select(
-        F.col("i").alias("point"), gx2.alias("x"),
-        (F.col("_s") / (F.col("n") * F.col("bw") * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density")
-    ).orderBy("point")
+    bw, last = F.col("bw"), grid_size - 1
+    step = (F.col("g1") - F.col("g0")) / last
+
+    place = _const_key(vals).join(F.broadcast(stats.select("bw", "mn", "_k")), "_k").select(
+        F.floor((F.col("x") - F.col("mn")) / bw * DENSITY_CELLS).alias("cell"), ((F.col("x") - F.col("mn")) / bw).alias("t"))
+    u = F.col("t") - (F.col("cell") + 0.5) / DENSITY_CELLS
+    powers = [F.lit(1.0)]
+    for _ in range(DENSITY_MOMENTS):
+        powers.append(powers[-1] * F.col("u"))
+    cells = place.select("cell", u.alias("u")).groupBy("cell").agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(powers)])
+
+    centre = F.col("mn") + (F.col("cell") + 0.5) / DENSITY_CELLS * bw
+    reach = DENSITY_REACH * bw
+    first = F.greatest(F.lit(0), F.ceil((F.col("centre") - reach - F.col("g0")) / step)).cast("int")
+    end = F.least(F.lit(last), F.floor((F.col("centre") + reach - F.col("g0")) / step)).cast("int")
+    near = _const_key(cells).join(F.broadcast(stats), "_k").withColumn("centre", centre)
+    near = near.select("*", F.explode(F.when(first <= end, F.sequence(first, end))).alias("i"))
+    gx = F.when(F.col("i") == last, F.col("g1")).otherwise(F.col("g0") + F.col("i") * step)
+    sums = (near.withColumn("z", (gx - F.col("centre")) / bw)
+            .groupBy("i").agg(F.sum(_kernel_series(F.col("z"), [F.col(f"m{k}") for k in range(DENSITY_MOMENTS + 1)])).alias("_s")))
+    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("i")).withColumn("gx", gx)
+    return grid.join(F.broadcast(sums), "i", "left").select(
+        F.col("i").alias("point"), F.col("gx").alias("x"),
+        (F.coalesce("_s", F.lit(0.0)) / (F.col("n") * bw * F.sqrt(F.lit(2 * math.pi)))).alias("density")).orderBy("point")
 
 
 # --------------------------------------------------------------------- U5

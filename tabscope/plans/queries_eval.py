@@ -115,6 +115,17 @@ def q_ols_trend(spark, sf):
                     round_half_up(F.col("r2"), 9).alias("r2"), F.col("n").cast("long").alias("n"))
 
 
+@register("scatter_points", " UNION ALL ".join(
+    f"SELECT '{x}' AS x_name, '{y}' AS y_name, {r('a')} AS x, {r('b')} AS y, {r('s * a + i', 4)} AS fitted FROM "
+    f"(SELECT CAST({x} AS DOUBLE) AS a, CAST({y} AS DOUBLE) AS b FROM {_STRONG_SRC}) AS p "
+    f"CROSS JOIN (SELECT regr_slope({y}, {x}) AS s, regr_intercept({y}, {x}) AS i FROM {_STRONG_SRC}) "
+    f"WHERE a IS NOT NULL AND b IS NOT NULL" for x, y in _OLS_PAIRS))
+def q_scatter_points(spark, sf):
+    d = BV.scatter_points(_lineitem_net(spark, sf), _OLS_PAIRS)
+    return d.select("x_name", "y_name", round_half_up(F.col("x"), 6).alias("x"), round_half_up(F.col("y"), 6).alias("y"),
+                    round_half_up(F.col("fitted"), 4).alias("fitted"))
+
+
 # ------------------------------------------------------------------ rule predictions
 RULE = ("CASE WHEN value > 35 THEN 'purchase' WHEN value > 10 THEN 'click' ELSE 'view' END")
 RULE2 = ("CASE WHEN value > 20 THEN 'purchase' WHEN user_id % 2 = 0 THEN 'error' ELSE 'signup' END")
@@ -345,6 +356,14 @@ def q_actual_vs_predicted(spark, sf):
     return rounded(V.actual_vs_predicted_line(reg_predictions(spark, sf)))
 
 
+@register("actual_vs_predicted_points", f"""
+SELECT {r('y')} AS y, {r('prediction')} AS prediction, {r('y - prediction')} AS residual
+FROM (SELECT CAST(y AS DOUBLE) AS y, CAST(prediction AS DOUBLE) AS prediction FROM ({_REG_SRC})) WHERE y - prediction IS NOT NULL
+""")
+def q_actual_vs_predicted_points(spark, sf):
+    return rounded(V.actual_vs_predicted_points(reg_predictions(spark, sf)))
+
+
 _TWO_SQL = (f"SELECT 'r1' AS model, event_type AS y, {RULE} AS prediction FROM events UNION ALL "
             f"SELECT 'r2', event_type, {RULE2} FROM events")
 

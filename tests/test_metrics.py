@@ -37,3 +37,13 @@ def test_class_without_positives_null_auc(spark):
 def test_regression_metrics_constant_target(spark):
     df = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0)], "y double, prediction double")
     assert V.regression_metrics(df).first()["r2"] == 1.0
+
+
+def test_scatter_points_and_residuals(spark):
+    from tabscope.operators import bivariate as BV
+    d = spark.createDataFrame([(1.0, 3.0, 5.0), (2.0, 5.0, 5.0), (3.0, 7.0, None), (None, 1.0, 2.0)], "a double, b double, c double")
+    got = sorted(tuple(r) for r in BV.scatter_points(d, [("a", "b"), ("c", "b")]).where("x_name = 'a'").collect())
+    assert [(x, y) for _, _, x, y, _ in got] == [(1.0, 3.0), (2.0, 5.0), (3.0, 7.0)]
+    assert all(abs(f - y) < 1e-9 for _, _, _, y, f in got)
+    points = V.actual_vs_predicted_points(d, "a", "c").collect()
+    assert sorted(tuple(p) for p in points) == [(1.0, 5.0, -4.0), (2.0, 5.0, -3.0)]

@@ -64,6 +64,23 @@ def test_density_integrates_to_one(spark):
     assert area == pytest.approx(1.0, abs=0.01)
 
 
+@pytest.mark.parametrize("shape", ["normal", "ties", "far"])
+def test_density_equals_the_exact_sum(spark, shape):
+    rng = np.random.default_rng(6)
+    vals = {"normal": rng.normal(3, 2, 700), "ties": rng.integers(0, 4, 700).astype(float),
+            "far": np.concatenate([rng.normal(0, 1e-3, 700), [1e6]])}[shape]
+    d = P.density_curve(spark.createDataFrame(pd.DataFrame({"x": vals})), "x").toPandas()
+    bw = vals.std(ddof=1) * len(vals) ** -0.2
+    assert np.allclose(d.x, np.linspace(vals.min() - 3 * bw, vals.max() + 3 * bw, 200))
+    want = np.exp(-0.5 * ((d.x.to_numpy()[:, None] - vals) / bw) ** 2).sum(1) / (len(vals) * bw * np.sqrt(2 * np.pi))
+    assert np.allclose(d.density * bw, want * bw, rtol=0, atol=1e-13)
+
+
+def test_density_without_spread_has_no_points(spark):
+    for vals in ([2.0] * 5, [1.0], []):
+        assert P.density_curve(spark.createDataFrame([(v,) for v in vals], "x double"), "x").count() == 0
+
+
 def test_qq_points_hot_value_chunks(spark):
     vals = [1.0] * 50 + [2.0, 3.0]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
