@@ -1,7 +1,8 @@
 """Benchmark: headline operators at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints ONE JSON line: {"metric", "value" (total sec), "unit", "queries", "sf"}.
-A step that fails is named on stderr and the run ends with its error.
+Steps are named on stderr as they end; one that fails ends the run with its error.
+$BENCH_ONLY names the steps to run (comma-joined; later steps need the earlier fits).
 Each query runs once to warm the JVM and code caches, then is timed
 $BENCH_REPS times (default 2) and the best run is reported, which damps
 noise from other load on the machine; results are fully computed with the
@@ -91,8 +92,11 @@ def main():
         ("adaboost_classifier_fit", adaboost_fit),
         ("score_classification", score),
     ]
+    only = [s for s in os.environ.get("BENCH_ONLY", "").split(",") if s]
     times = {}
     for name, fn in plan:
+        if only and name not in only:
+            continue
         runs = []
         try:
             fn()  # warm-up
@@ -104,6 +108,7 @@ def main():
             print(f"bench: {name} failed", file=sys.stderr, flush=True)
             raise
         times[name] = round(min(runs), 3)
+        print(f"bench: {name} {times[name]}", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": int(cpus), "stat": f"best of {reps} warm runs"}))
