@@ -165,6 +165,63 @@ def test_nodes_finished_locally_equal_level_wise_growth(table, monkeypatch, max_
     assert np.allclose([r["probability"] for r in fit().transform(df).orderBy("id").collect()], want)
 
 
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_tails_that_stay_in_spark_score_like_fetched_ones(table, monkeypatch, task):
+    """Fully grown trees above NEAR_ROWS: no tail comes to the driver, rows meet them in a join; rows may repeat."""
+    pdf, df = table
+    df = df.unionByName(df.where("id < 40")).withColumn("k", F.when(F.col("id") % 5 == 0, "q").otherwise(F.col("k")))
+    fit, label, out = ((EN.bagging_classifier, "k", "probability") if task == "classification" else (EN.bagging_regressor, "y", "prediction"))
+    monkeypatch.setattr(EN, "LOCAL_ROWS", 150)
+    near = fit(df, ["a", "b", "c"], label, 3, key="id")
+    want = near.transform(df).orderBy("id").select("id", out).collect()
+    monkeypatch.setattr(J, "NEAR_ROWS", 0)
+    far = fit(df, ["a", "b", "c"], label, 3, key="id")
+    assert any(t.tails for t in near.trees) and not any(t.tails for t in far.trees) and far.trees.far.count() > 0
+    got = far.transform(df).orderBy("id")
+    assert got.columns == near.transform(df).columns
+    got = got.select("id", out).collect()
+    assert [r["id"] for r in got] == [r["id"] for r in want]
+    assert np.allclose([r[out] for r in got], [r[out] for r in want], rtol=0, atol=1e-12)
+
+
+def test_walks_by_columns_equal_walks_by_rows(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.asfortranarray(rng.integers(0, 200, (500, 3)).astype("<u1"))
+    grove, open_ = J.Grove(2), [1]
+    for k in range(120):
+        open_ += grove.split(open_.pop(int(rng.integers(len(open_)))), int(rng.integers(3)), int(rng.integers(199)))
+    want = []
+    for row in x:
+        i = 1
+        while grove.feature[i] >= 0:
+            i = grove.left[i] if row[grove.feature[i]] <= grove.bin[i] else grove.right[i]
+        want.append(i)
+    assert grove.arrays().node_of(x, 1).tolist() == want and set(grove.arrays().node_of(x, 0)) == {0}
+    monkeypatch.setattr(J, "FEW_NODES", 10)
+    assert grove.arrays().node_of(x, 1).tolist() == want
+
+
+def test_blocks_hold_rows_by_column(table):
+    """Packed rows stand in blocks, not one record each, whatever the partitions."""
+    pdf, df = table
+    packed = J.pack(df.repartition(2), ["a", "b", "c"], F.col("y"), fit_cuts(df, ["a", "b", "c"]), [0.0])
+    assert packed.df.count() <= 2 and packed.rows == len(pdf)
+    moved = packed.with_state(lambda x, y, key, state: state + 1)
+    assert J.group_sums(moved, lambda x, y, key, state: (x[:, 2].astype(np.int64), state[:, 0])) == {
+        c: (float(n), n) for c, n in pdf.c.astype(int).value_counts().items()}
+
+
+def test_packed_rows_reach_every_task(spark, monkeypatch):
+    """Filled partitions beside many empty ones, as a split leaves them: every task still gets its share."""
+    monkeypatch.setattr(J, "PART_ROWS", 100)
+    monkeypatch.setattr(J, "BLOCK_ROWS", 100)
+    empty = spark.range(0).repartition(40)
+    df = empty.unionByName(spark.range(4000).repartition(2)).select(F.col("id").cast("double").alias("a"))
+    packed = J.pack(df, ["a"], F.col("a"), [[10.0, 20.0]])
+    sizes = [r[1] for r in packed.df.groupBy(F.spark_partition_id()).agg(F.sum("n")).collect()]
+    assert packed.rows == sum(sizes) == 4000 and len(sizes) == packed.parts == 4 and max(sizes) <= 2000
+
+
 def test_forest_keeps_leaves_of_one_class_apart(spark):
     """Three classes: a cut whose two leaves predict the same class stays, and moves the probabilities."""
     rows = [(float(x), "a" if j < (6 if x < 5 else 9) else "b" if j < 10 else "c") for x in range(10) for j in range(12)]
