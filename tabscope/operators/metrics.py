@@ -136,7 +136,7 @@ def _curve(scored: DataFrame, keys: list[str], drop_intermediate: bool) -> DataF
     agg = scored.groupBy(*keys, "score").agg(
         F.sum("pos").cast("long").alias("tp"), F.sum(1 - F.col("pos")).cast("long").alias("fp"),
         F.lit(1).cast("long").alias("one"))
-    cum = prefix_sums(agg, keys, "score", ["tp", "fp", "one"], descending=True)
+    cum = prefix_sums(agg, keys, "score", ["tp", "fp", "one"], descending=True, following=["tp", "fp"] if drop_intermediate else [])
     tot = agg.groupBy(*keys).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"),
                                  F.count(F.lit(1)).alias("M"))
     jk = keys or ["_j"]
@@ -146,14 +146,10 @@ def _curve(scored: DataFrame, keys: list[str], drop_intermediate: bool) -> DataF
     pts = cum.join(F.broadcast(tot), jk)
     if drop_intermediate:
         # second differences of the cumulative counts at point i reduce to
-        # differences of the per-score counts: tp[i+1] - tp[i] (same for fp);
-        # the next point's counts come from one equi-join on the position
-        nxt = cum.select(*jk, (F.col("cum_one") - 1).alias("cum_one"),
-                         F.col("tp").alias("_ntp"), F.col("fp").alias("_nfp"))
-        j = pts.join(nxt, [*jk, "cum_one"], "left")
+        # differences of the per-score counts: tp[i+1] - tp[i] (same for fp)
         keep = ((F.col("cum_one") == 1) | (F.col("cum_one") == F.col("M"))
-                | (F.col("_ntp") != F.col("tp")) | (F.col("_nfp") != F.col("fp")))
-        pts = j.where(keep)
+                | (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp")))
+        pts = pts.where(keep)
     body = pts.select(*jk, F.col("score").cast("double").alias("threshold"),
                       F.col("cum_one").alias("point"), "cum_tp", "cum_fp", "P", "N")
     start = tot.select(*jk, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("point"),

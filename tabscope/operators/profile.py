@@ -230,13 +230,19 @@ def density_curve(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.
 
 # --------------------------------------------------------------------- U5
 
+#: Positions of a probability plot that one task expands, about.
+TASK_POSITIONS = 1 << 18
+
+
 def qq_points(df: DataFrame, col: str, chunk: int = 1_000_000) -> DataFrame:
     """Normal probability plot points: ``(position, sample, theoretical)``.
 
     Positions come from the scalable prefix sums over distinct values. A value
     repeated many times is split into chunks of at most ``chunk`` positions
-    before expansion, so a hot value never lands in one task.
+    before expansion, so a hot value never lands in one task. Pieces are few
+    bytes before they are expanded, so the number of tasks comes from the rows.
     """
+    tasks = max(1, -(-(df.select(nan_to_null(F.col(col).cast("double")).alias("v")).agg(F.count("v")).first()[0]) // TASK_POSITIONS))
     counts = distinct_value_counts(df, [col])
     ranked = prefix_sums(counts, ["column_name"], "value", ["n"])
     n_all = counts.agg(F.sum("n").alias("N")).withColumn("_k", F.lit(0))
@@ -247,7 +253,7 @@ def qq_points(df: DataFrame, col: str, chunk: int = 1_000_000) -> DataFrame:
                       (F.col("start") + F.col("part") * chunk).alias("p0"),
                       F.least(F.col("start") + F.col("n"),
                               F.col("start") + (F.col("part") + 1) * chunk).alias("p1"))
-              .repartition("p0"))
+              .repartition(tasks, "p0"))
     pts = pieces.select("value", F.explode(F.sequence(F.col("p0"), F.col("p1") - 1)).alias("pos"))
     pts = _const_key(pts).join(F.broadcast(n_all), "_k")
     n = F.col("N").cast("double")

@@ -76,3 +76,14 @@ def test_inverse_normal(spark):
     got = [r[0] for r in df.select(inv_norm("p")).collect()]
     for p, g in zip(ps, got):
         assert g == pytest.approx(statistics.NormalDist().inv_cdf(p), abs=1e-12)
+
+
+def test_next_row_of_a_key_across_buckets(spark):
+    """``following`` reads the next row, whether it stands in the same bucket or not, without a join."""
+    df = spark.range(90).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"), (F.col("id") * 7 % 11).alias("m"))
+    for descending in (False, True):
+        out = O.prefix_sums(df, ["k"], "v", ["m"], descending, 8, ["m"])
+        rows = {(r["k"], r["v"]): r["next_m"] for r in out.collect()}
+        step = -2 if descending else 2
+        assert rows == {(i % 2, float(i)): (i + step) * 7 % 11 if 0 <= i + step < 90 else None for i in range(90)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabscope.operators import profile as P
 from tabscope.operators import cleaning as C
@@ -109,3 +110,12 @@ def test_category_shares_declined_above_ten(spark):
     few = spark.createDataFrame([("a",), ("a",), ("b",)], "c string")
     shares = {r["category"]: r["share"] for r in P.category_shares(few, "c").collect()}
     assert shares == {"a": 2 / 3, "b": 1 / 3}
+
+
+def test_probability_plot_tasks_follow_the_rows(spark, monkeypatch):
+    """Positions are expanded in tasks that hold a bounded number of them, however few bytes the values take."""
+    monkeypatch.setattr(P, "TASK_POSITIONS", 100)
+    df = spark.range(1000).select((F.col("id") % 400).cast("double").alias("v"))
+    pts = P.qq_points(df, "v")
+    assert sorted((r["position"], r["sample"]) for r in pts.collect()) == list(enumerate(sorted(float(i % 400) for i in range(1000))))
+    assert pts.groupBy(F.spark_partition_id()).count().count() >= 6
