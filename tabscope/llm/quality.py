@@ -208,7 +208,10 @@ def quality_rules(docs: DataFrame, common_share: float = COMMON_SHARE, max_commo
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, all columns; documents are met by id and text hash."""
+    """The documents that ``quality_rules`` keeps, all columns; documents are met by id and text hash.
+
+    The slim side of the join is hashed, so that whole documents are never sorted in memory.
+    """
     good = quality_rules(docs, **limits).filter("kept").select(id_key().alias("id"), "text_hash").distinct()
     return (docs.select(id_key().alias("id"), F.xxhash64("text").alias("text_hash"), packed(docs))
-            .join(good, ["id", "text_hash"], "left_semi").select("row.*"))
+            .join(good.hint("shuffle_hash"), ["id", "text_hash"], "left_semi").select("row.*"))
