@@ -8,7 +8,9 @@ fails by itself. Whether its text repeats a smaller id's is found in two steps:
   A text with a cell that only it set is unique for certain. The number of
   cells follows the number of rows; what travels to the scan is the bit set of
   cells counted twice or more, folded to at most 2^``max_bits`` bits. Folding
-  can only let more texts through, never clear a repeated one.
+  can only let more texts through, never clear a repeated one. The driver gets
+  the set as at most 512 pieces of 4 kB and hands it to the tasks as bytes inside
+  a function: in an expression every plan and every text of a plan would copy it.
 * only the possible repeats are shuffled, with their full text, to find the
   smallest id of every equal text; the hot text is one row per map task. The
   result is slim (id, two text hashes) and joins back by id first, so the
@@ -31,6 +33,7 @@ from collections.abc import Callable
 from itertools import permutations
 from math import factorial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ NAMES = "ABCDE"
 PROBES = 3
 CELLS_A_ROW = 8
 MAX_BITS = 24
+#: Bits of a piece of the bit set, as ``bitmap_construct_agg`` makes them.
+PIECE_BITS = 15
 PIECE = 1 << 20
 
 _UPPER = bytes(range(65, 91))
@@ -91,22 +96,31 @@ def possible_repeats(hashes: DataFrame, max_bits: int = MAX_BITS) -> Callable[[C
     often = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     folded = min(bits, max_bits)
     place = F.col("cell").bitwiseAND(F.lit((1 << folded) - 1))
-    words = (often.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")))
-    bitset = [0] * (1 << (folded - 6))
-    for r in words.collect():  # at most 2^(max_bits - 6) rows
-        bitset[r["w"]] = r["v"]
-    table = F.from_json(F.lit(json.dumps(bitset, separators=(",", ":"))), "array<bigint>")
+    pieces = (often.select(place.alias("b")).groupBy(F.shiftright("b", PIECE_BITS).cast("int").alias("w"))
+              .agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit((1 << PIECE_BITS) - 1))).alias("v")))
+    size = 1 << PIECE_BITS - 3
+    bitset = np.zeros(size << max(0, folded - PIECE_BITS), np.uint8)
+    for r in pieces.collect():  # at most 2^(max_bits - PIECE_BITS) rows
+        bitset[r["w"] * size:(r["w"] + 1) * size] = np.frombuffer(r["v"], np.uint8)
+    held = _holds(bitset)
 
     def test(h: Column) -> Column:
-        every = F.lit(True)
-        for c in _cells(h, bits):
-            c = c.bitwiseAND(F.lit((1 << folded) - 1))
-            every = every & (F.getbit(F.get(table, F.shiftright(c, 6).cast("int")), c.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return every
+        return held(*[c.bitwiseAND(F.lit((1 << folded) - 1)).cast("int") for c in _cells(h, bits)])
     return test
 
 
+def _holds(bitset: np.ndarray):
+    """A column function: are the bits at all of these places set?"""
+    @F.arrow_udf("boolean")
+    def held(*places: pa.Array) -> pa.Array:
+        every = np.ones(len(places[0]), bool)
+        for p in places:
+            at = p.to_numpy(zero_copy_only=False)
+            every &= bitset[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        return pa.array(every)
+    return held
+
+
 def document_masks(docs: DataFrame, part: str = "lang", mask: Callable[[bytes], int] = text_mask, own: int = 4,
                    max_bits: int = MAX_BITS) -> DataFrame:
     """(id, part, mask, n): documents by id and failed filters; bit ``own`` says that a smaller id has the same text."""
